@@ -6,11 +6,12 @@ from quire.llm.chat import OP5_SQL, op5_chat_format
 from quire.llm.line_dedup import OP1_SQL, op1_line_dedup
 from quire.llm.quality import op8_quality_rules
 from quire.llm.sharding import op7_sharding
+from quire.llm.simhash import op10_simhash
 from quire.llm.token_output import op6_token_ids
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op5_chat_format": op5_chat_format, "op8_quality_rules": op8_quality_rules, "op6_token_ids": op6_token_ids, "op7_sharding": op7_sharding}
+    return {"op1_line_dedup": op1_line_dedup, "op5_chat_format": op5_chat_format, "op8_quality_rules": op8_quality_rules, "op6_token_ids": op6_token_ids, "op7_sharding": op7_sharding, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
