@@ -222,13 +222,14 @@ def compare_batches(words: int, radius: int):
 
 
 def near_links(rows: DataFrame, words: int, radius: int, hot: int = 8192) -> DataFrame:
-    """(u, v) from rows (vid long, fp binary, keys array<long>, subs array<array<long>>).
+    """(u, v) from rows (vid long, fp binary, keys array<long>, subs array<array<long>>), where
+    ``subs`` has finer keys for each key, or one list for all.
 
     Rows that share a key are compared. Of keys with more than ``hot`` rows (at most the
     number of key rows / hot, so they are broadcast) the rows are dealt again by the
     key and each of its ``subs``."""
     spark = rows.sparkSession
-    flat = rows.select("vid", "fp", F.posexplode("keys").alias("k", "key"), "subs").select("vid", "fp", "key", F.get("subs", F.col("k")).alias("subs"))
+    flat = rows.select("vid", "fp", F.posexplode("keys").alias("k", "key"), "subs").select("vid", "fp", "key", F.get("subs", F.least(F.col("k"), F.size("subs") - 1)).alias("subs"))
     hot_keys = stored(rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "hotkeys")
     cold = flat.join(F.broadcast(hot_keys), "key", "left_anti").select("key", "vid", "fp")
     again = flat.join(F.broadcast(hot_keys), "key", "left_semi").select("vid", "fp", "key", F.posexplode("subs").alias("s", "sub")).select(F.xxhash64("key", "s", "sub").alias("key"), "vid", "fp")
@@ -298,22 +299,23 @@ def radius_of(similarity: float, bits: int = 64 * WORDS) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def sketch(text: bytes | None, size: int) -> tuple[bytes, list[int], list[list[int]]]:
+    """(fingerprint, keys, subs). Minima under seeded orders of the shingle hashes: two texts
+    share one with the probability of their similarity."""
+    h = shingle_hashes(text, size)
+    h = h if len(h) else np.zeros(1, "u8")
+    least = [int(mixed(h ^ np.uint64(s * 0x2545F4914F6CDD1D & (1 << 64) - 1), s % 7).min()) for s in range(2 * TABLES + 4)]
+    keys = [signed(xxhash.xxh64_intdigest(b"%d %d %d" % (k, least[2 * k], least[2 * k + 1]))) for k in range(TABLES)]
+    return majority(h, WORDS).tobytes(), keys, [[signed(x) for x in least[2 * TABLES :]]]
+
+
 def sketch_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, keys, subs = [], [], []
-            for t in batch.column("text").cast(pa.binary()):
-                h = shingle_hashes(t.as_py(), size)
-                h = h if len(h) else np.zeros(1, "u8")
-                prints.append(majority(h, WORDS).tobytes())
-                # Minima under seeded orders: two documents share one with the probability of
-                # their similarity.
-                least = [int(mixed(h ^ np.uint64(s * 0x2545F4914F6CDD1D & (1 << 64) - 1), s % 7).min()) for s in range(2 * TABLES + 4)]
-                keys.append([signed(xxhash.xxh64_intdigest(b"%d %d %d" % (k, least[2 * k], least[2 * k + 1]))) for k in range(TABLES)])
-                subs.append([[signed(x) for x in least[2 * TABLES :]]] * TABLES)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vid"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(subs, pa.list_(pa.list_(pa.int64())))], ["vid", "fp", "keys", "subs"]
-            )
+            prints, keys, subs = zip(*(sketch(t.as_py(), size) for t in batch.column("text").cast(pa.binary()))) if batch.num_rows else ((), (), ())
+            new = [pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(subs, pa.list_(pa.list_(pa.int64())))]
+            names = ["doc_id", "t1", "t2"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], [*names, "fp", "keys", "subs"])
 
     return run
 
@@ -322,21 +324,39 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def text_keys() -> list:
+    """A 128-bit key of the text, in two columns."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text_key, component_id): documents whose word shingles are alike.
-
-    Equal texts are one class (by a 128-bit key of two hashes). Classes are linked where
-    their 512-bit SimHashes differ by no more bits than sets of ``similarity`` do on
-    average: an estimate of the similarity with a deviation of about 0.04. Candidates share
-    both of two shingle minima in one of eight tables (a pair at 0.8 misses all with
-    probability 0.0003). component_id is the smallest id of the group. Texts without words
-    are never grouped. Rows with null ids are grouped by text and take the group's id.
+    """(t1, t2, least, component_id, stays): texts, by key, and their groups of near copies.
+
+    Equal texts are one class (``least``: its smallest id). Classes are linked where their
+    512-bit SimHashes differ by no more bits than sets of ``similarity`` do on average: an
+    estimate of the similarity with a deviation of about 0.04. Candidates share both of two
+    shingle minima in one of eight tables (a pair at 0.8 misses all with probability 0.0003).
+    component_id is the smallest id of the group, and the class that has it ``stays``; where
+    all ids are null, the class of the smallest key does. Texts without words are not returned.
+    Extra columns are left out.
     """
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.where(has_words).select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
-    classes = stored(keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")).withColumn("vid", F.coalesce("least", "t1")), "classes")
-    sketches = stored(classes.select("vid", "text").mapInArrow(sketch_batches(size), ROWS), "sketches")
-    roots = connected_components(near_links(sketches, WORDS, radius_of(similarity)))
-    rooted = stored(classes.select("t1", "t2", "least", "vid").join(roots, "vid", "left").select("t1", "t2", "least", F.coalesce("root", "vid").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("t1", "t2", "component_id")
+    keyed = docs.where(has_words).select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), "text")
+    sketches = keyed.mapInArrow(sketch_batches(size), "doc_id long, t1 long, t2 long, fp binary, keys array<long>, subs array<array<long>>")
+    classes = sketches.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "keys", "subs")])
+    classes = stored(classes.withColumn("vid", F.coalesce("least", "t1")), "classes")
+    roots = connected_components(near_links(classes.select("vid", "fp", "keys", "subs"), WORDS, radius_of(similarity)))
+    rooted = stored(classes.select("t1", "t2", "least", "vid").join(roots, "vid", "left").select("t1", "t2", "least", "vid", F.coalesce("root", "vid").alias("root")), "rooted")
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    stays = F.coalesce(F.col("least") == F.col("component_id"), F.col("component_id").isNull() & (F.col("vid") == F.col("root")))
+    return rooted.join(groups, "root").select("t1", "t2", "least", "component_id", stays.alias("stays"))
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, but near copies: of each group only rows with its
+    smallest id stay. Texts without words stay, and so do rows that repeat a kept id and text."""
+    groups = near_duplicates(docs, size, similarity).select("t1", "t2", F.col("least").alias("_least"), F.col("stays").alias("_stays"))
+    keys = [k.alias(f"_{name}") for k, name in zip(text_keys(), ("t1", "t2"))]
+    left = docs.select("*", *keys)
+    kept = left.join(groups.withColumnsRenamed({"t1": "_t1", "t2": "_t2"}), ["_t1", "_t2"], "left").where("_stays IS NULL OR _stays AND doc_id <=> _least")
+    return kept.select(*docs.columns)
