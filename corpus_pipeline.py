@@ -1,15 +1,68 @@
-"""The corpus pipeline: stages that each take and return documents."""
+"""The corpus pipeline: stages that each take and return documents.
+
+Each function takes (spark, docs, sf_dir). All but the last return the columns of
+``documents``; the last adds shard and slot.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm.common import stored
+from quire.llm.decontaminate import without_contaminated
+from quire.llm.language_id import with_language
+from quire.llm.mixing import WEIGHTS, document_path, mix
+from quire.llm.sharding import shuffle_into_shards
+from quire.llm.simhash import one_of_each_group
+
+#: Share of all tokens that the mix takes. Weights that the sources can't meet are
+#: made up for by their siblings.
+SHARE = 0.8
+SHARDS = 40
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; ``lang`` becomes that language."""
+    rows = with_language(docs, docs.columns, keep_text=True).where("accepted")
+    return rows.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return one_of_each_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the weighted mix, each at most once."""
+    used = mix(docs, document_path(), WEIGHTS, share=SHARE, max_epochs=1).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_own", F.xxhash64("text"))
+    return keyed.join(used, keyed["doc_id"].eqNullSafe(used["_id"]) & (keyed["_own"] == used["_key"]), "left_semi").select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with shard and slot in a random order, and the shard files behind them."""
+    return shuffle_into_shards(docs, SHARDS)
+
 
-STAGES = []
+STAGES = [
+    ("language id", language_id),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing to weights", mixing),
+    ("sharding", sharding),
+]
+#: SQL can express neither the classifier nor the fingerprints.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
