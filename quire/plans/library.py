@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import pixels  # noqa: F401  (registers its queries)
+from quire.plans import pixels, tables  # noqa: F401  (they register their queries)
 from quire.plans.registry import ORACLES, QUERIES, Query
 
 
