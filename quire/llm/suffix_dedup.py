@@ -83,16 +83,26 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(hashes)[first]
 
 
+def context(data: bytes, at: int, length: int) -> tuple[int, bytes]:
+    """(bytes before the anchor, all bytes) of the stretch in which repeats with it lie."""
+    start = max(0, at - (length - GRAM))
+    return at - start, data[start : at + length]
+
+
 def anchor_batches(length: int):
+    """(doc, fp, pos, g, c1, c2): places, grams' hashes and 128-bit hashes of contexts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(batch, rows, positions, grams):
+        def out(batch, rows, positions, grams, contexts):
             at = pa.array(np.repeat(np.array(rows, "i4"), [len(p) for p in positions]))
             pos = np.concatenate(positions) if positions else np.zeros(0)
             gram = np.concatenate(grams) if grams else np.zeros(0, "u8")
-            return pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("fp").take(at), pa.array(pos.astype("i4")), pa.array(gram.view("i8"))], ["doc", "fp", "pos", "g"])
+            c = np.frombuffer(b"".join(contexts), "<i8").reshape(-1, 2)
+            columns = [pa.array(pos.astype("i4")), pa.array(gram.view("i8")), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())]
+            return pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("fp").take(at), *columns], ["doc", "fp", "pos", "g", "c1", "c2"])
 
         for batch in batches:
-            rows, positions, grams, size = [], [], [], 0
+            rows, positions, grams, contexts = [], [], [], []
             for i, text in enumerate(batch.column("text").cast(pa.binary())):
                 data = text.as_py() or b""
                 if len(data) >= length:
@@ -100,38 +110,37 @@ def anchor_batches(length: int):
                     rows.append(i)
                     positions.append(p)
                     grams.append(g)
-                    size += len(p)
-                    if size > 500_000:
-                        yield out(batch, rows, positions, grams)
-                        rows, positions, grams, size = [], [], [], 0
-            yield out(batch, rows, positions, grams)
+                    for at in p.tolist():
+                        left, bytes_ = context(data, at, length)
+                        contexts.append(xxhash.xxh3_128_digest(bytes_, left))
+                    if len(contexts) > 200_000:
+                        yield out(batch, rows, positions, grams, contexts)
+                        rows, positions, grams, contexts = [], [], [], []
+            yield out(batch, rows, positions, grams, contexts)
 
     return run
 
 
 def context_batches(length: int):
-    """(doc, fp, pos, left, ctx) of documents with ``at``, the places of their anchors."""
-    before = length - GRAM
+    """(c1, c2, n, left, ctx) of documents with ``at``, the contexts that they stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(batch, rows, pos, left, ctx):
-            at = pa.array(rows, pa.int32())
-            return pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("fp").take(at), pa.array(pos, pa.int32()), pa.array(left, pa.int32()), pa.array(ctx, pa.binary())], ["doc", "fp", "pos", "left", "ctx"])
+        names, types = ["c1", "c2", "n", "left", "ctx"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
 
+        found = []
         for batch in batches:
-            rows, pos, left, ctx = [], [], [], []
-            for i, (text, at) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("at"))):
+            for text, at in zip(batch.column("text").cast(pa.binary()), batch.column("at")):
                 data = text.as_py()
-                for p in at.as_py():
-                    a = max(0, p - before)
-                    rows.append(i)
-                    pos.append(p)
-                    left.append(p - a)
-                    ctx.append(data[a : p + length])
-                if len(rows) > 20_000:
-                    yield out(batch, rows, pos, left, ctx)
-                    rows, pos, left, ctx = [], [], [], []
-            yield out(batch, rows, pos, left, ctx)
+                for r in at.as_py():
+                    found.append((r["c1"], r["c2"], r["n"], *context(data, r["pos"], length)))
+                if len(found) > 20_000:
+                    yield out(found)
+                    found = []
+        if found:
+            yield out(found)
 
     return run
 
@@ -263,29 +272,30 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     overlap, whose union is what repeats cover. See :func:`keyed` for doc and fp."""
     spark = docs.sparkSession
     rows = keyed(docs)
-    all_anchors = stored(rows.select("doc", "fp", "text").mapInArrow(anchor_batches(length), "doc long, fp long, pos int, g long"), "anchors")
+    all_anchors = stored(rows.select("doc", "fp", "text").mapInArrow(anchor_batches(length), "doc long, fp long, pos int, g long, c1 long, c2 long"), "anchors")
     several = all_anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    places = stored(all_anchors.join(several, "g", "left_semi").groupBy("doc", "fp").agg(F.sort_array(F.collect_set("pos")).alias("at")), "places")
+    members = stored(all_anchors.join(several, "g", "left_semi").select("doc", "fp", "pos", "g", "c1", "c2"), "members")
     drop_scratch(all_anchors)
-    # The gram's hash brought it here; contexts are told apart by two hashes of all their bytes.
-    found = rows.select("doc", "fp", "text").join(places, ["doc", "fp"]).mapInArrow(context_batches(length), "doc long, fp long, pos int, left int, ctx binary")
-    contexts = stored(found.select("doc", "fp", "pos", "left", "ctx", F.xxhash64("left", "ctx").alias("c1"), F.xxhash64(F.lit(1), "ctx", "left").alias("c2")), "contexts")
-    distinct = contexts.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("ctx").alias("ctx"))
-    gram = F.substring("ctx", F.col("left") + 1, F.lit(GRAM))
-    # Distinct contexts by gram; at most (contexts / hot) grams are beyond it.
-    hot_grams = stored(contexts.groupBy(F.xxhash64(gram).alias("gh"), "c1", "c2").agg(F.lit(1).alias("x")).groupBy("gh").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("gh"), "hotgrams")
-    marked = distinct.withColumn("gh", F.xxhash64(gram))
-    cold = marked.join(F.broadcast(hot_grams), "gh", "left_anti")
-    columns = ["c1", "c2", "n", "left", "ctx"]
-    n_buckets = max(partitions(spark), contexts.count() * (2 * length - GRAM) // BUCKET_BYTES + 1)
-    buckets = cold.select(*columns).repartitionByRange(n_buckets, gram)
+    # One place stands for all equal contexts: only its bytes are fetched.
+    distinct = stored(members.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc", "fp", "pos", "g")]), "distinct")
+    # At most (distinct contexts / hot) grams.
+    hot_grams = stored(distinct.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("g"), "hotgrams")
+
+    def fetched(places: DataFrame) -> DataFrame:
+        listed = places.groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "c1", "c2", "n")).alias("at"))
+        return rows.select("doc", "fp", "text").join(listed, ["doc", "fp"]).select("text", "at").mapInArrow(context_batches(length), "c1 long, c2 long, n long, left int, ctx binary")
+
+    cold = fetched(distinct.join(F.broadcast(hot_grams), "g", "left_anti"))
+    n_buckets = max(partitions(spark), distinct.count() * (2 * length - GRAM) // BUCKET_BYTES + 1)
+    buckets = cold.repartitionByRange(n_buckets, F.substring("ctx", F.col("left") + 1, F.lit(GRAM)))
     results = buckets.mapInArrow(bucket_batches(length), "c1 long, c2 long, least int, most int")
     if hot_grams.count():
-        results = results.unionByName(spelled_out(marked.join(F.broadcast(hot_grams), "gh", "left_semi").select(*columns), length))
+        results = results.unionByName(spelled_out(fetched(distinct.join(F.broadcast(hot_grams), "g", "left_semi")), length))
     results = stored(results, "repeats")
-    spans = contexts.select("doc", "fp", "pos", "c1", "c2").join(results, ["c1", "c2"]).select("doc", "fp", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("end"))
+    spans = members.select("doc", "fp", "pos", "c1", "c2").join(results, ["c1", "c2"]).select("doc", "fp", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("end"))
     out = stored(spans.groupBy("doc", "fp").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
-    drop_scratch(contexts)
+    for table_ in (members, distinct, results):
+        drop_scratch(table_)
     return out
 
 
