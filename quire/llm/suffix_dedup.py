@@ -258,8 +258,9 @@ def string_batches(length: int):
 def spelled_out(contexts: DataFrame, length: int) -> DataFrame:
     """(c1, c2, least, most) for any number of contexts of one gram, by string hashes."""
     strings = stored(contexts.mapInArrow(string_batches(length), "c1 long, c2 long, n long, a int, s1 long, s2 long"), "strings")
-    twice = strings.groupBy("s1", "s2").agg(F.sum("n").alias("times")).where("times > 1").select("s1", "s2")
-    return strings.join(twice, ["s1", "s2"], "left_semi").groupBy("c1", "c2").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+    # A string's place is known by any of its anchors, so only equal offsets are counted together.
+    twice = strings.groupBy("s1", "s2", "a").agg(F.sum("n").alias("times")).where("times > 1").select("s1", "s2", "a")
+    return strings.join(twice, ["s1", "s2", "a"], "left_semi").groupBy("c1", "c2").agg(F.min("a").alias("least"), F.max("a").alias("most"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
