@@ -113,7 +113,8 @@ def choose_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "stratum"
     tests = [F.sum((F.col(f"rule_{name}") > c).cast("long")).alias(f"{name}_{i}") for name, (_, cuts) in rules.items() for i, c in enumerate(cuts)]
     counts = held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_good"), *tests)
     flat = [F.struct(F.lit(name).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{name}_{i}").alias("n_rejected")) for name, (_, cuts) in rules.items() for i, c in enumerate(cuts)]
-    rows = counts.select(stratum, "n_good", F.count(F.lit(1)).over(_all()).alias("n_strata"), F.inline(F.array(*flat)))
+    # Strata are counted before the rows are spread out.
+    rows = counts.withColumn("n_strata", F.count(F.lit(1)).over(_all())).select(stratum, "n_good", "n_strata", F.inline(F.array(*flat)))
     safe = log_binomial_tail(F.col("n_rejected"), F.col("n_good"), limit / len(rules)) <= F.log(F.lit(delta) / (F.col("n_strata") * len(rules)))
     return rows.where(safe).groupBy(stratum, "rule").agg(F.min(F.struct("cutoff", "n_good", "n_rejected")).alias("c")).select(stratum, "rule", "c.*")
 
@@ -128,7 +129,8 @@ def apply_rules(stats: DataFrame, cutoffs: DataFrame, stratum: str = "stratum",
     """Adds ``failed_rules`` array<string> and ``kept``."""
     wide = cutoffs.groupBy(stratum).agg(*[F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name in rules])
     # One row per stratum; Spark broadcasts it only below its own size limit.
-    joined = statistics(stats, rules).join(wide, stats[stratum].eqNullSafe(wide[stratum]), "left").drop(wide[stratum])
+    wide = wide.withColumnRenamed(stratum, "cut_for")  # made from stats too: its column needs a name of its own
+    joined = statistics(stats, rules).join(wide, F.col(stratum).eqNullSafe(F.col("cut_for")), "left").drop("cut_for")
     failed = F.filter(F.array(*[F.when(F.col(f"rule_{name}") > F.col(f"cut_{name}"), F.lit(name)) for name in rules]), lambda x: x.isNotNull())
     drop = [f"{kind}_{name}" for name in rules for kind in ("rule", "cut")]
     return joined.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(*drop)
