@@ -75,7 +75,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 7, bucket_by
     split = extra * (size + 1)
     shard = F.expr(f"CASE WHEN at < {split} THEN at div {size + 1} ELSE {extra} + (at - {split}) div {max(size, 1)} END").cast("int")
     slot = F.expr(f"CASE WHEN at < {split} THEN at % {size + 1} ELSE (at - {split}) % {max(size, 1)} END")
-    rows = placed.select("r.rec.*", at.alias("at")).withColumn("slot", slot).withColumn("shard", shard).drop("at")
+    rows = placed.select("r.rec", at.alias("at")).select("rec", slot.alias("slot"), shard.alias("shard")).select("rec.*", "slot", "shard")
     path = path or scratch_path(spark, "shards")
     rows.write.partitionBy("shard").parquet(path)
     return spark.read.schema(out.select(*names, "slot", "shard").schema).parquet(path)

@@ -355,8 +355,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
 def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, but near copies: of each group only rows with its
     smallest id stay. Texts without words stay, and so do rows that repeat a kept id and text."""
-    groups = near_duplicates(docs, size, similarity).select("t1", "t2", F.col("least").alias("_least"), F.col("stays").alias("_stays"))
-    keys = [k.alias(f"_{name}") for k, name in zip(text_keys(), ("t1", "t2"))]
-    left = docs.select("*", *keys)
-    kept = left.join(groups.withColumnsRenamed({"t1": "_t1", "t2": "_t2"}), ["_t1", "_t2"], "left").where("_stays IS NULL OR _stays AND doc_id <=> _least")
-    return kept.select(*docs.columns)
+    groups = near_duplicates(docs, size, similarity).select("t1", "t2", "least", "stays")
+    left = docs.select(F.struct(*docs.columns).alias("rec"), *text_keys())
+    kept = left.join(groups, ["t1", "t2"], "left").where("stays IS NULL OR stays AND rec.doc_id <=> least")
+    return kept.select("rec.*")
