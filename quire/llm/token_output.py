@@ -10,26 +10,67 @@ and page indexes on the sorted ``doc_id`` let one document be read without its r
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import scratch_path, table
 
-#: Words remembered by one task; a full memory is emptied.
+#: Pieces that one worker remembers, twice over.
 CACHE_WORDS = 400_000
+#: The letter of a space, and full stops and commas, which take no part in words.
+SPACE, STOPS = "\u0120", (",", ".")
+#: How this kind of tokenizer cuts a text before its merges.
+CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN = re.compile("[\n -~\xa1-\xac\xae-\u024f]+").fullmatch
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+class Whole(Exception):
+    """The text at hand must be encoded whole."""
+
+
+class Pieces(dict):
+    """Ids by piece, the space before it left out. Two generations: a full one becomes
+    the old one, and pieces that are still met move out of it."""
+
+    def __init__(self, encoder: PieceEncoder):
+        self.encoder = encoder
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encoder.new_piece(piece)
+        self[piece] = ids
+        return ids
+
+    def turn(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
 
 
 class PieceEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, word by word.
 
-    This pre-tokenizer puts a boundary before a lone space between two visible
-    characters, so the ids of a text are those of its pieces, each with its space. Texts
-    with other white space next to a space are encoded whole.
+    The tokenizer cuts before a lone space between two visible characters, so the ids of a
+    text are those of its pieces, each with its space. New pieces of Latin letters are cut
+    into words here and merged by the tokenizer's model; other new pieces are encoded by
+    the tokenizer. Texts with other white space next to a space are encoded whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -38,35 +79,61 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.cache_words = cache_words
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self)
+        self.stops = {c: self.merged(c) for c in STOPS}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+    @classmethod
+    def of_worker(cls, path: str) -> PieceEncoder:
+        """The encoder that this Python worker keeps between tasks."""
+        import tokenizers
 
-    @staticmethod
-    def lone(piece: str) -> bool:
-        """False if the piece's white space could merge with the space before or after it."""
-        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+        kept = tokenizers.__dict__.setdefault("_quire_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, letters: str) -> bytes:
+        """Of one word in the vocabulary's letters."""
+        return array("i", [t.id for t in self.merge(letters)]).tobytes()
+
+    def spelled(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.letters)
+
+    def new_piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            if piece.isascii():
+                return self.merged(SPACE + piece)
+            if PLAIN(piece):
+                return self.merged(SPACE + self.spelled(piece))
+        elif piece[-1:] in STOPS and piece[:-1].isalpha():
+            return self.known[piece[:-1]] + self.stops[piece[-1]]
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise Whole  # its white space could merge with the space before or after it
+        return self.cut(" " + piece)
+
+    def cut(self, text: str) -> bytes:
+        if not PLAIN(text):
+            return self.whole(text)
+        return b"".join([self.known[w[1:]] if w[0] == " " and w[1:].isalpha() else self.merged(self.spelled(w)) for w in CUT.findall(text)])
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if not text:
             return b""
-        pieces = text.split(" ")
-        first, rest = pieces[0], pieces[1:]
-        known = self.known
-        missing = {p for p in rest if p not in known}
-        if not self.lone(first) or not all(map(self.lone, missing)):
+        first, *rest = text.split(" ")
+        self.known.turn(self.cache_words)
+        try:
+            if not first or first[0].isspace() or first[-1].isspace():
+                raise Whole
+            return self.cut(first) + b"".join([self.known[p] for p in rest])
+        except Whole:
             return self.whole(text)
-        if missing:
-            if len(known) + len(missing) > self.cache_words:
-                known.clear()
-                missing = set(rest)
-            missing = sorted(missing)
-            for p, e in zip(missing, self.tokenizer.encode_batch([" " + p for p in missing], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<i4").tobytes()
-        return self.whole(first) + b"".join([known[p] for p in rest])
 
 
 def encode_batches(tokenizer_path: str, end_id: int | None):
@@ -74,7 +141,7 @@ def encode_batches(tokenizer_path: str, end_id: int | None):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = PieceEncoder.of_worker(tokenizer_path)
         end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         for batch in batches:
             ids, docs = batch.column("doc_id"), batch.column("text")
