@@ -40,9 +40,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the weighted mix, each at most once."""
-    used = mix(docs, document_path(), WEIGHTS, share=SHARE, max_epochs=1).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    return keyed.join(used, keyed["doc_id"].eqNullSafe(used["_id"]) & (keyed["_own"] == used["_key"]), "left_semi").select(*docs.columns)
+    used = mix(docs, document_path(), WEIGHTS, share=SHARE, max_epochs=1).select("doc_id", "text_key").distinct()
+    left = docs.select(F.struct(*docs.columns).alias("rec"), F.xxhash64("text").alias("own"))
+    return left.join(used, left["rec.doc_id"].eqNullSafe(used["doc_id"]) & (left["own"] == used["text_key"]), "left_semi").select("rec.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
