@@ -11,6 +11,8 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 
 from quire.sources.filters import FilterError
+from quire.sources.jpeg import JpegError
+from quire.sources.jpeg import decode as decode_jpeg
 from quire.sources.pdf import Document, Name, Stream, as_int, content_ops
 
 MAX_FORMS = 32
@@ -265,7 +267,14 @@ class Page:
             data, codec = self.doc.decoded_as(stream)
         except FilterError:
             return
-        samples = None if codec else unpack_samples(data, w, h, as_int(info.get("BitsPerComponent"), 8), info.get("ColorSpace"), bool(info.get("ImageMask")))
+        if codec == "DCTDecode":
+            try:
+                samples = rgb_samples(decode_jpeg(data))
+                h, w = samples.shape[:2]
+            except JpegError:
+                return
+        else:
+            samples = None if codec else unpack_samples(data, w, h, as_int(info.get("BitsPerComponent"), 8), info.get("ColorSpace"), bool(info.get("ImageMask")))
         det = m[0] * m[3] - m[1] * m[2]
         if samples is None or not det:
             return
@@ -296,10 +305,15 @@ def unpack_samples(data: bytes, w: int, h: int, bits: int, space, mask: bool) ->
         each = 8 // bits
         shifts = np.arange(each - 1, -1, -1) * bits
         values = (raw[:, :, None] >> shifts & ((1 << bits) - 1)).reshape(h, -1) * (255 // ((1 << bits) - 1))
-    v = values[:, : w * n].reshape(h, w, n).astype("i4")
-    if n == 4:
+    return rgb_samples(values[:, : w * n].reshape(h, w, n))
+
+
+def rgb_samples(values: np.ndarray) -> np.ndarray:
+    """(h, w, 1, 3 or 4) bytes as RGB."""
+    v = values.astype("i4")
+    if v.shape[2] == 4:
         v = ((255 - v[..., :3]) * (255 - v[..., 3:]) + 127) // 255
-    return np.broadcast_to(v, (h, w, 3)).astype(np.uint8)
+    return np.broadcast_to(v, (*v.shape[:2], 3)).astype(np.uint8)
 
 
 KNOWN = frozenset("BDC BMC BT BX CS cs d d0 d1 DP EMC ET EX i j J M MP ri sh T* Tc Td TD Tf TL Tm Tr Ts Tw Tz".split())
