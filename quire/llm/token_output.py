@@ -207,11 +207,13 @@ def crc_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(np.diff(offsets).astype("i8")), pa.array(crc, pa.int64())], ["doc_id", "part", "n_tokens", "ids_crc32"])
 
 
-def with_starts(rows: DataFrame, *tie: str | Column) -> DataFrame:
-    """Adds ``start``: the ids of all documents before, first by part, then within it."""
+def with_starts(rows: DataFrame, lengths: DataFrame, *tie: str | Column) -> DataFrame:
+    """Adds ``start``: the ids of all documents before, first by part, then within it.
+    ``lengths`` is (part, n_tokens) of the same rows, which a reader of the files gets
+    without touching a page of ids."""
     zero = F.lit(0).cast("long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), zero).alias("part_start"))
+    parts = lengths.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), zero).alias("part_start"))
     own = Window.partitionBy("part").orderBy(F.col("doc_id"), *tie).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("own", F.coalesce(F.sum("n_tokens").over(own), zero)).join(parts, "part").withColumn("start", F.col("part_start") + F.col("own"))
 
@@ -220,6 +222,6 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = write_token_lists(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    back = spark.read.schema("doc_id long, part int, n_tokens long, ids array<int>").parquet(path).select("doc_id", "part", "ids")
-    rows = back.mapInArrow(crc_batches, "doc_id long, part int, n_tokens long, ids_crc32 long")
-    return with_starts(rows, "n_tokens", "ids_crc32").select("doc_id", "start", "n_tokens", "ids_crc32")
+    files = spark.read.schema("doc_id long, part int, n_tokens long, ids array<int>").parquet(path)
+    rows = files.select("doc_id", "part", "ids").mapInArrow(crc_batches, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    return with_starts(rows, files.select("part", "n_tokens"), "n_tokens", "ids_crc32").select("doc_id", "start", "n_tokens", "ids_crc32")
