@@ -149,17 +149,18 @@ def training_rows(docs: DataFrame, per_language: int = 1000, max_bytes: int = 20
     return [(r["text"], r["lang"]) for r in sample]
 
 
-def predict_batches(model):
+def predict_batches(model, within: bool):
+    """Adds the prediction to ``rec``; the text is a field of it (``within``) or a column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            got = [m.predict(t.as_py()) for t in batch.column("text")]
+            rec = batch.column("rec")
+            got = [m.predict(t.as_py()) for t in (rec.field("text") if within else batch.column("text"))]
             score = np.array([s for _, s in got], "f8")
-            names = [n for n in batch.schema.names if n != "text" or "text" in run.keep]
-            new = [pa.array([lang for lang, _ in got], pa.string()), pa.array(score), pa.array(np.array([lang != UND for lang, _ in got], bool) & (score >= m.threshold))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], [*names, "lang_pred", "score", "accepted"])
+            accepted = np.array([lang != UND for lang, _ in got], bool) & (score >= m.threshold)
+            yield pa.RecordBatch.from_arrays([rec, pa.array([lang for lang, _ in got], pa.string()), pa.array(score), pa.array(accepted)], ["rec", "lang_pred", "score", "accepted"])
 
-    run.keep = ()
     return run
 
 
@@ -169,19 +170,17 @@ def identify(docs: DataFrame, **sample) -> DataFrame:
     A null text, or one without letters, is ``und`` with score 0, and never accepted; so is
     every text if no labelled rows exist. Null ids are not held out and never trained on.
     """
-    return with_language(docs.select("doc_id", "text", "lang"), ["doc_id", "text"], **sample).withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+    held_out = F.coalesce(fold(F.col("rec.doc_id")) == 2, F.lit(False)).alias("held_out")
+    return with_language(docs, ["doc_id"], **sample).select("rec.doc_id", held_out, "lang_pred", "score", "accepted")
 
 
-def with_language(docs: DataFrame, columns: list[str], keep_text: bool = False, **sample) -> DataFrame:
-    """The given columns (``text`` only if kept) and lang_pred, score, accepted."""
+def with_language(docs: DataFrame, keep: list[str], **sample) -> DataFrame:
+    """``rec``, a struct of the columns to keep, with lang_pred, score and accepted."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(training_rows(docs, **sample)))  # BUCKETS x languages
-    run = predict_batches(model)
-    run.keep = ("text",) if keep_text else ()
-    read = docs.select(*columns)
-    fields = [f for f in read.schema.fields if f.name != "text" or keep_text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return read.mapInArrow(run, f"{schema}, lang_pred string, score double, accepted boolean")
+    within = "text" in keep
+    read = docs.select(F.struct(*keep).alias("rec"), *([] if within else ["text"]))
+    return read.mapInArrow(predict_batches(model, within), f"rec {read.schema['rec'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ streamed: a run of equal hashes tells how many documents hold the line and which
 keeps it. What comes back are compressed keep bitmaps per document, not text.
 
 A key of more than ``hot`` lines never enters a run. Such keys are at most (lines / hot),
-so their statistics (made with map-side sums) are broadcast to the lines instead.
+so their statistics (made with map-side sums) are joined to the lines instead.
 """
 
 from __future__ import annotations
@@ -135,19 +135,19 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, hot: i
     cell = F.shiftrightunsigned("h1", 64 - CELL_BITS)
     total = lines.count()
     hot = hot or min(1_000_000, max(1000, total // 1000))
-    cells = [r["cell"] for r in lines.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).collect()]  # total / hot at most
+    cells = [r["cell"] for r in lines.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).collect()]  # 1 << CELL_BITS at most
     cold, parts = lines, []
     if cells:
         marked = F.broadcast(spark.createDataFrame([(c,) for c in cells], "cell long"))
         within = lines.join(marked, cell == F.col("cell"), "left_semi")
-        keys = within.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h1", "h2")
-        # At most total / hot rows.
+        # Both are small tables as a rule; Spark broadcasts them only if their files are.
+        keys = stored(within.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h1", "h2"), "hotkeys")
         stats = stored(
-            within.join(F.broadcast(keys), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last")),
+            within.join(keys, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last")),
             "hotlines",
         )
-        cold = lines.join(F.broadcast(stats), ["h1", "h2"], "left_anti")
-        parts.append(lines.join(F.broadcast(stats), ["h1", "h2"]).where((F.col("n_docs") >= min_docs) & (F.col("doc_id") != F.col("last"))).select("doc_id", "fp", "pos"))
+        cold = lines.join(stats, ["h1", "h2"], "left_anti")
+        parts.append(lines.join(stats, ["h1", "h2"]).where((F.col("n_docs") >= min_docs) & (F.col("doc_id") != F.col("last"))).select("doc_id", "fp", "pos"))
     dealt = cold.repartitionByRange(partitions(spark), "h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "fp", "pos")
     drops = dealt.mapInArrow(stream_runs(min_docs), DROPS)
     for part in parts:

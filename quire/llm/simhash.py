@@ -6,14 +6,13 @@ and carry-save adders update 64 distances at once; a block is abandoned as soon
 distance in it is beyond the radius. Links within a bucket are thinned to a spanning forest
 before they leave it, and components are found over distinct fingerprints only.
 
-Buckets come from keys that linked fingerprints must share (exact pigeonhole keys for
-small radii, minima of the shingle hashes for similarity search). Buckets of more than
-``hot`` rows are dealt again by finer keys, not capped.
+Buckets come from keys that linked fingerprints must share (exact pigeonhole keys). Buckets
+of more than ``hot`` rows are dealt again by finer keys, not capped. Similarity search over
+texts, by the same comparison, is in :mod:`quire.llm.near_text`.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -87,12 +86,14 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def near(rows: np.ndarray, cols: np.ndarray, radius: int) -> np.ndarray | None:
-    """Bit matrix (rows, columns / 64 words) of pairs at ``radius`` or fewer differing bits,
-    or None once all pairs are beyond it. ``cols`` has a multiple of 64 rows."""
+def near(rows: np.ndarray, cols: np.ndarray, *radii: int) -> list[np.ndarray] | None:
+    """For each radius the bit matrix (rows, columns / 64 words) of pairs at that many or fewer
+    differing bits, or None once all pairs are beyond the largest. ``cols`` has a multiple
+    of 64 rows."""
     sliced, own = planes(cols), np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
     own = (np.uint64(0) - own.astype("u8"))  # all ones where the row's bit is set
-    width = max(1, radius.bit_length())
+    largest = max(radii)
+    width = max(1, largest.bit_length())
     counters = [np.zeros((len(rows), sliced.shape[1]), "u8") for _ in range(width)]
     over = np.zeros_like(counters[0])
     n_bits = sliced.shape[0]
@@ -102,7 +103,7 @@ def near(rows: np.ndarray, cols: np.ndarray, radius: int) -> np.ndarray | None:
             counters[i], carry = counters[i] ^ carry, counters[i] & carry
         np.bitwise_or(over, carry, out=over)
 
-    def beyond() -> np.ndarray:
+    def beyond(radius: int) -> np.ndarray:
         more, equal = np.zeros_like(over), ~np.zeros_like(over)
         for i in reversed(range(width)):
             if radius >> i & 1:
@@ -112,7 +113,7 @@ def near(rows: np.ndarray, cols: np.ndarray, radius: int) -> np.ndarray | None:
                 equal &= ~counters[i]
         return over | more
 
-    step = 4 if width < 3 else 8
+    step = 4 if width < 3 else 32
     for at in range(0, n_bits, 4):
         a, b, c, d = (sliced[at + j][None, :] ^ own[:, at + j][:, None] for j in range(4))
         # Carry-save: four planes become ones, twos and fours before the counters ripple.
@@ -127,65 +128,67 @@ def near(rows: np.ndarray, cols: np.ndarray, radius: int) -> np.ndarray | None:
                 add(plane, level)
             else:
                 np.bitwise_or(over, plane, out=over)
-        if (at + 4) % step == 0 and at + 4 < n_bits and at + 4 > radius and bool((beyond() == ~np.uint64(0)).all()):
+        if (at + 4) % step == 0 and at + 4 < n_bits and at + 4 > largest and bool((beyond(largest) == ~np.uint64(0)).all()):
             return None
-    return ~beyond()
+    return [~beyond(r) for r in radii]
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
-
-
-def block_links(keys: np.ndarray, fps: np.ndarray, forest: Forest, a: slice, b: slice, radius: int, links: list) -> None:
-    """Compares two blocks of rows and unites rows of one key within the radius."""
-    cols = fps[b]
+def near_pairs(rows: np.ndarray, cols: np.ndarray, *radii: int) -> list[np.ndarray] | None:
+    """:func:`near` as boolean matrices, for any number of columns."""
     pad = -len(cols) % 64
-    hits = near(fps[a], np.vstack([cols, np.zeros((pad, fps.shape[1]), "<u8")]) if pad else cols, radius)
-    if hits is None:
-        return
-    found = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : len(cols)].astype(bool)
-    found &= keys[a][:, None] == keys[b][None, :]
-    if a == b:
-        found = np.triu(found, 1)
-    for i in np.flatnonzero(found.any(axis=1)).tolist():
-        own = forest.find(a.start + i)
-        for j in np.flatnonzero(found[i]).tolist():
-            other = forest.find(b.start + j)
-            if other != own:
-                forest.parent[other] = own
-                links.append((a.start + i, b.start + j))
+    hits = near(rows, np.vstack([cols, np.zeros((pad, cols.shape[1]), "<u8")]) if pad else cols, *radii)
+    return hits and [np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")[:, : len(cols)].astype(bool) for h in hits]
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning links of the rows (sorted by key) that share a key and are near each other.
+def tile_pairs(keys: np.ndarray) -> Iterator[tuple[slice, slice, slice]]:
+    """(rows, columns, stretch) of the comparisons within runs of equal keys.
 
-    Whole small buckets share a block; a bucket larger than a block is compared block by block."""
-    links: list[tuple[int, int]] = []
-    forest = Forest(len(keys))
+    Whole small runs share a block; a run larger than a block is compared block by block.
+    No row outside the stretch has a key of it."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() + [len(keys)]
     i = 0
     while i < len(starts) - 1:
         j = i + 1
         while j < len(starts) - 1 and starts[j + 1] - starts[i] <= BLOCK:
             j += 1
-        if starts[j] - starts[i] <= BLOCK:
-            block = slice(starts[i], starts[j])
-            block_links(keys, fps, forest, block, block, radius, links)
-        else:
-            tiles = [slice(x, min(x + BLOCK, starts[j])) for x in range(starts[i], starts[j], BLOCK)]
-            for x, first in enumerate(tiles):
-                for second in tiles[x:]:
-                    block_links(keys, fps, forest, first, second, radius, links)
+        stretch = slice(starts[i], starts[j])
+        tiles = [slice(x, min(x + BLOCK, starts[j])) for x in range(starts[i], starts[j], BLOCK)]
+        for y, second in enumerate(tiles):
+            for first in tiles[: y + 1]:
+                yield first, second, stretch
         i = j
-    return links
+
+
+class Labels:
+    """Components of rows, by label. One link for each union is kept in ``links``."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def unite(self, row: int, others: np.ndarray, stretch: slice) -> None:
+        """Links ``row`` to one row of each other component among ``others``."""
+        part = self.of[stretch]
+        others = others[self.of[others] != self.of[row]]
+        while len(others):
+            self.links.append((row, int(others[0])))
+            part[part == self.of[others[0]]] = self.of[row]
+            others = others[self.of[others] != self.of[row]]
+
+    def unite_all(self, found: np.ndarray, a: slice, b: slice, stretch: slice) -> None:
+        for i in np.flatnonzero(found.any(axis=1)).tolist():
+            self.unite(a.start + i, np.flatnonzero(found[i]) + b.start, stretch)
+
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning links of the rows (sorted by key) that share a key and are near each other."""
+    labels = Labels(len(keys))
+    for a, b, stretch in tile_pairs(keys):
+        found = near_pairs(fps[a], fps[b], radius)
+        if found:
+            same = found[0] & (keys[a][:, None] == keys[b][None, :])
+            labels.unite_all(np.triu(same, 1) if a == b else same, a, b, stretch)
+    return labels.links
 
 
 def compare_batches(words: int, radius: int):
@@ -225,14 +228,14 @@ def near_links(rows: DataFrame, words: int, radius: int, hot: int = 8192) -> Dat
     """(u, v) from rows (vid long, fp binary, keys array<long>, subs array<array<long>>), where
     ``subs`` has finer keys for each key, or one list for all.
 
-    Rows that share a key are compared. Of keys with more than ``hot`` rows (at most the
-    number of key rows / hot, so they are broadcast) the rows are dealt again by the
-    key and each of its ``subs``."""
+    Rows that share a key are compared. Of keys with more than ``hot`` rows the rows are
+    dealt again by the key and each of its ``subs``. Those keys are a stored table, which
+    Spark broadcasts only if its files are small enough."""
     spark = rows.sparkSession
     flat = rows.select("vid", "fp", F.posexplode("keys").alias("k", "key"), "subs").select("vid", "fp", "key", F.get("subs", F.least(F.col("k"), F.size("subs") - 1)).alias("subs"))
     hot_keys = stored(rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "hotkeys")
-    cold = flat.join(F.broadcast(hot_keys), "key", "left_anti").select("key", "vid", "fp")
-    again = flat.join(F.broadcast(hot_keys), "key", "left_semi").select("vid", "fp", "key", F.posexplode("subs").alias("s", "sub")).select(F.xxhash64("key", "s", "sub").alias("key"), "vid", "fp")
+    cold = flat.join(hot_keys, "key", "left_anti").select("key", "vid", "fp")
+    again = flat.join(hot_keys, "key", "left_semi").select("vid", "fp", "key", F.posexplode("subs").alias("s", "sub")).select(F.xxhash64("key", "s", "sub").alias("key"), "vid", "fp")
     dealt = cold.unionByName(again).repartition(partitions(spark), "key").sortWithinPartitions("key", "vid")
     return dealt.mapInArrow(compare_batches(words, radius), "u long, v long")
 
@@ -286,76 +289,3 @@ def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# Similarity search for documents: 512-bit SimHash of five-word shingles.
-
-WORDS = 8
-TABLES = 8
-
-
-def radius_of(similarity: float, bits: int = 64 * WORDS) -> int:
-    """Differing bits expected between sets of equal size at this Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def sketch(text: bytes | None, size: int) -> tuple[bytes, list[int], list[list[int]]]:
-    """(fingerprint, keys, subs). Minima under seeded orders of the shingle hashes: two texts
-    share one with the probability of their similarity."""
-    h = shingle_hashes(text, size)
-    h = h if len(h) else np.zeros(1, "u8")
-    least = [int(mixed(h ^ np.uint64(s * 0x2545F4914F6CDD1D & (1 << 64) - 1), s % 7).min()) for s in range(2 * TABLES + 4)]
-    keys = [signed(xxhash.xxh64_intdigest(b"%d %d %d" % (k, least[2 * k], least[2 * k + 1]))) for k in range(TABLES)]
-    return majority(h, WORDS).tobytes(), keys, [[signed(x) for x in least[2 * TABLES :]]]
-
-
-def sketch_batches(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, keys, subs = zip(*(sketch(t.as_py(), size) for t in batch.column("text").cast(pa.binary()))) if batch.num_rows else ((), (), ())
-            new = [pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(subs, pa.list_(pa.list_(pa.int64())))]
-            names = ["doc_id", "t1", "t2"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], [*names, "fp", "keys", "subs"])
-
-    return run
-
-
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def text_keys() -> list:
-    """A 128-bit key of the text, in two columns."""
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(t1, t2, least, component_id, stays): texts, by key, and their groups of near copies.
-
-    Equal texts are one class (``least``: its smallest id). Classes are linked where their
-    512-bit SimHashes differ by no more bits than sets of ``similarity`` do on average: an
-    estimate of the similarity with a deviation of about 0.04. Candidates share both of two
-    shingle minima in one of eight tables (a pair at 0.8 misses all with probability 0.0003).
-    component_id is the smallest id of the group, and the class that has it ``stays``; where
-    all ids are null, the class of the smallest key does. Texts without words are not returned.
-    Extra columns are left out.
-    """
-    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.where(has_words).select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), "text")
-    sketches = keyed.mapInArrow(sketch_batches(size), "doc_id long, t1 long, t2 long, fp binary, keys array<long>, subs array<array<long>>")
-    classes = sketches.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "keys", "subs")])
-    classes = stored(classes.withColumn("vid", F.coalesce("least", "t1")), "classes")
-    roots = connected_components(near_links(classes.select("vid", "fp", "keys", "subs"), WORDS, radius_of(similarity)))
-    rooted = stored(classes.select("t1", "t2", "least", "vid").join(roots, "vid", "left").select("t1", "t2", "least", "vid", F.coalesce("root", "vid").alias("root")), "rooted")
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    stays = F.coalesce(F.col("least") == F.col("component_id"), F.col("component_id").isNull() & (F.col("vid") == F.col("root")))
-    return rooted.join(groups, "root").select("t1", "t2", "least", "component_id", stays.alias("stays"))
-
-
-def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, but near copies: of each group only rows with its
-    smallest id stay. Texts without words stay, and so do rows that repeat a kept id and text."""
-    groups = near_duplicates(docs, size, similarity).select("t1", "t2", "least", "stays")
-    left = docs.select(F.struct(*docs.columns).alias("rec"), *text_keys())
-    kept = left.join(groups, ["t1", "t2"], "left").where("stays IS NULL OR stays AND rec.doc_id <=> least")
-    return kept.select("rec.*")

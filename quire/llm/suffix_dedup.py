@@ -279,19 +279,19 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     drop_scratch(all_anchors)
     # One place stands for all equal contexts: only its bytes are fetched.
     distinct = stored(members.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc", "fp", "pos", "g")]), "distinct")
-    # At most (distinct contexts / hot) grams.
+    # At most (distinct contexts / hot) grams; Spark broadcasts them only if their file is small.
     hot_grams = stored(distinct.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("g"), "hotgrams")
 
     def fetched(places: DataFrame) -> DataFrame:
         listed = places.groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "c1", "c2", "n")).alias("at"))
         return rows.select("doc", "fp", "text").join(listed, ["doc", "fp"]).select("text", "at").mapInArrow(context_batches(length), "c1 long, c2 long, n long, left int, ctx binary")
 
-    cold = fetched(distinct.join(F.broadcast(hot_grams), "g", "left_anti"))
+    cold = fetched(distinct.join(hot_grams, "g", "left_anti"))
     n_buckets = max(partitions(spark), distinct.count() * (2 * length - GRAM) // BUCKET_BYTES + 1)
     buckets = cold.repartitionByRange(n_buckets, F.substring("ctx", F.col("left") + 1, F.lit(GRAM)))
     results = buckets.mapInArrow(bucket_batches(length), "c1 long, c2 long, least int, most int")
     if hot_grams.count():
-        results = results.unionByName(spelled_out(fetched(distinct.join(F.broadcast(hot_grams), "g", "left_semi")), length))
+        results = results.unionByName(spelled_out(fetched(distinct.join(hot_grams, "g", "left_semi")), length))
     results = stored(results, "repeats")
     spans = members.select("doc", "fp", "pos", "c1", "c2").join(results, ["c1", "c2"]).select("doc", "fp", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("end"))
     out = stored(spans.groupBy("doc", "fp").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")

@@ -471,7 +471,7 @@ def test_bit_sliced_distances():
         bits = lambda x: np.unpackbits(x.view(np.uint8), axis=1)
         want = (bits(a)[:, None, :] != bits(b)[None, :, :]).sum(axis=2) <= radius
         hits = near(a, b, radius)
-        got = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little").astype(bool) if hits is not None else np.zeros_like(want)
+        got = np.unpackbits(hits[0].view(np.uint8), axis=1, bitorder="little").astype(bool) if hits is not None else np.zeros_like(want)
         assert (got == want).all() and want.any()
 
 
@@ -484,8 +484,60 @@ def test_components_of_chains_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def brute_groups(texts, size=5, similarity=0.8):
+    """Texts with words -> smallest id of those reachable over similar sets of shingles."""
+    sets = {}
+    for d, t in texts:
+        w = WORD.findall((t or "").translate(AZ))
+        if w:
+            sets[d] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+    parent = {d: d for d in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for d in sets:
+        for e in sets:
+            if d < e and len(sets[d] & sets[e]) >= similarity * len(sets[d] | sets[e]) - 1e-9:
+                a, b = sorted((find(d), find(e)))
+                parent[b] = a
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("cells", [{}, {"cell_rows": 5, "cell_bytes": 4000}])
+def test_near_duplicates_are_exact(spark, cells):
+    from quire.llm.near_text import near_duplicates, text_keys
+
+    rng = random.Random(12)
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    for g in range(8):  # groups of copies with more and more changes, some on either side of 0.8
+        base = words(rng.choice([4, 9, 30, 80, 250]), rng).split()
+        for k in range(24):
+            w = list(base)
+            for _ in range(k % 6):
+                w[rng.randrange(len(w))] = words(1, rng)
+            texts.append((10_000 + 100 * g + k, " ".join(w).replace("a", "A" if k % 2 else "a")))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    groups = near_duplicates(df, **cells)
+    got = {r["doc_id"]: r["component_id"] for r in df.select("doc_id", *text_keys()).join(groups, ["t1", "t2"]).collect()}
+    want = brute_groups(texts)
+    assert len(set(want.values())) < len(want) - 40
+    assert got == want
+
+
+def test_ids_with_several_texts_are_not_mixed_up(spark):
+    from quire.llm.near_text import one_of_each_group
+
+    rng = random.Random(4)
+    a, b = words(60, rng), words(60, rng)
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (None, a), (None, b + " x")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in one_of_each_group(df).collect()) == sorted([(1, a), (1, b)])
+
+
 def test_near_copies_leave_one(spark, docs, rows):
-    from quire.llm.simhash import one_of_each_group
+    from quire.llm.near_text import one_of_each_group
 
     rng = random.Random(8)
     base = [words(300, rng) for _ in range(12)]
