@@ -13,8 +13,8 @@ from quire.llm.common import stored
 from quire.llm.decontaminate import without_contaminated
 from quire.llm.language_id import with_language
 from quire.llm.mixing import WEIGHTS, document_path, mix
+from quire.llm.near_text import one_of_each_group
 from quire.llm.sharding import shuffle_into_shards
-from quire.llm.simhash import one_of_each_group
 
 #: Share of all tokens that the mix takes. Weights that the sources can't meet are
 #: made up for by their siblings.
@@ -24,8 +24,8 @@ SHARDS = 40
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; ``lang`` becomes that language."""
-    rows = with_language(docs, docs.columns, keep_text=True).where("accepted")
-    return rows.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    rows = with_language(docs, docs.columns).where("accepted")
+    return rows.select(*[(F.col("lang_pred") if c == "lang" else F.col("rec")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
