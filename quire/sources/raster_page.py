@@ -1,347 +1,6 @@
-"""A page's content drawn on a NumPy bitmap: paths, rectangles, colours, clips and raw images.
+"""Drawing a page: see :mod:`quire.drawing.page`, whose main names are here."""
 
-This is the page-local twin of :mod:`quire.operators.raster`, for whole pages.
-"""
+from quire.drawing.page import Page, base_matrix, draw, luma, round_half
+from quire.drawing.paths import crossings, fill_mask, flatten
 
-from __future__ import annotations
-
-import math
-from dataclasses import dataclass, field, replace
-
-import numpy as np
-
-from quire.sources.filters import FilterError
-from quire.sources.jpeg import JpegError
-from quire.sources.jpeg import decode as decode_jpeg
-from quire.sources.pdf import Document, Name, Stream, as_int, content_ops
-
-MAX_FORMS = 32
-IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-TEXT_SHOWING = frozenset(("Tj", "TJ", "'", '"'))
-FILTERS = ("DCTDecode", "JPXDecode", "CCITTFaxDecode", "JBIG2Decode", "FlateDecode", "Raw")
-
-
-def product(a, b):
-    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
-
-
-def to_byte(v: float) -> int:
-    return math.floor(min(max(v, 0.0), 1.0) * 255 + 0.5)
-
-
-def rgb_of(values: list) -> tuple[int, int, int]:
-    v = [to_byte(float(x)) for x in values if isinstance(x, (int, float))]
-    if len(v) == 1:
-        return v[0], v[0], v[0]
-    if len(v) == 3:
-        return v[0], v[1], v[2]
-    if len(v) == 4:
-        return tuple(((255 - c) * (255 - v[3]) + 127) // 255 for c in v[:3])
-    return 0, 0, 0
-
-
-@dataclass
-class State:
-    ctm: tuple = IDENTITY
-    fill: tuple = (0, 0, 0)
-    line: tuple = (0, 0, 0)
-    fill_alpha: int = 255
-    line_alpha: int = 255
-    width: float = 1.0
-    clip: np.ndarray | None = None
-
-
-@dataclass
-class Diagnostics:
-    has_images: bool = False
-    has_vector_text: bool = False
-    filters: dict = field(default_factory=dict)
-    max_ppi: float = 0.0
-
-    def dominant(self) -> str | None:
-        """The commonest filter; among equals the last in the list of filters."""
-        return max(self.filters, key=lambda f: (self.filters[f], FILTERS.index(f)), default=None)
-
-
-def flatten(p0, p1, p2, p3, flatness: float = 0.1, depth: int = 10) -> list[tuple[float, float]]:
-    """Points of a cubic after p0, halved until its controls are near the chord's middle."""
-    mx, my = (p0[0] + p3[0]) / 2, (p0[1] + p3[1]) / 2
-    if depth == 0 or all((p[0] - mx) ** 2 + (p[1] - my) ** 2 <= flatness**2 for p in (p1, p2)):
-        return [p3]
-    mid = lambda a, b: ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
-    a, b, c = mid(p0, p1), mid(p1, p2), mid(p2, p3)
-    d, e = mid(a, b), mid(b, c)
-    m = mid(d, e)
-    return flatten(p0, a, d, m, flatness, depth - 1) + flatten(m, e, c, p3, flatness, depth - 1)
-
-
-def crossings(paths: list[list[tuple[float, float]]], height: int) -> dict[int, list[list[int]]]:
-    """Row -> entries [lo, hi, count] in the order of the segments; an entry that touches
-    the one written last is merged into it."""
-    rows: dict[int, list[list[int]]] = {}
-
-    def add(y: int, lo: int, hi: int, count: int) -> None:
-        entries = rows.setdefault(y, [])
-        if entries and entries[-1][1] + 1 >= lo and entries[-1][0] <= hi + 1:
-            last = entries[-1]
-            last[0], last[1], last[2] = min(last[0], lo), max(last[1], hi), last[2] + count
-        else:
-            entries.append([lo, hi, count])
-
-    for points in paths:
-        for (xa, ya), (xb, yb) in zip(points, points[1:] + points[:1]):
-            if not all(map(math.isfinite, (xa, ya, xb, yb))):
-                continue
-            if ya == yb:
-                y = math.floor(ya)
-                if 0 <= y < height:
-                    add(y, math.floor(min(xa, xb)), math.floor(max(xa, xb)), 0)
-                continue
-            x0, y0, x1, y1, count = (xb, yb, xa, ya, 1) if ya > yb else (xa, ya, xb, yb, -1)
-            slope, low, high = (x1 - x0) / (y1 - y0), min(x0, x1), max(x0, x1)
-            for y in range(max(math.floor(y0), 0), min(math.floor(y1), height - 1) + 1):
-                a, b = (min(max(x0 + (t - y0) * slope, low), high) for t in (y, y + 1))
-                add(y, math.floor(min(a, b)), math.floor(max(a, b)), count if y0 < y else 0)
-    return rows
-
-
-def fill_mask(paths: list[list[tuple[float, float]]], width: int, height: int, even_odd: bool) -> np.ndarray:
-    mask = np.zeros((height, width), bool)
-    for y, entries in crossings(paths, height).items():
-        entries = sorted(entries, key=lambda e: e[0])
-        count, i = 0, 0
-        inside = lambda c: bool(c & 1) if even_odd else c != 0
-        while i < len(entries):
-            start, end, was = entries[i][0], entries[i][1], inside(count)
-            count += entries[i][2]
-            i += 1
-            if not inside(count) and not was:
-                continue
-            while inside(count) and i < len(entries):
-                end = max(end, entries[i][1])
-                count += entries[i][2]
-                i += 1
-            mask[y, max(start, 0) : max(min(end + 1, width), 0)] = True
-    return mask
-
-
-class Page:
-    """Draws content operators; y runs down from the page's top."""
-
-    def __init__(self, doc: Document, width: int, height: int, base: tuple, most_ops: int = 50_000_000):
-        self.doc, self.width, self.height, self.most_ops = doc, width, height, most_ops
-        self.pixels = np.full((height, width, 3), 255, np.uint8)
-        self.state, self.stack = State(ctm=base), []
-        self.paths: list[list[tuple[float, float]]] = []
-        self.closed: list[bool] = []
-        self.pending_clip: bool | None = None
-        self.unknown: set[str] = set()
-        self.seen = Diagnostics()
-
-    def point(self, x, y) -> tuple[float, float]:
-        m = self.state.ctm
-        return x * m[0] + y * m[2] + m[4], x * m[1] + y * m[3] + m[5]
-
-    def lay(self, mask: np.ndarray, color: tuple, alpha: int) -> None:
-        if self.state.clip is not None:
-            mask = mask & self.state.clip
-        if alpha == 255:
-            self.pixels[mask] = color
-        else:
-            x = (255 - alpha) * self.pixels[mask].astype("i4") + alpha * np.array(color, "i4")
-            self.pixels[mask] = np.minimum((x + (x >> 8) + 128) >> 8, 255)
-
-    def finish(self, fill: str | None = None, stroke: bool = False) -> None:
-        if fill and self.paths:
-            self.lay(fill_mask(self.paths, self.width, self.height, fill == "eo"), self.state.fill, self.state.fill_alpha)
-        if stroke:
-            for points, closed in zip(self.paths, self.closed):
-                self.stroke(points, closed)
-        if self.pending_clip is not None:
-            mask = fill_mask(self.paths, self.width, self.height, self.pending_clip)
-            self.state.clip = mask if self.state.clip is None else self.state.clip & mask
-        self.paths, self.closed, self.pending_clip = [], [], None
-
-    def stroke(self, points: list, closed: bool) -> None:
-        m = self.state.ctm
-        half = max(self.state.width * math.sqrt(abs(m[0] * m[3] - m[1] * m[2])), 1.0) / 2
-        quads = []
-        for (xa, ya), (xb, yb) in zip(points, points[1:] + (points[:1] if closed else [])):
-            length = math.hypot(xb - xa, yb - ya)
-            if length:
-                nx, ny = -(yb - ya) / length * half, (xb - xa) / length * half
-                quads.append([(xa + nx, ya + ny), (xb + nx, yb + ny), (xb - nx, yb - ny), (xa - nx, ya - ny)])
-        for quad in quads:
-            self.lay(fill_mask([quad], self.width, self.height, False), self.state.line, self.state.line_alpha)
-
-    def resource(self, resources, kind: str, name):
-        group = self.doc.get((self.doc.get(resources) or {}).get(kind))
-        return self.doc.get(group.get(name)) if isinstance(group, dict) and name in group else None
-
-    def run(self, data: bytes, resources, depth: int = 0) -> None:
-        base = len(self.stack)
-        for op in content_ops(data, self.most_ops):
-            try:
-                self.step(op.keyword, op.operands, resources, depth)
-            except (TypeError, ValueError, IndexError, OverflowError):
-                continue  # operands of the wrong number or kind: the operator does nothing
-        del self.stack[base:]
-
-    def step(self, k: str, v: list, resources, depth: int) -> None:
-        s = self.state
-        if k == "q":
-            self.stack.append(replace(s))
-        elif k == "Q":
-            if self.stack:
-                self.state = self.stack.pop()
-        elif k == "cm":
-            s.ctm = product(tuple(map(float, v[:6])), s.ctm)
-        elif k == "w":
-            s.width = float(v[0])
-        elif k in ("g", "rg", "k", "sc", "scn"):
-            s.fill = rgb_of(v)
-        elif k in ("G", "RG", "K", "SC", "SCN"):
-            s.line = rgb_of(v)
-        elif k == "m":
-            self.paths.append([self.point(v[0], v[1])])
-            self.closed.append(False)
-        elif k == "l":
-            self.paths[-1].append(self.point(v[0], v[1]))
-        elif k in ("c", "v", "y"):
-            p = [self.point(v[i], v[i + 1]) for i in range(0, len(v) - 1, 2)]
-            first = self.paths[-1][-1]
-            a, b, c = p if k == "c" else (first, p[0], p[1]) if k == "v" else (p[0], p[1], p[1])
-            self.paths[-1] += flatten(first, a, b, c)
-        elif k == "h":
-            if self.closed:
-                self.closed[-1] = True
-        elif k == "re":
-            x, y, w, h = map(float, v[:4])
-            self.paths.append([self.point(x, y), self.point(x + w, y), self.point(x + w, y + h), self.point(x, y + h)])
-            self.closed.append(True)
-        elif k in ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s", "n"):
-            if k in ("b", "b*", "s") and self.closed:
-                self.closed[-1] = True
-            self.finish(None if k in "Ssn" else "eo" if k.endswith("*") else "nz", k in ("B", "B*", "b", "b*", "S", "s"))
-        elif k in ("W", "W*"):
-            self.pending_clip = k == "W*"
-        elif k == "gs":
-            info = self.resource(resources, "ExtGState", v[0]) or {}
-            s.fill_alpha = to_byte(float(info.get("ca", s.fill_alpha / 255)))
-            s.line_alpha = to_byte(float(info.get("CA", s.line_alpha / 255)))
-            s.width = float(info.get("LW", s.width))
-        elif k == "BI":
-            self.image(Stream(v[0], v[1]))
-        elif k == "Do":
-            found = self.resource(resources, "XObject", v[0])
-            if isinstance(found, Stream) and found.info.get("Subtype") == "Image":
-                self.image(found)
-            elif isinstance(found, Stream) and depth < MAX_FORMS:
-                self.stack.append(replace(s))
-                matrix = self.doc.get(found.info.get("Matrix"))
-                if isinstance(matrix, list) and len(matrix) == 6:
-                    s.ctm = product(tuple(float(self.doc.get(x)) for x in matrix), s.ctm)
-                self.run(self.doc.decoded(found), found.info.get("Resources", resources), depth + 1)
-                self.state = self.stack.pop()
-        elif k in TEXT_SHOWING:
-            self.seen.has_vector_text = True
-        elif k not in KNOWN and len(self.unknown) < 256:
-            self.unknown.add(k)
-
-    def image(self, stream: Stream) -> None:
-        """Nearest sample of the unit square; codecs without a decoder only count."""
-        info = {k: self.doc.get(x) for k, x in stream.info.items()}
-        w, h = as_int(info.get("Width")), as_int(info.get("Height"))
-        self.seen.has_images = True
-        name = info.get("Filter")
-        name = self.doc.get(name[-1]) if isinstance(name, list) and name else name
-        name = name if name in FILTERS else "Raw"
-        self.seen.filters[name] = self.seen.filters.get(name, 0) + 1
-        m = self.state.ctm
-        wide = math.hypot(m[0], m[1])
-        if wide:
-            self.seen.max_ppi = max(self.seen.max_ppi, w / wide)
-        if not (0 < w <= 65536 and 0 < h <= 65536):
-            return
-        try:
-            data, codec = self.doc.decoded_as(stream)
-        except FilterError:
-            return
-        if codec == "DCTDecode":
-            try:
-                samples = rgb_samples(decode_jpeg(data))
-                h, w = samples.shape[:2]
-            except JpegError:
-                return
-        else:
-            samples = None if codec else unpack_samples(data, w, h, as_int(info.get("BitsPerComponent"), 8), info.get("ColorSpace"), bool(info.get("ImageMask")))
-        det = m[0] * m[3] - m[1] * m[2]
-        if samples is None or not det:
-            return
-        ys, xs = np.mgrid[0 : self.height, 0 : self.width] + 0.5
-        u = ((xs - m[4]) * m[3] - (ys - m[5]) * m[2]) / det
-        t = ((ys - m[5]) * m[0] - (xs - m[4]) * m[1]) / det
-        inside = (u >= 0) & (u < 1) & (t >= 0) & (t < 1)
-        if self.state.clip is not None:
-            inside &= self.state.clip
-        ix, iy = (u[inside] * w).astype("i8"), ((1 - t[inside]) * h).astype("i8").clip(0, h - 1)
-        self.pixels[inside] = samples[iy, ix]
-
-
-def unpack_samples(data: bytes, w: int, h: int, bits: int, space, mask: bool) -> np.ndarray | None:
-    """(h, w, 3) bytes of gray, RGB or CMYK samples of 1, 2, 4, 8 or 16 bits."""
-    if mask:
-        bits, space = 1, Name("DeviceGray")
-    n = {"DeviceGray": 1, "CalGray": 1, "DeviceRGB": 3, "CalRGB": 3, "DeviceCMYK": 4}.get(space if isinstance(space, str) else None)
-    if n is None or bits not in (1, 2, 4, 8, 16):
-        return None
-    stride = (w * n * bits + 7) // 8
-    raw = np.frombuffer(data[: stride * h].ljust(stride * h, b"\0"), np.uint8).reshape(h, stride)
-    if bits == 16:
-        values = raw[:, ::2]
-    elif bits == 8:
-        values = raw
-    else:
-        each = 8 // bits
-        shifts = np.arange(each - 1, -1, -1) * bits
-        values = (raw[:, :, None] >> shifts & ((1 << bits) - 1)).reshape(h, -1) * (255 // ((1 << bits) - 1))
-    return rgb_samples(values[:, : w * n].reshape(h, w, n))
-
-
-def rgb_samples(values: np.ndarray) -> np.ndarray:
-    """(h, w, 1, 3 or 4) bytes as RGB."""
-    v = values.astype("i4")
-    if v.shape[2] == 4:
-        v = ((255 - v[..., :3]) * (255 - v[..., 3:]) + 127) // 255
-    return np.broadcast_to(v, (*v.shape[:2], 3)).astype(np.uint8)
-
-
-KNOWN = frozenset("BDC BMC BT BX CS cs d d0 d1 DP EMC ET EX i j J M MP ri sh T* Tc Td TD Tf TL Tm Tr Ts Tw Tz".split())
-
-
-def luma(pixels: np.ndarray) -> np.ndarray:
-    p = pixels.astype("i4")
-    return ((2126 * p[..., 0] + 7152 * p[..., 1] + 722 * p[..., 2] + 5000) // 10000).astype(np.uint8)
-
-
-def draw(doc: Document, page: dict, own: dict, geometry: dict, dpi: float) -> Page:
-    """The page at a resolution, with its diagnostics."""
-    scale = dpi / 72 * geometry["user_unit"]
-    unit = geometry["user_unit"]
-    turn = geometry["rotate_cw"]
-    wide, high = round_half(geometry["width_pts"] * dpi / 72), round_half(geometry["height_pts"] * dpi / 72)
-    w, h = (geometry["width_pts"] / unit, geometry["height_pts"] / unit)
-    x, y = geometry["origin_x"], geometry["origin_y"]
-    base = {
-        0: (scale, 0.0, 0.0, -scale, -x * scale, (y + h) * scale),
-        90: (0.0, scale, scale, 0.0, -y * scale, -x * scale),
-        180: (-scale, 0.0, 0.0, scale, (x + w) * scale, -y * scale),
-        270: (0.0, -scale, -scale, 0.0, (y + w) * scale, (x + h) * scale),
-    }.get(turn, (scale, 0.0, 0.0, -scale, -x * scale, (y + h) * scale))
-    out = Page(doc, wide, high, base)
-    out.run(doc.content(page), own.get("Resources"))
-    return out
-
-
-def round_half(x: float) -> int:
-    return math.floor(x + 0.5)
+__all__ = ["Page", "base_matrix", "crossings", "draw", "fill_mask", "flatten", "luma", "round_half"]
