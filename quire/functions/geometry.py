@@ -75,3 +75,41 @@ def clip_bounds(x0: Column, x1: Column) -> tuple[Column, Column]:
 def span_test(x0: Column, x1: Column, low: Column, high: Column) -> Column:
     """How the span [x0, x1] lies to the clip interval [low, high]."""
     return F.when((x1 < low) | (x0 > high), "AllOutside").when((x0 >= low) & (x1 <= high), "AllInside").otherwise("Partial")
+
+
+def normalized_rotation(rotate: Column) -> Column:
+    """0, 90, 180 or 270; other angles count as none."""
+    turn = F.pmod(rotate, F.lit(360))
+    return F.when(turn.isin(90, 180, 270), turn).otherwise(0)
+
+
+def user_unit(unit: Column) -> Column:
+    """Within 0.1 to 10; null is 1."""
+    return F.least(F.greatest(F.coalesce(unit, F.lit(1.0)), F.lit(0.1)), F.lit(10.0))
+
+
+def page_geometry(media: Sequence[Column], crop: Sequence[Column], rotate: Column, unit: Column) -> dict[str, Column]:
+    """Size as shown, rotation, unit and origin of a page from its boxes."""
+    box = box_intersection(normalized_box(*media), normalized_box(*crop))
+    turn, scale = normalized_rotation(rotate), user_unit(unit)
+    width, height = (box[2] - box[0]) * scale, (box[3] - box[1]) * scale
+    lying = turn.isin(90, 270)
+    return {"width_pts": F.when(lying, height).otherwise(width), "height_pts": F.when(lying, width).otherwise(height), "rotate_cw": turn, "user_unit": scale, "origin_x": box[0], "origin_y": box[1]}
+
+
+def initial_matrix(width: Column, height: Column, turn: Column, scale: Column, x: Column, y: Column) -> tuple[Column, ...]:
+    """From the page's unrotated space of a box (x, y, width, height) to pixels with y running down."""
+    none = F.lit(0.0)
+    rows = {0: (scale, none, none, -scale, -x * scale, (y + height) * scale), 90: (none, scale, scale, none, -y * scale, -x * scale), 180: (-scale, none, none, scale, (x + width) * scale, -y * scale), 270: (none, -scale, -scale, none, (y + height) * scale, (x + width) * scale)}
+    out = []
+    for i in range(6):
+        value = rows[0][i]
+        for angle in (90, 180, 270):
+            value = F.when(turn == angle, rows[angle][i]).otherwise(value)
+        out.append(value)
+    return tuple(out)
+
+
+def combined_scale(x_dpi: Column, y_dpi: Column) -> Column:
+    """Of both resolutions (150 where there is none)."""
+    return F.sqrt(F.coalesce(x_dpi, F.lit(150.0)) / 72 * (F.coalesce(y_dpi, F.lit(150.0)) / 72))
