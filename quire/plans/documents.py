@@ -76,3 +76,70 @@ def ppm_encode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = T.render(drawings(spark, sf_dir), dpi=72.0)
     file = encode_column("pgm")
     return shown.select("doc_id", F.length(file).cast("long").alias("pgm_bytes"), F.decode(F.substring(file, 1, 15), "us-ascii").alias("header"))
+
+
+def built(rows: DataFrame, contents: str, extra: bytes = b"") -> DataFrame:
+    """(doc_id, content): a PDF for each row, a page for each string of the array ``contents``."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = [build_pdf([t.encode("latin-1") for t in texts], page_extra=extra) for texts in b.column("texts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+    return rows.select("doc_id", F.col(contents).alias("texts")).mapInArrow(build, "doc_id long, content binary")
+
+
+def texts_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per part that shows its name and then its type."""
+    rows = table(spark, sf_dir, "part").where("p_partkey < 500")
+    page = F.concat(F.lit("BT /F 8 Tf 5 50 Td ("), "p_name", F.lit(") Tj 0 -10 Td [("), "p_type", F.lit(")] TJ ET"))
+    font = b"/Resources << /Font << /F << /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 0 /Widths [" + b"500 " * 256 + b"] >> >> >> "
+    return built(rows.select(F.col("p_partkey").alias("doc_id"), F.array(page).alias("pages")), "pages", font)
+
+
+@query("pdf_text_extract", "SELECT p_partkey AS doc_id, p_name || p_type AS text, length(p_name || p_type) AS n FROM part WHERE p_partkey < 500")
+def pdf_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = T.glyphs(texts_of_parts(spark, sf_dir))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "character"))), lambda g: g["character"]), "")
+    return shown.groupBy("doc_id").agg(text.alias("text"), F.count(F.lit(1)).alias("n"))
+
+
+@query("pdf_text_pens", "SELECT p_partkey AS doc_id, CAST(i - 1 AS BIGINT) AS k, 5 + (i - 1) * 4.0::DOUBLE AS x, 50.0::DOUBLE AS y FROM part, LATERAL (SELECT unnest(range(1, length(p_name) + 1)) AS i) WHERE p_partkey < 500")
+def pdf_text_pens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.glyphs(texts_of_parts(spark, sf_dir)).where("y = 50").select("doc_id", "k", F.round("x", 6).alias("x"), "y")
+
+
+@query("pdf_prescan", "SELECT p_partkey AS doc_id, 1 AS page_num, CAST(7 AS BIGINT) AS n_ops, false AS has_images, true AS has_vector_text, '' AS unknown_ops FROM part WHERE p_partkey < 500")
+def pdf_prescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.prescan(texts_of_parts(spark, sf_dir)).select("doc_id", "page_num", "n_ops", "has_images", "has_vector_text", "unknown_ops")
+
+
+@query("pdf_info", "SELECT o_orderkey AS doc_id, '1.4' AS version, CAST(o_custkey % 3 + 1 AS INTEGER) AS n_pages, CAST(2 + 2 * (o_custkey % 3 + 1) AS BIGINT) AS n_objects, false AS encrypted FROM orders WHERE o_orderkey < 2000")
+def pdf_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.array_repeat(F.lit("q Q"), (F.col("o_custkey") % 3 + 1).cast("int")).alias("pages"))
+    return T.info(built(rows, "pages")).select("doc_id", "version", "n_pages", "n_objects", "encrypted")
+
+
+@query("pdf_page_tree", "SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS root, CAST(o_custkey % 3 + 1 AS BIGINT) AS leaves, CAST(o_custkey % 3 + 1 AS INTEGER) AS declared FROM orders WHERE o_orderkey < 2000")
+def pdf_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.array_repeat(F.lit(""), (F.col("o_custkey") % 3 + 1).cast("int")).alias("pages"))
+    tree = T.page_tree(built(rows, "pages"))
+    return tree.groupBy("doc_id").agg(F.min(F.when(F.col("kind") == "node", F.col("node"))).alias("root"), F.count_if(F.col("kind") == "page").alias("leaves"), F.max("declared").alias("declared"))
+
+
+@query(
+    "pdf_rendered_colors",
+    "SELECT p_partkey AS doc_id, CAST(floor((p_partkey % 11) / 10.0::DOUBLE * 255 + 0.5) AS INTEGER) AS r, CAST(floor((p_partkey % 7) / 10.0::DOUBLE * 255 + 0.5) AS INTEGER) AS g, CAST(floor((p_partkey % 5) / 10.0::DOUBLE * 255 + 0.5) AS INTEGER) AS b FROM part WHERE p_partkey < 300",
+)
+def pdf_rendered_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle pixel of pages filled with a colour, drawn as RGB."""
+    k = F.col("p_partkey")
+    tenth = lambda m: F.format_string("%.1f", (k % m) / F.lit(10.0))
+    page = F.concat_ws(" ", tenth(11), tenth(7), tenth(5), F.lit("rg 0 0 200 100 re f"))
+    rows = table(spark, sf_dir, "part").where("p_partkey < 300").select(k.alias("doc_id"), F.array(page).alias("pages"))
+    shown = T.render(built(rows, "pages"), dpi=72.0, mode="rgb")
+    at = 3 * (50 * 200 + 100)
+    channel = lambda i: F.conv(F.hex(F.substring("pixels", at + i + 1, 1)), 16, 10).cast("int")
+    return shown.select("doc_id", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))

@@ -1,7 +1,10 @@
 """``spark.read.format("pdf")``: pages of PDF files as a Spark data source.
 
     register(spark)
-    spark.read.format("pdf").option("dpi", 72).load("/shared/*.pdf")
+    spark.read.format("pdf").option("dpi", 72).option("mode", "rgb").load("/shared/*.pdf")
+
+Options: dpi, first, last, mode (gray, mono or rgb), antialias, deskew, annotations and
+pages_per_partition.
 
 One partition per file and range of ``pages_per_partition`` pages, so one long file among
 small ones is split. Paths must be visible to the executors; files in other stores are read
@@ -16,7 +19,9 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
-SCHEMA = "doc_id string, page_num int, width int, height int, pixels binary, has_images boolean, has_vector_text boolean, dominant_filter string, error_kind string"
+from quire.sources.pdf_tables import RENDERED, check_options, page_row
+
+SCHEMA = f"doc_id string, {RENDERED}"
 
 
 class PageRange(InputPartition):
@@ -29,6 +34,9 @@ class PdfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.dpi, self.each = options["path"], float(options.get("dpi", 150)), int(options.get("pages_per_partition", 64))
         self.low, self.high = int(options.get("first", 1)), int(options.get("last", 1 << 30))
+        flag = lambda name, default: str(options.get(name, default)).lower() == "true"
+        self.mode, self.antialias, self.deskew, self.annotations = options.get("mode", "gray"), flag("antialias", False), flag("deskew", False), flag("annotations", True)
+        check_options(self.dpi, self.low, self.high, None, self.mode, self.deskew)
 
     def pushFilters(self, filters: list) -> Iterator:  # noqa: N802
         for f in filters:
@@ -55,7 +63,6 @@ class PdfReader(DataSourceReader):
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
         from quire.sources.pdf import Document, PdfError
-        from quire.sources.raster_page import draw, luma
 
         with open(partition.path, "rb") as f:
             data = f.read()
@@ -65,15 +72,11 @@ class PdfReader(DataSourceReader):
                 raise PdfError("EncryptedDocument")
             pages = doc.pages()
         except PdfError as e:
-            yield (partition.path, None, None, None, None, None, None, None, e.kind)
+            yield (partition.path, *(None,) * 14, e.kind, e.message)
             return
         for n in range(partition.first, min(partition.last, len(pages)) + 1):
             _, page, own = pages[n - 1]
-            try:
-                p = draw(doc, page, own, doc.geometry(own), self.dpi)
-                yield (partition.path, n, p.width, p.height, luma(p.pixels).tobytes(), p.seen.has_images, p.seen.has_vector_text, p.seen.dominant(), None)
-            except (ValueError, RecursionError, MemoryError) as e:
-                yield (partition.path, n, None, None, None, None, None, None, f"RenderFailed: {e}"[:200])
+            yield (partition.path, *page_row(doc, n, page, own, self.dpi, self.mode, self.antialias, self.deskew, self.annotations))
 
 
 class PdfSource(DataSource):

@@ -1,4 +1,4 @@
-"""Baseline JPEG in NumPy: markers, Huffman tables, DC chains, inverse DCT, upsampling.
+"""Baseline and progressive JPEG in NumPy: markers, Huffman tables, DC chains, inverse DCT, upsampling.
 
 The bits of a scan are read serially; everything after the coefficients is vectorised.
 """
@@ -44,6 +44,9 @@ class Header:
     quant: dict[int, np.ndarray] = field(default_factory=dict)
     huffman: dict[tuple[int, int], list] = field(default_factory=dict)
     scan_at: int = 0
+    scan: list[Component] = field(default_factory=list)
+    #: First and last coefficient of the scan, and its bits done before and left.
+    band: tuple[int, int, int, int] = (0, 63, 0, 0)
 
 
 def lookup(counts: bytes, symbols: bytes) -> list:
@@ -64,7 +67,15 @@ def read_header(data: bytes, to_scan: bool = True) -> Header:
     """Up to the first scan; with ``to_scan`` false, up to the frame."""
     if data[:2] != b"\xff\xd8":
         raise JpegError("no SOI")
-    out, at = Header(), 2
+    out = Header()
+    read_segments(data, 2, out, to_scan)
+    if not out.components:
+        raise JpegError("no frame")
+    return out
+
+
+def read_segments(data: bytes, at: int, out: Header, to_scan: bool = True) -> bool:
+    """Takes in the segments from ``at`` on; true at a scan, whose data begin at ``scan_at``."""
     while at + 4 <= len(data):
         if data[at] != 0xFF:
             at += 1
@@ -83,7 +94,7 @@ def read_header(data: bytes, to_scan: bool = True) -> Header:
             out.height, out.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             out.components = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
             if not to_scan:
-                return out
+                return False
         elif marker == 0xDB:
             k = 0
             while k < len(body):
@@ -104,15 +115,16 @@ def read_header(data: bytes, to_scan: bool = True) -> Header:
         elif marker == 0xEE and body[:5] == b"Adobe":
             out.adobe = body[11]
         elif marker == 0xDA:
-            for i in range(body[0]):
+            n, out.scan = body[0], []
+            for i in range(n):
                 for c in out.components:
                     if c.key == body[1 + 2 * i]:
                         c.dc, c.ac = body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15
+                        out.scan.append(c)
+            out.band = (body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15)
             out.scan_at = at
-            return out
-    if not out.components:
-        raise JpegError("no frame")
-    return out
+            return True
+    return False
 
 
 class Bits:
@@ -135,16 +147,22 @@ class Bits:
         self.have -= length
         return symbol
 
-    def signed(self, n: int) -> int:
+    def take(self, n: int) -> int:
         if not n:
             return 0
+        if n > 16:
+            raise JpegError("bad size")
         v = self.peek(n)
         self.have -= n
-        return v if v >> (n - 1) else v - (1 << n) + 1
+        return v
+
+    def signed(self, n: int) -> int:
+        v = self.take(n)
+        return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
 
-def segments(data: bytes, at: int) -> list[bytes]:
-    """The scan's stretches between restart markers."""
+def segments(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The scan's stretches between restart markers, and where it ends."""
     out, start = [], at
     while True:
         at = data.find(b"\xff", at)
@@ -155,14 +173,14 @@ def segments(data: bytes, at: int) -> list[bytes]:
         end = at if at >= 0 else len(data)
         out.append(data[start:end].replace(b"\xff\0", b"\xff"))
         if at < 0 or not 0xD0 <= marker <= 0xD7:
-            return out
+            return out, end
         at = start = at + 2
 
 
 def decode(data: bytes) -> np.ndarray:
     """(height, width, 1, 3 or 4) bytes: gray, RGB or CMYK."""
     head = read_header(data)
-    if head.kind not in ("baseline", "extended"):
+    if head.kind not in ("baseline", "extended", "progressive"):
         raise JpegError(f"{head.kind or 'no'} frame")
     if not (0 < head.width <= 65536 and 0 < head.height <= 65536) or len(head.components) not in (1, 3, 4):
         raise JpegError("dimensions")
@@ -174,34 +192,137 @@ def decode(data: bytes) -> np.ndarray:
     wide, high = -(-head.width // (8 * hm)), -(-head.height // (8 * vm))
     for c in head.components:
         c.blocks = np.zeros((high * c.v, wide * c.h, 64), "i4")
-    mcu, total, parts = 0, wide * high, segments(data, head.scan_at)
-    each = head.restart or total
-    for part in parts:
-        bits, last = Bits(part), [0] * len(head.components)
+    more, scans = True, 0
+    while more and scans < 1000:
+        parts, end = segments(data, head.scan_at)
         try:
-            for mcu in range(mcu, min(mcu + each, total)):
-                y, x = divmod(mcu, wide)
-                for k, c in enumerate(head.components):
-                    dc, ac = head.huffman[0, c.dc], head.huffman[1, c.ac]
-                    for by in range(c.v):
-                        for bx in range(c.h):
-                            block = c.blocks[y * c.v + by, x * c.h + bx]
-                            last[k] += bits.signed(bits.symbol(dc))
-                            block[0] = last[k]
-                            i = 1
-                            while i < 64:
-                                s = bits.symbol(ac)
-                                i += s >> 4
-                                if s & 15:
-                                    if i > 63:
-                                        raise JpegError("run beyond the block")
-                                    block[ZIGZAG[i]] = bits.signed(s & 15)
-                                elif s != 0xF0:
-                                    break
-                                i += 1
-            mcu += 1
+            run_scan(head, parts, wide, high, hm, vm)
         except KeyError:
             raise JpegError("missing table") from None
+        scans += 1
+        more = read_segments(data, end, head)
+    return assembled(head, hm, vm)
+
+
+def run_scan(head: Header, parts: list[bytes], wide: int, high: int, hm: int, vm: int) -> None:
+    """All blocks of a scan: whole MCUs of several components, or the blocks that one has."""
+    alone = head.scan[0] if len(head.scan) == 1 else None
+    if not head.scan:
+        raise JpegError("empty scan")
+    if alone:
+        columns, rows = -(-(-(-head.width * alone.h // hm)) // 8), -(-(-(-head.height * alone.v // vm)) // 8)
+        units = [(alone, y, x) for y in range(rows) for x in range(columns)]
+        each, total = 1, rows * columns
+    else:
+        units = [(c, y * c.v + by, x * c.h + bx) for y in range(high) for x in range(wide) for c in head.scan for by in range(c.v) for bx in range(c.h)]
+        each, total = sum(c.v * c.h for c in head.scan), wide * high
+    decode_block = baseline_block if head.kind != "progressive" else progressive_block
+    step, at = (head.restart or total) * each, 0
+    for part in parts:
+        state = Scan(Bits(part), head, {id(c): 0 for c in head.scan})
+        for c, y, x in units[at : at + step]:
+            decode_block(state, c, c.blocks[y, x])
+        at += step
+        if at >= len(units):
+            return
+
+
+@dataclass
+class Scan:
+    bits: Bits
+    head: Header
+    last: dict[int, int]
+    ended: int = 0  # blocks left of a run of ended ones
+
+
+def baseline_block(s: Scan, c: Component, block: np.ndarray) -> None:
+    bits, ac = s.bits, s.head.huffman[1, c.ac]
+    s.last[id(c)] += bits.signed(bits.symbol(s.head.huffman[0, c.dc]))
+    block[0] = s.last[id(c)]
+    i = 1
+    while i < 64:
+        v = bits.symbol(ac)
+        i += v >> 4
+        if v & 15:
+            if i > 63:
+                raise JpegError("run beyond the block")
+            block[ZIGZAG[i]] = bits.signed(v & 15)
+        elif v != 0xF0:
+            return
+        i += 1
+
+
+def progressive_block(s: Scan, c: Component, block: np.ndarray) -> None:
+    first, last, before, low = s.head.band
+    bits = s.bits
+    if first == 0:
+        if before:
+            block[0] |= bits.take(1) << low
+        else:
+            s.last[id(c)] += bits.signed(bits.symbol(s.head.huffman[0, c.dc]))
+            block[0] = s.last[id(c)] << low
+        return
+    if last > 63 or last < first:
+        raise JpegError("band")
+    (refine if before else first_pass)(s, s.head.huffman[1, c.ac], block, first, last, low)
+
+
+def first_pass(s: Scan, table: list, block: np.ndarray, k: int, last: int, low: int) -> None:
+    if s.ended:
+        s.ended -= 1
+        return
+    bits = s.bits
+    while k <= last:
+        v = bits.symbol(table)
+        run, size = v >> 4, v & 15
+        if size:
+            k += run
+            if k > 63:
+                raise JpegError("run beyond the block")
+            block[ZIGZAG[k]] = bits.signed(size) * (1 << low)
+        elif run < 15:
+            s.ended = (1 << run) - 1 + bits.take(run)
+            return
+        else:
+            k += 15
+        k += 1
+
+
+def refine(s: Scan, table: list, block: np.ndarray, k: int, last: int, low: int) -> None:
+    """One more bit of the coefficients that are known, and new ones of one bit."""
+    bits, one = s.bits, 1 << low
+
+    def more(at: int) -> None:
+        if bits.take(1) and not abs(int(block[at])) & one:
+            block[at] += one if block[at] > 0 else -one
+
+    while k <= last and not s.ended:
+        v = bits.symbol(table)
+        run, new = v >> 4, 0
+        if v & 15:
+            new = one if bits.take(1) else -one
+        elif run < 15:
+            s.ended = (1 << run) + bits.take(run)
+            break
+        while k <= last:
+            at = ZIGZAG[k]
+            k += 1
+            if block[at]:
+                more(at)
+            elif run == 0:
+                block[at] = new
+                break
+            else:
+                run -= 1
+    if s.ended:
+        for at in ZIGZAG[k : last + 1]:
+            if block[at]:
+                more(at)
+        s.ended -= 1
+
+
+def assembled(head: Header, hm: int, vm: int) -> np.ndarray:
+    """Blocks to pixels."""
     planes = []
     for c in head.components:
         if c.table not in head.quant:

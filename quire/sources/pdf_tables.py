@@ -7,22 +7,34 @@ row, not a failed job.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.geometry import MAX_AREA, MAX_SIDE
-from quire.sources.pdf import Document, Name, PdfError, Ref, Stream, content_ops
-from quire.sources.raster_page import draw, luma, round_half
+from quire.drawing import images as I
+from quire.drawing.deskew import straightened
+from quire.drawing.page import FILTERS, draw, luma, round_half
+from quire.drawing.text import resolve as resolve_font
+from quire.functions.geometry import DPI_STEPS, MAX_AREA, MAX_SIDE
+from quire.sources.pdf import Document, Name, PdfError, Ref, Stream, as_int, content_ops
 
 PAGES = "page_num int, page_obj long, width_pts double, height_pts double, rotate_cw int, user_unit double, origin_x double, origin_y double, js_locations string, error_kind string"
 XREF = "obj_num long, kind string, place long, gen long, section int, error_kind string"
 OBJECTS = "obj_num long, kind string, value string, error_kind string"
 OPS = "page_num int, op_seq long, op string, nums array<double>, name string, str binary, error_kind string"
-RENDERED = "page_num int, width int, height int, pixels binary, dpi double, has_images boolean, has_vector_text boolean, dominant_filter string, source_ppi double, unknown_ops string, error_kind string, error_message string"
+RENDERED = "page_num int, width int, height int, pixels binary, channels int, dpi double, skew double, has_images boolean, has_vector_text boolean, dominant_filter string, source_ppi double, suggested_dpi double, unknown_ops string, failed_images string, error_kind string, error_message string"
+PRESCAN = "page_num int, n_ops long, has_images boolean, has_vector_text boolean, dominant_filter string, source_ppi double, suggested_dpi double, unknown_ops string, error_kind string"
+INFO = "version string, n_pages int, n_objects long, linearized_pages int, encrypted boolean, js_locations string, error_kind string"
+TREE = "node long, parent long, ord int, declared int, kind string, error_kind string"
+GLYPHS = "page_num int, k long, character string, x double, y double, size double, error_kind string"
+IMAGES = "obj_num long, width int, height int, filter string, status string, has_alpha boolean, digest string, error_kind string"
+FONTS = "obj_num long, subtype string, base_font string, two_bytes boolean, embedded boolean, n_widths int, error_kind string"
+MODES = {"gray": 1, "mono": 1, "rgb": 3}
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -135,27 +147,137 @@ def operators(docs: DataFrame) -> DataFrame:
     return per_document(docs, OPS, rows, lambda kind, _: (None,) * 6 + (kind,))
 
 
-def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None = None) -> DataFrame:
-    """Gray pages, one byte a pixel. A page that can't be drawn has an error and no pixels."""
-    if not dpi > 0 or first < 1 or last is not None and last < first:
-        raise ValueError(f"dpi {dpi}, pages {first} to {last}")
+def info(docs: DataFrame) -> DataFrame:
+    """One row a file; encrypted files are named as such, not opened."""
 
     def rows(doc: Document):
-        for n, (_, page, own) in enumerate(doc.pages(), 1):
-            if n < first or last is not None and n > last:
+        first = next((doc.get(Ref(n, 0)) for n in sorted(doc.xref) if isinstance(doc.get(Ref(n, 0)), dict) and "Linearized" in doc.get(Ref(n, 0))), {})
+        used = sum(kind != "free" for kind, *_ in doc.xref.values())
+        yield doc.data[5:8].decode("latin-1"), len(doc.pages()), used, as_int(first.get("N")) if first else None, False, ",".join(doc.javascript()), None
+
+    return per_document(docs, INFO, rows, lambda kind, _: (None,) * 4 + (kind == "EncryptedDocument", None, kind))
+
+
+def page_tree(docs: DataFrame) -> DataFrame:
+    """Nodes of the page tree with their parents and places, for recursion by joins."""
+
+    def rows(doc: Document):
+        root = doc.get(doc.trailer.get("Root"))
+        stack, seen = [(root.get("Pages") if isinstance(root, dict) else None, None, 0)], set()
+        while stack:
+            ref, parent, ord_ = stack.pop()
+            node = doc.get(ref)
+            if not isinstance(node, dict) or not isinstance(ref, Ref) or ref.num in seen:
                 continue
-            g = doc.geometry(own)
-            w, h = round_half(g["width_pts"] * dpi / 72), round_half(g["height_pts"] * dpi / 72)
-            error = "PageDegenerate" if w <= 0 or h <= 0 else "PageTooLarge" if max(w, h) > MAX_SIDE else "PageAreaTooLarge" if w * h > MAX_AREA else None
-            if error:
-                yield (n, w, h, None, dpi, None, None, None, None, None, error, f"{w} x {h} pixels")
+            seen.add(ref.num)
+            kids = doc.get(node.get("Kids"))
+            leaf = not isinstance(kids, list) or node.get("Type") == "Page"
+            yield ref.num, parent, ord_, None if leaf else as_int(doc.get(node.get("Count"))), "page" if leaf else "node", None
+            stack += [] if leaf else [(k, ref.num, i) for i, k in enumerate(kids)]
+
+    return per_document(docs, TREE, rows, lambda kind, _: (None,) * 5 + (kind,))
+
+
+def suggested(ppi: float | None) -> float | None:
+    """The first resolution that is at least the images'."""
+    return None if not ppi else float(next((s for s in DPI_STEPS if s >= ppi), DPI_STEPS[-1]))
+
+
+def prescan(docs: DataFrame) -> DataFrame:
+    """What pages hold, found without drawing them."""
+
+    def rows(doc: Document):
+        for n, (_, page, own) in enumerate(doc.pages(), 1):
+            p = draw(doc, page, own, doc.geometry(own), 72.0, paints=False)
+            s, ppi = p.seen, p.seen.max_ppi * 72 or None
+            yield n, sum(1 for _ in content_ops(doc.content(page))), s.has_images, s.has_vector_text, s.dominant(), ppi, suggested(ppi), ",".join(sorted(p.unknown)), None
+
+    return per_document(docs, PRESCAN, rows, lambda kind, _: (None,) * 8 + (kind,))
+
+
+def glyphs(docs: DataFrame, dpi: float = 72.0) -> DataFrame:
+    """Shown characters in order, with their pens in pixels (y from the top)."""
+
+    def rows(doc: Document):
+        for n, (_, page, own) in enumerate(doc.pages(), 1):
+            for k, (c, x, y, size) in enumerate(draw(doc, page, own, doc.geometry(own), dpi, paints=False).glyphs):
+                yield n, k, c, x, y, size, None
+
+    return per_document(docs, GLYPHS, rows, lambda kind, _: (None,) * 6 + (kind,))
+
+
+def images(docs: DataFrame) -> DataFrame:
+    """Image objects with the outcome of decoding each; the digest is of the decoded pixels."""
+
+    def rows(doc: Document):
+        for num, (kind, *_) in sorted(doc.xref.items()):
+            found = doc.get(Ref(num, 0)) if kind != "free" else None
+            if not isinstance(found, Stream) or found.info.get("Subtype") != "Image":
                 continue
+            w, h, name = as_int(doc.get(found.info.get("Width"))), as_int(doc.get(found.info.get("Height"))), I.name_of_filter(doc, found.info, FILTERS)
             try:
-                p = draw(doc, page, own, g, dpi)
-            except (ValueError, RecursionError, MemoryError) as e:
-                yield (n, w, h, None, dpi, None, None, None, None, None, "RenderFailed", str(e)[:200])
-                continue
-            s = p.seen
-            yield (n, w, h, luma(p.pixels).tobytes(), dpi, s.has_images, s.has_vector_text, s.dominant(), s.max_ppi * 72 * dpi / 72 or None, ",".join(sorted(p.unknown)), None, None)
+                image = I.resolve(doc, found)
+                data = image.rgb if image.rgb is not None else image.alpha
+                yield num, w, h, name, "Ok", image.alpha is not None, hashlib.sha256(data.tobytes()).hexdigest(), None
+            except I.ImageError as e:
+                yield num, w, h, name, e.kind, None, None, None
+
+    return per_document(docs, IMAGES, rows, lambda kind, _: (None,) * 7 + (kind,))
+
+
+def fonts(docs: DataFrame) -> DataFrame:
+    def rows(doc: Document):
+        for num, (kind, *_) in sorted(doc.xref.items()):
+            found = doc.get(Ref(num, 0)) if kind != "free" else None
+            if isinstance(found, dict) and found.get("Type") == "Font" and not str(found.get("Subtype")).startswith("CIDFont"):
+                font = resolve_font(doc, found)
+                yield num, str(found.get("Subtype")), str(doc.get(found.get("BaseFont")) or "") or None, font.two_bytes, font.embedded, len(font.widths), None
+
+    return per_document(docs, FONTS, rows, lambda kind, _: (None,) * 6 + (kind,))
+
+
+def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str, antialias: bool, deskew: bool, annotations: bool) -> tuple:
+    """A row of RENDERED."""
+    g = doc.geometry(own)
+    w, h = round_half(g["width_pts"] * dpi / 72), round_half(g["height_pts"] * dpi / 72)
+    failed = lambda kind, message: (n, w, h, None, None, dpi, *(None,) * 8, kind, message)
+    error = "PageDegenerate" if w <= 0 or h <= 0 else "PageTooLarge" if max(w, h) > MAX_SIDE else "PageAreaTooLarge" if w * h > MAX_AREA else None
+    if error:
+        return failed(error, f"{w} x {h} pixels")
+    try:
+        p = draw(doc, page, own, g, dpi, antialias, annotations)
+    except (ValueError, RecursionError, MemoryError) as e:
+        return failed("RenderFailed", str(e)[:200])
+    skew, s = None, p.seen
+    if mode == "rgb":
+        pixels = p.pixels
+    else:
+        pixels = luma(p.pixels)
+        if deskew:
+            pixels, skew = straightened(pixels)
+        if mode == "mono":
+            pixels = np.where(pixels < 128, 0, 255).astype(np.uint8)
+    ppi = s.max_ppi * dpi or None
+    return n, w, h, pixels.tobytes(), MODES[mode], dpi, skew, s.has_images, s.has_vector_text, s.dominant(), ppi, suggested(ppi), ",".join(sorted(p.unknown)), ",".join(s.failed), None, None
+
+
+def check_options(dpi: float, first: int, last: int | None, parity: str | None, mode: str, deskew: bool) -> None:
+    if not (0 < dpi < float("inf")) or first < 1 or last is not None and last < first:
+        raise ValueError(f"dpi {dpi}, pages {first} to {last}")
+    if mode not in MODES or parity not in (None, "odd", "even"):
+        raise ValueError(f"mode {mode!r}, parity {parity!r}")
+    if deskew and mode == "rgb":
+        raise ValueError("deskew needs gray or mono pages")
+
+
+def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None = None, parity: str | None = None, mode: str = "gray", antialias: bool = False, deskew: bool = False, annotations: bool = True) -> DataFrame:
+    """Pages of a range as ``gray``, ``mono`` (0 or 255) or ``rgb`` bytes. A page that can't be drawn
+    has an error and no pixels."""
+    check_options(dpi, first, last, parity, mode, deskew)
+
+    def rows(doc: Document):
+        for n, (_, page, own) in enumerate(doc.pages(), 1):
+            if n >= first and (last is None or n <= last) and (parity is None or n % 2 == (parity == "odd")):
+                yield page_row(doc, n, page, own, dpi, mode, antialias, deskew, annotations)
 
-    return per_document(docs, RENDERED, rows, lambda kind, message: (None,) * 10 + (kind, message))
+    return per_document(docs, RENDERED, rows, lambda kind, message: (None,) * 14 + (kind, message))

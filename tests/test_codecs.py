@@ -13,7 +13,7 @@ from quire.sources.fonts import advance, cid_widths, cmap, differences
 from quire.sources.pdf import Name
 
 
-def jvm_jpeg(spark, pixels: np.ndarray) -> tuple[bytes, np.ndarray]:
+def jvm_jpeg(spark, pixels: np.ndarray, progressive: bool = False) -> tuple[bytes, np.ndarray]:
     """(file, pixels that the JVM reads from it)."""
     jvm, (h, w) = spark.sparkContext._jvm, pixels.shape[:2]
     gray = pixels.ndim == 2
@@ -26,7 +26,14 @@ def jvm_jpeg(spark, pixels: np.ndarray) -> tuple[bytes, np.ndarray]:
             else:
                 image.setRGB(x, y, r << 16 | g << 8 | b)
     out = jvm.java.io.ByteArrayOutputStream()
-    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpg").next()
+    param = writer.getDefaultWriteParam()
+    if progressive:
+        param.setProgressiveMode(1)
+    target = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(target)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    target.flush()
     data = bytes(out.toByteArray())
     back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
     if gray:
@@ -34,23 +41,25 @@ def jvm_jpeg(spark, pixels: np.ndarray) -> tuple[bytes, np.ndarray]:
     return data, np.array([[[back.getRGB(x, y) >> s & 255 for s in (16, 8, 0)] for x in range(w)] for y in range(h)])
 
 
-@pytest.mark.parametrize("shape", [(16, 16), (13, 21), (16, 16, 3), (19, 10, 3)])
-def test_jpeg(spark, shape):
+@pytest.mark.parametrize("progressive", [False, True])
+@pytest.mark.parametrize("shape", [(16, 16), (13, 21), (16, 16, 3), (19, 10, 3), (40, 37)])
+def test_jpeg(spark, shape, progressive):
     y, x = np.mgrid[0 : shape[0], 0 : shape[1]]
     plain = (x * 9 + y * 5) % 256 // 2 + 40
     pixels = plain if len(shape) == 2 else np.stack([plain, 200 - plain, plain // 2 + 60], axis=2)
-    data, want = jvm_jpeg(spark, pixels)
+    data, want = jvm_jpeg(spark, pixels, progressive)
     head = jpeg.read_header(data, to_scan=False)
-    assert (head.kind, head.height, head.width) == ("baseline", shape[0], shape[1])
+    assert (head.kind, head.height, head.width) == ("progressive" if progressive else "baseline", shape[0], shape[1])
     got = jpeg.decode(data).astype("i4")
     limit = 3 if len(shape) == 2 else 40  # chroma is upsampled without smoothing
     assert got.shape == want.shape and np.abs(got - want).max() <= limit and np.abs(got - want).mean() < limit / 3
 
 
 def test_damaged_jpegs_fail_by_name(spark):
-    data, _ = jvm_jpeg(spark, np.full((16, 16), 90))
+    files = [jvm_jpeg(spark, np.full((16, 16), 90), p)[0] for p in (False, True)]
     rng = random.Random(2)
-    for _ in range(60):
+    for k in range(120):
+        data = files[k % 2]
         b = bytearray(data)
         for _ in range(rng.randint(1, 6)):
             b[rng.randrange(2, len(b))] = rng.randrange(256)

@@ -14,7 +14,7 @@ from quire.sources import pdf_tables as T
 from quire.sources.fixtures import build_pdf
 from quire.sources.pdf import Document, Lexer, Name, PdfError, Ref, content_ops
 from quire.sources.raster_page import draw, fill_mask, luma
-from quire.sources.sinks import encode_gray, write_pages
+from quire.sources.sinks import encode_gray, encode_page, rgb_rows, write_pages
 
 
 def read(data: bytes):
@@ -138,7 +138,15 @@ def test_sinks(spark, tmp_path):
     assert encode_gray(pixels, 3, 2, "pbm") == b"P4\n3 2\n" + bytes([0b10100000, 0b01000000])
     png = encode_gray(pixels, 3, 2, "png")
     at = png.index(b"IDAT") + 4
-    assert zlib.decompress(png[at:-16]) == b"\0" + pixels[:3] + b"\0" + pixels[3:]
+    assert Z.predicted(zlib.decompress(png[at:-16]), 15, columns=3) == pixels
+    rgb = bytes(range(18))
+    assert encode_page(rgb, 3, 2, 3, "ppm") == b"P6\n3 2\n255\n" + rgb
+    color = encode_page(rgb, 3, 2, 3, "png", bytes(6))
+    assert color[25] == 6 and Z.predicted(zlib.decompress(color[color.index(b"IDAT") + 4 : -16]), 15, colors=4, columns=3)[:4] == bytes([0, 1, 2, 0])
+    assert rgb_rows(bytes([1, 2, 3]), 1, 1, "Bgr8").tolist() == [[3, 2, 1]] and rgb_rows(bytes([0, 1, 2, 3]), 1, 1, "Xbgr8").tolist() == [[3, 2, 1]]
+    assert rgb_rows(bytes([10, 20, 30, 40]), 1, 1, "Cmyk8").tolist() == [[205, 195, 185]] and rgb_rows(b"\x80", 2, 1, "Mono1").tolist() == [[255] * 3 + [0] * 3]
+    with pytest.raises(ValueError):
+        encode_page(rgb, 3, 2, 3, "tiff")
     docs = spark.createDataFrame([(1, build_pdf([b"0 0 9 9 re f"], 10, 10))], "doc_id long, content binary")
     write_pages(T.render(docs, 72.0), str(tmp_path), "pgm")
     assert [f for f in os.listdir(tmp_path) if not f.startswith(".")] == ["1-0001.pgm"]
@@ -148,3 +156,31 @@ def test_encrypted_is_refused(spark):
     data = build_pdf([b""]).replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R")
     row = T.pages(spark.createDataFrame([(1, data)], "doc_id long, content binary")).first()
     assert row["error_kind"] == "EncryptedDocument"
+
+
+def test_modes_and_selection_of_pages(spark):
+    data = build_pdf([b"1 0 0 rg 0 0 9 9 re f"] * 4, 10, 10)
+    docs = spark.createDataFrame([(1, data)], "doc_id long, content binary")
+    rgb = T.render(docs, 72.0, mode="rgb", parity="even").collect()
+    assert [r["page_num"] for r in rgb] == [2, 4] and rgb[0]["channels"] == 3 and rgb[0]["pixels"][3 * (5 * 10 + 5) :][:3] == b"\xff\0\0"
+    mono = T.render(docs, 72.0, first=2, last=2, mode="mono", deskew=True).first()
+    assert set(mono["pixels"]) <= {0, 255} and mono["channels"] == 1 and mono["skew"] is not None
+    for bad in ({"dpi": 0.0}, {"first": 0}, {"first": 3, "last": 2}, {"mode": "cmyk"}, {"mode": "rgb", "deskew": True}, {"dpi": float("nan")}):
+        with pytest.raises(ValueError):
+            T.render(docs, **bad)
+
+
+def test_tables_of_a_document(spark):
+    image = b"<< /Type /XObject /Subtype /Image /Width 2 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceGray /Length 2 >>\nstream\n\x00\xff\nendstream"
+    odd = image.replace(b"/Length 2", b"/Filter /JPXDecode /Length 2")
+    font = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
+    data = build_pdf([b"BT /F 10 Tf 5 5 Td (Hi) Tj ET /I Do xx"], 50, 50, [image, odd, font], b"/Resources << /XObject << /I 5 0 R >> /Font << /F 7 0 R >> >> ", b"/OpenAction << /S /JavaScript >> ")
+    docs = spark.createDataFrame([(1, data), (2, b"no")], "doc_id long, content binary")
+    info = {r["doc_id"]: r for r in T.info(docs).collect()}
+    assert (info[1]["version"], info[1]["n_pages"], info[1]["n_objects"], info[1]["js_locations"]) == ("1.4", 1, 7, "OpenAction") and info[2]["error_kind"] == "NotAPdf"
+    scan = T.prescan(docs).where("doc_id = 1").first()
+    assert scan["has_images"] and scan["has_vector_text"] and scan["dominant_filter"] == "Raw" and scan["unknown_ops"] == "xx" and scan["n_ops"] == 7 and scan["suggested_dpi"] == 150
+    assert "".join(r["character"] for r in T.glyphs(docs).where("doc_id = 1").orderBy("k").collect()) == "Hi"
+    assert [(r["obj_num"], r["status"], r["filter"]) for r in T.images(docs).where("doc_id = 1").orderBy("obj_num").collect()] == [(5, "Ok", "Raw"), (6, "Unsupported", "JPXDecode")]
+    assert [(r["subtype"], r["base_font"], r["embedded"]) for r in T.fonts(docs).where("doc_id = 1").collect()] == [("Type1", "Helvetica", False)]
+    assert sorted((r["node"], r["parent"], r["kind"]) for r in T.page_tree(docs).where("doc_id = 1").collect()) == [(2, None, "node"), (3, 2, "page")]
