@@ -131,7 +131,7 @@ class PieceEncoder:
         try:
             if not first or first[0].isspace() or first[-1].isspace():
                 raise Whole
-            return self.cut(first) + b"".join([self.known[p] for p in rest])
+            return self.cut(first) + b"".join(map(self.known.__getitem__, rest))
         except Whole:
             return self.whole(text)
 
@@ -172,6 +172,7 @@ def write_token_lists(
     row_group_bytes: int = 32 << 20,
     page_bytes: int = 256 << 10,
     encoding: str = "delta",
+    compression: str = "snappy",
 ) -> str:
     """Writes (doc_id, part, n_tokens, ids) in ascending doc_id order; returns the path.
 
@@ -185,15 +186,16 @@ def write_token_lists(
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("text")
-    dealt = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
+    repeated = not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    order = [F.col("doc_id"), F.xxhash64("text")] if repeated else [F.col("doc_id")]
+    dealt = docs.select("doc_id", "text").repartitionByRange(files, *order).sortWithinPartitions(*order)
     out = dealt.mapInArrow(encode_batches(tokenizer_path, end_id), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, n_tokens long, ids array<int>")
     (
         out.write.option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
         .option("parquet.writer.version", "PARQUET_2_0" if encoding == "delta" else "PARQUET_1_0")
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
-        .option("compression", "zstd")
+        .option("compression", compression)  # packed deltas hardly shrink further
         .parquet(path)
     )
     return path
