@@ -59,8 +59,25 @@ def crossings(paths: list[list[Point]], height: int) -> dict[int, list[list[int]
     return rows
 
 
+def rectangle(points: list[Point]) -> tuple[int, int, int, int] | None:
+    """(x0, y0, x1, y1): the pixels, ends included, that the scan conversion below fills for an upright
+    rectangle whose first side is level; None for other paths and for slim rectangles."""
+    if len(points) != 4:
+        return None
+    (xa, ya), (xb, yb), (xc, yc), (xd, yd) = points
+    if ya != yb or xb != xc or yc != yd or xd != xa or not all(map(math.isfinite, (xa, ya, xb, yc))):
+        return None
+    x0, x1, y0, y1 = math.floor(min(xa, xb)), math.floor(max(xa, xb)), math.floor(min(ya, yc)), math.floor(max(ya, yc))
+    return (x0, y0 + 1, x1, y1 - 1) if x1 - x0 > 1 and y1 > y0 else None
+
+
 def fill_mask(paths: list[list[Point]], width: int, height: int, even_odd: bool) -> np.ndarray:
     mask = np.zeros((height, width), bool)
+    simple = rectangle(paths[0]) if len(paths) == 1 else None
+    if simple:
+        x0, y0, x1, y1 = simple
+        mask[max(y0, 0) : max(y1 + 1, 0), max(x0, 0) : max(x1 + 1, 0)] = True
+        return mask
     for y, entries in crossings(paths, height).items():
         entries = sorted(entries, key=lambda e: e[0])
         count, i = 0, 0

@@ -72,7 +72,7 @@ class PdfReader(DataSourceReader):
                 raise PdfError("EncryptedDocument")
             pages = doc.pages()
         except PdfError as e:
-            yield (partition.path, *(None,) * 14, e.kind, e.message)
+            yield (partition.path, *(None,) * 16, e.kind, e.message)
             return
         for n in range(partition.first, min(partition.last, len(pages)) + 1):
             _, page, own = pages[n - 1]

@@ -27,7 +27,7 @@ PAGES = "page_num int, page_obj long, width_pts double, height_pts double, rotat
 XREF = "obj_num long, kind string, place long, gen long, section int, error_kind string"
 OBJECTS = "obj_num long, kind string, value string, error_kind string"
 OPS = "page_num int, op_seq long, op string, nums array<double>, name string, str binary, error_kind string"
-RENDERED = "page_num int, width int, height int, pixels binary, channels int, dpi double, skew double, has_images boolean, has_vector_text boolean, dominant_filter string, source_ppi double, suggested_dpi double, unknown_ops string, failed_images string, error_kind string, error_message string"
+RENDERED = "page_num int, width int, height int, pixels binary, channels int, ink_pixels long, gray_sum long, dpi double, skew double, has_images boolean, has_vector_text boolean, dominant_filter string, source_ppi double, suggested_dpi double, unknown_ops string, failed_images string, error_kind string, error_message string"
 PRESCAN = "page_num int, n_ops long, has_images boolean, has_vector_text boolean, dominant_filter string, source_ppi double, suggested_dpi double, unknown_ops string, error_kind string"
 INFO = "version string, n_pages int, n_objects long, linearized_pages int, encrypted boolean, js_locations string, error_kind string"
 TREE = "node long, parent long, ord int, declared int, kind string, error_kind string"
@@ -240,7 +240,7 @@ def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str
     """A row of RENDERED."""
     g = doc.geometry(own)
     w, h = round_half(g["width_pts"] * dpi / 72), round_half(g["height_pts"] * dpi / 72)
-    failed = lambda kind, message: (n, w, h, None, None, dpi, *(None,) * 8, kind, message)
+    failed = lambda kind, message: (n, w, h, *(None,) * 4, dpi, *(None,) * 8, kind, message)
     error = "PageDegenerate" if w <= 0 or h <= 0 else "PageTooLarge" if max(w, h) > MAX_SIDE else "PageAreaTooLarge" if w * h > MAX_AREA else None
     if error:
         return failed(error, f"{w} x {h} pixels")
@@ -248,17 +248,13 @@ def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str
         p = draw(doc, page, own, g, dpi, antialias, annotations)
     except (ValueError, RecursionError, MemoryError) as e:
         return failed("RenderFailed", str(e)[:200])
-    skew, s = None, p.seen
-    if mode == "rgb":
-        pixels = p.pixels
-    else:
-        pixels = luma(p.pixels)
-        if deskew:
-            pixels, skew = straightened(pixels)
-        if mode == "mono":
-            pixels = np.where(pixels < 128, 0, 255).astype(np.uint8)
+    skew, s, gray = None, p.seen, luma(p.pixels)
+    if deskew:
+        gray, skew = straightened(gray)
+    ink = gray < 128
+    pixels = p.pixels if mode == "rgb" else gray if mode == "gray" else np.where(ink, 0, 255).astype(np.uint8)
     ppi = s.max_ppi * dpi or None
-    return n, w, h, pixels.tobytes(), MODES[mode], dpi, skew, s.has_images, s.has_vector_text, s.dominant(), ppi, suggested(ppi), ",".join(sorted(p.unknown)), ",".join(s.failed), None, None
+    return n, w, h, pixels.tobytes(), MODES[mode], int(ink.sum()), int(gray.sum(dtype="i8")), dpi, skew, s.has_images, s.has_vector_text, s.dominant(), ppi, suggested(ppi), ",".join(sorted(p.unknown)), ",".join(s.failed), None, None
 
 
 def check_options(dpi: float, first: int, last: int | None, parity: str | None, mode: str, deskew: bool) -> None:
@@ -271,8 +267,8 @@ def check_options(dpi: float, first: int, last: int | None, parity: str | None,
 
 
 def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None = None, parity: str | None = None, mode: str = "gray", antialias: bool = False, deskew: bool = False, annotations: bool = True) -> DataFrame:
-    """Pages of a range as ``gray``, ``mono`` (0 or 255) or ``rgb`` bytes. A page that can't be drawn
-    has an error and no pixels."""
+    """Pages of a range as ``gray``, ``mono`` (0 or 255) or ``rgb`` bytes, with the number of pixels darker
+    than the middle and the sum of all grays. A page that can't be drawn has an error and no pixels."""
     check_options(dpi, first, last, parity, mode, deskew)
 
     def rows(doc: Document):
@@ -280,4 +276,4 @@ def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None
             if n >= first and (last is None or n <= last) and (parity is None or n % 2 == (parity == "odd")):
                 yield page_row(doc, n, page, own, dpi, mode, antialias, deskew, annotations)
 
-    return per_document(docs, RENDERED, rows, lambda kind, message: (None,) * 14 + (kind, message))
+    return per_document(docs, RENDERED, rows, lambda kind, message: (None,) * 16 + (kind, message))

@@ -36,6 +36,19 @@ def at(p, x, y):
     return tuple(int(v) for v in p.pixels[p.height - 1 - y, x])
 
 
+@pytest.mark.parametrize("even_odd", [False, True])
+def test_upright_rectangles_fill_as_any_path(monkeypatch, even_odd):
+    rng = np.random.default_rng(7)
+    cases = []
+    for k in range(400):
+        xa, xb, ya, yb = (rng.integers(-5, 25, 4) + (rng.integers(0, 4, 4) / 4 if k % 2 else 0.0)).tolist()
+        cases.append([(xa, ya), (xb, ya), (xb, yb), (xa, yb)])
+    fast = [P.fill_mask([c], 20, 20, even_odd) for c in cases]
+    monkeypatch.setattr(P, "rectangle", lambda points: None)
+    assert all((f == P.fill_mask([c], 20, 20, even_odd)).all() for f, c in zip(fast, cases))
+    assert sum(f.any() for f in fast) > 150
+
+
 def test_antialiased_edges_have_gray():
     p = page(b"0.5 g 10.5 10.5 20 20 re f", antialias=True)
     assert at(p, 20, 20) == (128, 128, 128)
