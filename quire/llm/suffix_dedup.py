@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import drop_scratch, partitions, stored, table
 
 GRAM = 64
+#: More than the length of a span around one anchor; a power of two.
+SPAN = 1 << 16
 HOT = 20_000
 #: Bytes whose anchors are found at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
@@ -90,16 +92,16 @@ def context(data: bytes, at: int, length: int) -> tuple[int, bytes]:
 
 
 def anchor_batches(length: int):
-    """(doc, fp, pos, g, c1, c2): places, grams' hashes and 128-bit hashes of contexts."""
+    """(doc, fp, pos, g, c): places and 64-bit hashes of grams and contexts. Equal contexts have
+    equal grams, so (g, c) is their 128-bit key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(batch, rows, positions, grams, contexts):
             at = pa.array(np.repeat(np.array(rows, "i4"), [len(p) for p in positions]))
             pos = np.concatenate(positions) if positions else np.zeros(0)
             gram = np.concatenate(grams) if grams else np.zeros(0, "u8")
-            c = np.frombuffer(b"".join(contexts), "<i8").reshape(-1, 2)
-            columns = [pa.array(pos.astype("i4")), pa.array(gram.view("i8")), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())]
-            return pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("fp").take(at), *columns], ["doc", "fp", "pos", "g", "c1", "c2"])
+            columns = [pa.array(pos.astype("i4")), pa.array(gram.view("i8")), pa.array(np.array(contexts, "u8").view("i8"))]
+            return pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("fp").take(at), *columns], ["doc", "fp", "pos", "g", "c"])
 
         for batch in batches:
             rows, positions, grams, contexts = [], [], [], []
@@ -112,7 +114,7 @@ def anchor_batches(length: int):
                     grams.append(g)
                     for at in p.tolist():
                         left, bytes_ = context(data, at, length)
-                        contexts.append(xxhash.xxh3_128_digest(bytes_, left))
+                        contexts.append(xxhash.xxh3_64_intdigest(bytes_, left))
                     if len(contexts) > 200_000:
                         yield out(batch, rows, positions, grams, contexts)
                         rows, positions, grams, contexts = [], [], [], []
@@ -122,10 +124,10 @@ def anchor_batches(length: int):
 
 
 def context_batches(length: int):
-    """(c1, c2, n, left, ctx) of documents with ``at``, the contexts that they stand for."""
+    """(g, c, n, left, ctx) of documents with ``at``, the contexts that they stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["c1", "c2", "n", "left", "ctx"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names, types = ["g", "c", "n", "left", "ctx"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
         def out(found):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
@@ -135,7 +137,7 @@ def context_batches(length: int):
             for text, at in zip(batch.column("text").cast(pa.binary()), batch.column("at")):
                 data = text.as_py()
                 for r in at.as_py():
-                    found.append((r["c1"], r["c2"], r["n"], *context(data, r["pos"], length)))
+                    found.append((r["g"], r["c"], r["n"], *context(data, r["pos"], length)))
                 if len(found) > 20_000:
                     yield out(found)
                     found = []
@@ -206,19 +208,17 @@ def repeats(ctx: list[bytes], left: np.ndarray, count: np.ndarray, length: int)
 
 
 def bucket_batches(length: int):
-    """Sorts a bucket of different contexts (c1, c2, n, left, ctx) and compares neighbours."""
+    """Sorts a bucket of different contexts (g, c, n, left, ctx) and compares neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c1, c2, n, left, ctx = [], [], [], [], []
+        g, c, n, left, ctx = [], [], [], [], []
         for b in batches:
-            c1.append(b.column("c1").to_numpy())
-            c2.append(b.column("c2").to_numpy())
-            n.append(b.column("n").to_numpy())
-            left.append(b.column("left").to_numpy())
+            for own, name in ((g, "g"), (c, "c"), (n, "n"), (left, "left")):
+                own.append(b.column(name).to_numpy())
             ctx += b.column("ctx").to_pylist()
         if not ctx:
             return
-        c1, c2, n, left = map(np.concatenate, (c1, c2, n, left))
+        g, c, n, left = map(np.concatenate, (g, c, n, left))
         grams = np.frombuffer(b"".join([d[k : k + GRAM] for d, k in zip(ctx, left.tolist())]), ">u8").reshape(-1, GRAM // 8)
         order, group = multikey_sort(grams)
         starts = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(order)).tolist()
@@ -230,7 +230,7 @@ def bucket_batches(length: int):
             rows = order[starts[i] : starts[j]]
             least, most = repeats([ctx[r] for r in rows.tolist()], left[rows].astype("i8"), n[rows], length)
             some = most >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(c1[rows][some]), pa.array(c2[rows][some]), pa.array(least[some].astype("i4")), pa.array(most[some].astype("i4"))], ["c1", "c2", "least", "most"])
+            yield pa.RecordBatch.from_arrays([pa.array(g[rows][some]), pa.array(c[rows][some]), pa.array(least[some].astype("i4")), pa.array(most[some].astype("i4"))], ["g", "c", "least", "most"])
             i = j
 
     return run
@@ -250,51 +250,59 @@ def string_batches(length: int):
                     hashes.append(xxhash.xxh3_128_digest(data[left - a : left - a + length]))
             h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("c1").take(at), b.column("c2").take(at), b.column("n").take(at), pa.array(offsets, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["c1", "c2", "n", "a", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([b.column("g").take(at), b.column("c").take(at), b.column("n").take(at), pa.array(offsets, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["g", "c", "n", "a", "s1", "s2"])
 
     return run
 
 
 def spelled_out(contexts: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, least, most) for any number of contexts of one gram, by string hashes."""
-    strings = stored(contexts.mapInArrow(string_batches(length), "c1 long, c2 long, n long, a int, s1 long, s2 long"), "strings")
+    """(g, c, least, most) for any number of contexts of one gram, by string hashes."""
+    strings = stored(contexts.mapInArrow(string_batches(length), "g long, c long, n long, a int, s1 long, s2 long"), "strings")
     # A string's place is known by any of its anchors, so only equal offsets are counted together.
     twice = strings.groupBy("s1", "s2", "a").agg(F.sum("n").alias("times")).where("times > 1").select("s1", "s2", "a")
-    return strings.join(twice, ["s1", "s2", "a"], "left_semi").groupBy("c1", "c2").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+    return strings.join(twice, ["s1", "s2", "a"], "left_semi").groupBy("g", "c").agg(F.min("a").alias("least"), F.max("a").alias("most"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Rows with equal keys have equal texts, and so equal results."""
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64("text").alias("fp"), "text")
-
-
-def repeated_spans(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
-    """(doc, fp, spans array<struct<start,end>>) of rows with repeats: byte ranges, which may
-    overlap, whose union is what repeats cover. See :func:`keyed` for doc and fp."""
-    spark = docs.sparkSession
-    rows = keyed(docs)
-    all_anchors = stored(rows.select("doc", "fp", "text").mapInArrow(anchor_batches(length), "doc long, fp long, pos int, g long, c1 long, c2 long"), "anchors")
-    several = all_anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    members = stored(all_anchors.join(several, "g", "left_semi").select("doc", "fp", "pos", "g", "c1", "c2"), "members")
+    """Adds doc and fp. Rows with equal keys have equal texts, and so equal results; where ids
+    are unique, they are key enough and fp is zero."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    unique = docs.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return docs.select("doc_id", doc.alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("fp"), "text")
+
+
+def repeated_spans(rows: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
+    """(doc, fp, spans array<struct<start,end>>) of :func:`keyed` rows with repeats: byte ranges,
+    which may overlap, whose union is what repeats cover."""
+    spark = rows.sparkSession
+    all_anchors = stored(rows.select("doc", "fp", "text").mapInArrow(anchor_batches(length), "doc long, fp long, pos int, g long, c long"), "anchors")
+    # Stored, so that the join reads both sides as they are and Spark can split a frequent gram.
+    several = stored(all_anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "grams")
+    members = stored(all_anchors.join(several, "g", "left_semi").select("doc", "fp", "pos", "g", "c"), "members")
     drop_scratch(all_anchors)
+    drop_scratch(several)
     # One place stands for all equal contexts: only its bytes are fetched.
-    distinct = stored(members.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc", "fp", "pos", "g")]), "distinct")
+    distinct = stored(members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("doc", "fp", "pos")]), "distinct")
     # At most (distinct contexts / hot) grams; Spark broadcasts them only if their file is small.
     hot_grams = stored(distinct.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("g"), "hotgrams")
 
-    def fetched(places: DataFrame) -> DataFrame:
-        listed = places.groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "c1", "c2", "n")).alias("at"))
-        return rows.select("doc", "fp", "text").join(listed, ["doc", "fp"]).select("text", "at").mapInArrow(context_batches(length), "c1 long, c2 long, n long, left int, ctx binary")
-
-    cold = fetched(distinct.join(hot_grams, "g", "left_anti"))
+    # Dealt as plain rows, which are smaller than the lists of a partial aggregate.
+    listed = distinct.repartition(partitions(spark), "doc", "fp").groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "g", "c", "n")).alias("at"))
+    fetched = rows.select("doc", "fp", "text").join(listed, ["doc", "fp"]).select("text", "at").mapInArrow(context_batches(length), "g long, c long, n long, left int, ctx binary")
+    # Stored: texts are shuffled once for both ways and for the sampling of splitters.
+    contexts = stored(fetched, "contexts")
     n_buckets = max(partitions(spark), distinct.count() * (2 * length - GRAM) // BUCKET_BYTES + 1)
-    buckets = cold.repartitionByRange(n_buckets, F.substring("ctx", F.col("left") + 1, F.lit(GRAM)))
-    results = buckets.mapInArrow(bucket_batches(length), "c1 long, c2 long, least int, most int")
-    if hot_grams.count():
-        results = results.unionByName(spelled_out(fetched(distinct.join(hot_grams, "g", "left_semi")), length))
+    buckets = contexts.join(hot_grams, "g", "left_anti").repartitionByRange(n_buckets, F.substring("ctx", F.col("left") + 1, F.lit(GRAM)))
+    results = buckets.mapInArrow(bucket_batches(length), "g long, c long, least int, most int")
+    if not hot_grams.isEmpty():
+        results = results.unionByName(spelled_out(contexts.join(hot_grams, "g", "left_semi"), length))
     results = stored(results, "repeats")
-    spans = members.select("doc", "fp", "pos", "c1", "c2").join(results, ["c1", "c2"]).select("doc", "fp", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + length).alias("end"))
-    out = stored(spans.groupBy("doc", "fp").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    drop_scratch(contexts)
+    start, end = F.col("pos").cast("long") - F.col("most"), F.col("pos").cast("long") - F.col("least") + length
+    spans = members.join(results, ["g", "c"]).select("doc", "fp", (start * SPAN + end - start).cast("long").alias("packed"))
+    packed = spans.repartition(partitions(spark), "doc", "fp").groupBy("doc", "fp").agg(F.sort_array(F.collect_set("packed")).alias("packed"))
+    unpacked = F.transform("packed", lambda x: F.struct(F.shiftright(x, SPAN.bit_length() - 1).alias("start"), (F.shiftright(x, SPAN.bit_length() - 1) + x % SPAN).alias("end")))
+    out = stored(packed.select("doc", "fp", unpacked.alias("spans")), "spans")
     for table_ in (members, distinct, results):
         drop_scratch(table_)
     return out
@@ -336,8 +344,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     documents. Null texts are empty. Equal rows are copies of each other; null ids are
     documents like others. What is kept may cut a character. Extra columns are left out.
     """
-    spans = repeated_spans(docs, length, hot)
-    joined = keyed(docs).join(spans, ["doc", "fp"], "left").select("doc_id", "text", "spans")
+    rows = keyed(docs)
+    spans = repeated_spans(rows, length, hot)
+    joined = rows.join(spans, ["doc", "fp"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
