@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six ASCII white-space characters: [\x20\x09-\x0D].
-BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes for each core below which a table's files may leave cores idle.
+SMALL = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,9 +72,8 @@ def text_fp(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def bare(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns an operator reads, so that clashing extra columns stay out."""
-    return df.select(*names)
+    """A table; one of a few megabytes is spread over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(cores) if size < cores * SMALL else rows
