@@ -14,6 +14,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ CACHE_WORDS = 400_000
 SPACE, STOPS = "\u0120", (",", ".")
 #: How this kind of tokenizer cuts a text before its merges.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+ID = attrgetter("id")
 PLAIN = re.compile("[\n -~\xa1-\xac\xae-\u024f]+").fullmatch
 
 
@@ -48,13 +50,15 @@ class Pieces(dict):
     the old one, and pieces that are still met move out of it."""
 
     def __init__(self, encoder: PieceEncoder):
-        self.encoder = encoder
+        self.encoder, self.merge = encoder, encoder.merge
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.encoder.new_piece(piece)
+            # Plain words, by far the most, without a further call.
+            plain = piece.isascii() and piece.isalpha()
+            ids = array("i", list(map(ID, self.merge(SPACE + piece)))).tobytes() if plain else self.encoder.new_piece(piece)
         self[piece] = ids
         return ids
 
@@ -100,15 +104,13 @@ class PieceEncoder:
 
     def merged(self, letters: str) -> bytes:
         """Of one word in the vocabulary's letters."""
-        return array("i", [t.id for t in self.merge(letters)]).tobytes()
+        return array("i", list(map(ID, self.merge(letters)))).tobytes()
 
     def spelled(self, word: str) -> str:
         return word.encode().decode("latin-1").translate(self.letters)
 
     def new_piece(self, piece: str) -> bytes:
         if piece.isalpha():
-            if piece.isascii():
-                return self.merged(SPACE + piece)
             if PLAIN(piece):
                 return self.merged(SPACE + self.spelled(piece))
         elif piece[-1:] in STOPS and piece[:-1].isalpha():
