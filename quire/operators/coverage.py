@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,20 +111,34 @@ def dash_cuts(segments: DataFrame, keys: list[str], on: int, off: int, phase: in
 
 def merged_crossings(crossings: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, y, k, lo, hi, cnt): crossings of a row in the order of their segments, where one that overlaps or
-    touches the one written last joins it: extents unite and counts add up."""
-    row = crossings.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("seg", "lo", "hi", "cnt"))).alias("_c"))
-    entry = lambda lo, hi, cnt: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), cnt.cast("long").alias("cnt"))
-
-    def add(out: Column, c: Column) -> Column:
-        last = F.element_at(out, -1)
-        joins = (F.size(out) > 0) & (last["hi"] + 1 >= c["lo"]) & (last["lo"] <= c["hi"] + 1)
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(entry(F.least(last["lo"], c["lo"]), F.greatest(last["hi"], c["hi"]), last["cnt"] + c["cnt"])))
-        return F.when(joins, joined).otherwise(F.concat(out, F.array(entry(c["lo"], c["hi"], c["cnt"]))))
-
-    empty = F.array().cast("array<struct<lo:bigint,hi:bigint,cnt:bigint>>")
-    # try_element_at's null for an empty list makes ``joins`` false.
-    folded = row.select(*keys, "y", F.aggregate("_c", empty, lambda out, c: F.when(F.size(out) == 0, F.array(entry(c["lo"], c["hi"], c["cnt"]))).otherwise(add(out, c))).alias("_m"))
-    return folded.select(*keys, "y", F.posexplode("_m").alias("k", "e")).select(*keys, "y", "k", "e.*")
+    touches the one written last joins it: extents unite and counts add up. Rows are dealt by their keys and
+    streamed in order; only the last extent of one is held."""
+    names = [*keys, "y"]
+    kinds = ", ".join(f"`{k}` {crossings.schema[k].dataType.simpleString()}" for k in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, last, k = None, None, 0
+        types = None
+        for batch in batches:
+            types = types or [batch.schema.field(n).type for n in names] + [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            out = []
+            for *own, lo, hi, cnt in zip(*[batch.column(c).to_pylist() for c in (*names, "lo", "hi", "cnt")]):
+                if own == row and last[1] + 1 >= lo and last[0] <= hi + 1:
+                    last = (min(last[0], lo), max(last[1], hi), last[2] + cnt)
+                    continue
+                if row is not None:
+                    out.append((*row, k, *last))
+                row, last, k = own, (lo, hi, cnt), k + 1 if own == row else 0
+            if out:
+                yield written(out, types)
+        if row is not None:
+            yield written([(*row, k, *last)], types)
+
+    def written(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*names, "k", "lo", "hi", "cnt"])
+
+    dealt = crossings.select(*names, "seg", *[F.col(c).cast("long").alias(c) for c in ("lo", "hi", "cnt")]).repartition(*names)
+    return dealt.sortWithinPartitions(*names, "seg", "lo", "hi", "cnt").mapInArrow(run, f"{kinds}, k int, lo long, hi long, cnt long")
 
 
 def edge_table(points: DataFrame, keys: list[str]) -> DataFrame:
