@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.color import div
 from quire.operators import coverage as V
 from quire.operators.shading import coons_interior
+from quire.plans.documents import dealt
 from quire.plans.registry import query, table
 
 #: A triangle for each part, as corners; pixels of a 4 x 4 grid.
@@ -22,7 +23,7 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = [(k * m % 40) / F.lit(8.0) for m in (7, 11, 13, 17, 19, 23)]
     ring = [(c[0], c[1]), (c[2], c[3]), (c[4], c[5])]
     edges = F.array(*[F.struct(a[0].alias("x0"), a[1].alias("y0"), b[0].alias("x1"), b[1].alias("y1")) for a, b in zip(ring, ring[1:] + ring[:1])])
-    shapes = table(spark, sf_dir, "part").where("p_partkey < 400").select(k.alias("shape"), edges.alias("edges"))
+    shapes = dealt(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("shape"), edges.alias("edges"))
     return shapes.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(3))))
 
 

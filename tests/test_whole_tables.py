@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from quire.plans import library
+from tests.oracle import same
 
 SOURCE = "/root/testdata/sf0.01"
 
@@ -33,3 +34,14 @@ def test_merged_crossings_of_all_lines(spark, sparse):
     want = [(*key, k, *entry) for key, row in merged.items() for k, entry in enumerate(row)]
     got = library.queries()["merged_crossings"](spark, path).select("paint", "y", "k", "lo", "hi", "cnt").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def same_without(spark, sparse, name, cut):
+    """Compares a query with its SQL less the filter ``cut``, if that is there."""
+    path, con = sparse
+    same(library.queries()[name](spark, path), con, library.oracle_sql()[name].replace(cut, ""))
+
+
+@pytest.mark.parametrize("name", ["jitter_coverage_64", "jitter_coverage_eo", "analytic_coverage"])
+def test_coverage_of_all_parts(spark, sparse, name):
+    same_without(spark, sparse, name, " WHERE p_partkey < 400")
