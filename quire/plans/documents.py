@@ -93,7 +93,7 @@ def built(rows: DataFrame, contents: str, extra: bytes = b"") -> DataFrame:
 
 def texts_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per part that shows its name and then its type."""
-    rows = table(spark, sf_dir, "part").where("p_partkey < 500")
+    rows = table(spark, sf_dir, "part")
     page = F.concat(F.lit("BT /F 8 Tf 5 50 Td ("), "p_name", F.lit(") Tj 0 -10 Td [("), "p_type", F.lit(")] TJ ET"))
     font = b"/Resources << /Font << /F << /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding /FirstChar 0 /Widths [" + b"500 " * 256 + b"] >> >> >> "
     return built(rows.select(F.col("p_partkey").alias("doc_id"), F.array(page).alias("pages")), "pages", font)

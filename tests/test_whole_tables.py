@@ -45,3 +45,8 @@ def same_without(spark, sparse, name, cut):
 @pytest.mark.parametrize("name", ["jitter_coverage_64", "jitter_coverage_eo", "analytic_coverage"])
 def test_coverage_of_all_parts(spark, sparse, name):
     same_without(spark, sparse, name, " WHERE p_partkey < 400")
+
+
+@pytest.mark.parametrize("name", ["pdf_text_extract", "pdf_text_pens", "pdf_prescan"])
+def test_texts_of_all_parts(spark, sparse, name):
+    same_without(spark, sparse, name, " WHERE p_partkey < 500")
