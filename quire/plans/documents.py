@@ -118,14 +118,14 @@ def pdf_prescan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pdf_info", "SELECT o_orderkey AS doc_id, '1.4' AS version, CAST(o_custkey % 3 + 1 AS INTEGER) AS n_pages, CAST(2 + 2 * (o_custkey % 3 + 1) AS BIGINT) AS n_objects, false AS encrypted FROM orders WHERE o_orderkey < 2000")
 def pdf_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    orders = table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.array_repeat(F.lit("q Q"), (F.col("o_custkey") % 3 + 1).cast("int")).alias("pages"))
     return T.info(built(rows, "pages")).select("doc_id", "version", "n_pages", "n_objects", "encrypted")
 
 
 @query("pdf_page_tree", "SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS root, CAST(o_custkey % 3 + 1 AS BIGINT) AS leaves, CAST(o_custkey % 3 + 1 AS INTEGER) AS declared FROM orders WHERE o_orderkey < 2000")
 def pdf_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    orders = table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.array_repeat(F.lit(""), (F.col("o_custkey") % 3 + 1).cast("int")).alias("pages"))
     tree = T.page_tree(built(rows, "pages"))
     return tree.groupBy("doc_id").agg(F.min(F.when(F.col("kind") == "node", F.col("node"))).alias("root"), F.count_if(F.col("kind") == "page").alias("leaves"), F.max("declared").alias("declared"))
@@ -140,7 +140,7 @@ def pdf_rendered_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     tenth = lambda m: F.format_string("%.1f", (k % m) / F.lit(10.0))
     page = F.concat_ws(" ", tenth(11), tenth(7), tenth(5), F.lit("rg 0 0 200 100 re f"))
-    rows = table(spark, sf_dir, "part").where("p_partkey < 300").select(k.alias("doc_id"), F.array(page).alias("pages"))
+    rows = table(spark, sf_dir, "part").select(k.alias("doc_id"), F.array(page).alias("pages"))
     shown = T.render(built(rows, "pages"), dpi=72.0, mode="rgb")
     at = 3 * (50 * 200 + 100)
     channel = lambda i: F.conv(F.hex(F.substring("pixels", at + i + 1, 1)), 16, 10).cast("int")

@@ -50,3 +50,8 @@ def test_coverage_of_all_parts(spark, sparse, name):
 @pytest.mark.parametrize("name", ["pdf_text_extract", "pdf_text_pens", "pdf_prescan"])
 def test_texts_of_all_parts(spark, sparse, name):
     same_without(spark, sparse, name, " WHERE p_partkey < 500")
+
+
+@pytest.mark.parametrize("name, cut", [("pdf_info", " WHERE o_orderkey < 2000"), ("pdf_page_tree", " WHERE o_orderkey < 2000"), ("pdf_rendered_colors", " WHERE p_partkey < 300")])
+def test_documents_of_all_rows(spark, sparse, name, cut):
+    same_without(spark, sparse, name, cut)
