@@ -89,7 +89,7 @@ def box_filter_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def image_nearest_blit(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")))
-    rows = table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("img"), (F.lit(20.0) + F.col("p_size")).alias("w"), (F.lit(10.0) + F.col("p_partkey") % 30).alias("h")).withColumn("x", seq).withColumn("y", seq)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), (F.lit(20.0) + F.col("p_size")).alias("w"), (F.lit(10.0) + F.col("p_partkey") % 30).alias("h")).withColumn("x", seq).withColumn("y", seq)
     zero = F.lit(0.0)
     sx, sy = V.source_pixel(F.col("x") * 5, F.col("y") * 4, (F.col("w"), zero, zero, F.col("h"), F.lit(3.0), F.lit(2.0)), 16, 12)
     return rows.select("img", "x", "y", sx.alias("sx"), sy.alias("sy")).where("sx IS NOT NULL")

@@ -55,3 +55,7 @@ def test_texts_of_all_parts(spark, sparse, name):
 @pytest.mark.parametrize("name, cut", [("pdf_info", " WHERE o_orderkey < 2000"), ("pdf_page_tree", " WHERE o_orderkey < 2000"), ("pdf_rendered_colors", " WHERE p_partkey < 300")])
 def test_documents_of_all_rows(spark, sparse, name, cut):
     same_without(spark, sparse, name, cut)
+
+
+def test_blit_of_all_parts(spark, sparse):
+    same_without(spark, sparse, "image_nearest_blit", " WHERE p_partkey < 200")
