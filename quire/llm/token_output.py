@@ -74,7 +74,8 @@ class PieceEncoder:
     The tokenizer cuts before a lone space between two visible characters, so the ids of a
     text are those of its pieces, each with its space. New pieces of Latin letters are cut
     into words here and merged by the tokenizer's model; other new pieces are encoded by
-    the tokenizer. Texts with other white space next to a space are encoded whole.
+    the tokenizer. Texts with other white space next to a space are encoded whole, and so are
+    texts with an added token, such as a special one, which the tokenizer finds before it cuts.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -82,7 +83,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.cache_words = cache_words
@@ -128,6 +129,9 @@ class PieceEncoder:
         """Little-endian 32-bit ids."""
         if not text:
             return b""
+        for content in self.added:
+            if content in text:
+                return self.whole(text)
         first, *rest = text.split(" ")
         self.known.turn(self.cache_words)
         try:

@@ -293,6 +293,19 @@ def test_piece_encoder(text):
         assert e.encode(x) == e.whole(x)
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> a", "a<|endoftext|>b", "a <|endoftext|>", "<|endoftext|>", "<|endoftext|><|endoftext|>\n c", "a <|endoftext| > b", "plain words"])
+def test_piece_encoder_finds_added_tokens(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quire.llm.token_output import PieceEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert list(memoryview(PieceEncoder(path).encode(text)).cast("i")) == ids
+    assert (50256 in ids) == ("<|endoftext|>" in text)
+
+
 # 7
 
 
