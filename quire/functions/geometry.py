@@ -47,7 +47,7 @@ def box_intersection(a: Sequence[Column], b: Sequence[Column]) -> tuple[Column,
 
 def page_pixels(width_pts: Column, height_pts: Column, dpi: Column) -> tuple[Column, Column]:
     scale = dpi / 72
-    return F.round(width_pts * scale).cast("long"), F.round(height_pts * scale).cast("long")
+    return F.floor(width_pts * scale + 0.5).cast("long"), F.floor(height_pts * scale + 0.5).cast("long")
 
 
 def page_error(width: Column, height: Column) -> Column:

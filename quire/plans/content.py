@@ -180,12 +180,13 @@ def operand_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def form_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("form"))
-    kids = [(0, F.col("form") * 2 + 1, F.col("form") * 2 + 1 < 120), (1, F.col("form") * 2 + 2, F.col("form") * 2 + 2 < 120), (2, F.floor(F.col("form") / 4), (F.col("form") % 16 == 5) & (F.col("form") < 120))]
+    kids = [(0, F.col("form") * 2 + 1, F.lit(True)), (1, F.col("form") * 2 + 2, F.lit(True)), (2, F.floor(F.col("form") / 4), F.col("form") % 16 == 5)]
     uses = None
     for ord_, child, on in kids:
         own = part.where(on).select("form", F.lit(ord_).alias("ord"), child.cast("long").alias("child"))
         uses = own if uses is None else uses.unionByName(own)
-    return C.form_expansion(uses, part.where("form < 6"), 9)
+    forms = part.select(F.col("form").alias("child")).distinct()
+    return C.form_expansion(uses.join(forms, "child", "left_semi"), part, 9)
 
 
 @query(

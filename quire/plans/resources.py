@@ -192,8 +192,10 @@ def colorspace_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.obj, coalesce(max(w.at), -1) AS target, coalesce(max(w.n), -1) AS hops FROM r LEFT JOIN (SELECT w.* FROM w JOIN r ON r.obj = w.at AND r.next IS NULL) w ON w.obj = r.obj GROUP BY r.obj""",
 )
 def reference_chase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    following = F.when(F.col("p_size") % 9 != 0, (F.col("p_partkey") * 5 + 3) % 997)
-    refs = table(spark, sf_dir, "part").where("p_partkey < 997").select(F.col("p_partkey").alias("obj"), following.alias("next"))
+    # Each 997 parts refer to each other.
+    own = F.col("p_partkey") % 997
+    following = F.when(F.col("p_size") % 9 != 0, F.col("p_partkey") - own + (own * 5 + 3) % 997)
+    refs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("obj"), following.alias("next"))
     return N.resolved(refs).select("obj", F.coalesce("target", F.lit(-1)).alias("target"), F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 

@@ -59,3 +59,45 @@ def test_documents_of_all_rows(spark, sparse, name, cut):
 
 def test_blit_of_all_parts(spark, sparse):
     same_without(spark, sparse, "image_nearest_blit", " WHERE p_partkey < 200")
+
+
+def test_forms_of_all_parts(spark, sparse, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{SOURCE}/part.parquet' WHERE p_partkey < 300 OR p_partkey BETWEEN 600 AND 610) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    forms = {k for (k,) in con.sql(f"SELECT p_partkey FROM '{tmp_path}/part.parquet'").fetchall()}
+    want = []
+
+    def draw(root, form, path, above):
+        want.append((root, form, ".".join(path)))
+        if len(above) <= 9:
+            for ord_, child in enumerate([form * 2 + 1, form * 2 + 2] + [form // 4] * (form % 16 == 5)):
+                if child in forms and child not in above:
+                    draw(root, child, [*path, str(ord_)], [*above, child])
+
+    for k in forms:
+        draw(k, k, [], [k])
+    got = library.queries()["form_expansion"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_references_of_all_parts(spark, sparse):
+    path, con = sparse
+    size = dict(con.sql("SELECT p_partkey, p_size FROM part").fetchall())
+    want = []
+    for obj in size:
+        at, hops = obj, 0
+        while at in size and size[at] % 9 != 0 and hops <= 32:
+            at, hops = at - at % 997 + (at % 997 * 5 + 3) % 997, hops + 1
+        ends = at in size and size[at] % 9 == 0 and hops <= 32
+        want.append((obj, at if ends else -1, hops if ends else -1))
+    got = library.queries()["reference_chase"](spark, path).select("obj", "target", "hops").collect()
+    assert max(size) > 997 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_guards_of_all_orders(spark, sparse, tmp_path):
+    con = sparse[1]
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 3 ELSE o_custkey END AS o_custkey) FROM orders) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE OR REPLACE VIEW narrow AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = library.queries()["page_pixel_guards"](spark, str(tmp_path))
+    assert got.where("w < 0").count() > 0
+    same(got, con, library.oracle_sql()["page_pixel_guards"].replace(" WHERE o_custkey % 12000 >= 3", "").replace("FROM orders", "FROM narrow"))
