@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ from quire.llm.common import table
 #: without seeing one of them (found by search over all patterns).
 MASKS = ["1111011", "110010111", "11011101", "11100111", "111111", "110101011"]
 WORDS = re.compile(r"\w+")
+#: Runs of scripts written without spaces.
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]+")
+#: Characters of such a run by which an item is looked up.
+ANCHOR = 8
 #: Benchmark text of one block: what is broadcast at once.
 BLOCK_BYTES = 16 << 20
 #: Words of documents aligned at once.
@@ -54,15 +59,18 @@ def masked_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Spaced seeds of a block of benchmark items."""
+    """Spaced seeds of a block of benchmark items. Items of fewer than ``least`` words are
+    looked up whole: by a hash of their words, or by characters in scripts without spaces."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = 13, similarity: float = 0.8, least: int = 8):
         self.window, self.similarity = window, similarity
         self.vocabulary: dict[str, int] = {}
         self.names, self.starts, self.lengths, parts, at = [], [], [], [], 0
+        brief = []
         for name, text in items:
             words = words_of(text)
             if len(words) < least:
+                brief += [(name, words)] if words else []
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], "i4")
             self.names.append(name)
@@ -77,6 +85,52 @@ class Index:
             pos, h = masked_hashes(self.ids, mask)
             order = np.argsort(h, kind="stable")
             self.seeds.append((h[order], pos[order]))
+        self.anchors: dict[int, dict[str, list[tuple[int, str, int]]]] = {}
+        by_length: dict[int, list[tuple[int, list[int]]]] = {}
+        for item, (name, words) in enumerate(brief, len(self.names)):
+            self.names.append(name)
+            line = " ".join(words)
+            if run := UNSPACED.search(line):
+                anchor = run[0][:ANCHOR]
+                self.anchors.setdefault(len(anchor), {}).setdefault(anchor, []).append((item, line, run.start()))
+            else:
+                by_length.setdefault(len(words), []).append((item, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]))
+        self.brief = []
+        for n, own in sorted(by_length.items()):
+            h = masked_hashes(np.array([w for _, words in own for w in words], "i4"), "1" * n)[1][::n]
+            order = np.argsort(h, kind="stable")
+            self.brief.append((n, h[order], np.array([i for i, _ in own])[order], np.array([words for _, words in own], "i4")[order]))
+        #: Known words of the least document that can hold an item.
+        self.fewest = min([4, *by_length])
+
+    def held(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(item, first word, words) of brief items that the text holds by characters."""
+        line, found = " ".join(words), {}
+        for run in UNSPACED.finditer(line):
+            for size, anchors in self.anchors.items():
+                for i in range(run.start(), run.end() - size + 1):
+                    for item, text, offset in anchors.get(line[i : i + size], ()):
+                        a = i - offset
+                        b = a + len(text)
+                        # A word of a script with spaces must not go on beyond the item.
+                        if item not in found and a >= 0 and line.startswith(text, a) and all(x in (0, len(line)) or " " in line[x - 1 : x + 1] or UNSPACED.search(line[x - 1 : x + 1]) for x in (a, b)):
+                            found[item] = (line.count(" ", 0, a), text.count(" ") + 1)
+        return [(item, *v) for item, v in found.items()]
+
+    def whole(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """As ``overlaps``, of brief items by their words."""
+        for n, h, items, words in self.brief:
+            at, own = masked_hashes(ids, "1" * n)
+            lo, hi = np.searchsorted(h, own), np.searchsorted(h, own, side="right")
+            k = hi - lo
+            hits = np.repeat(at, k)
+            place = np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            same = (ids[hits[:, None] + np.arange(n)] == words[place]).all(1)
+            hits, place = hits[same], place[same]
+            docs = np.searchsorted(bounds, hits, side="right")
+            _, first = np.unique(np.stack([docs, place], 1), axis=0, return_index=True)
+            for i in first.tolist():
+                yield int(docs[i]), int(items[place[i]]), int(hits[i]), n, n
 
     def diagonals(self, ids: np.ndarray) -> np.ndarray:
         """Distinct (document position - benchmark position) pairs, as rows (diagonal, item)."""
@@ -111,7 +165,7 @@ class Index:
                 agree = int(total[p + w] - total[p])
                 if best.get((doc, item), (0, 0, 0))[2] < agree:
                     best[doc, item] = (a + p, w, agree)
-        return [(doc, item, *v) for (doc, item), v in best.items()]
+        return [(doc, item, *v) for (doc, item), v in best.items()] + list(self.whole(ids, bounds))
 
 
 def scan(index: Index, texts: Iterator[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -124,8 +178,12 @@ def scan(index: Index, texts: Iterator[str | None]) -> Iterator[tuple[int, int,
             yield rows[doc], item, at - starts[doc], n, agree
 
     for row, text in enumerate(texts):
-        ids = [get(w, -1) for w in words_of(text)]
-        if len(ids) - ids.count(-1) < 4:
+        words = words_of(text)
+        if index.anchors:
+            for item, at, n in index.held(words):
+                yield row, item, at, n, n
+        ids = [get(w, -1) for w in words]
+        if len(ids) - ids.count(-1) < index.fewest:
             continue
         starts.append(size)
         rows.append(row)
@@ -167,8 +225,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     A document holds an item if some 13 consecutive words of it (all of a shorter item)
     agree, word for word at the same places, with the item's in at least 80 %. Words are
-    runs of letters and digits in lower case. Items of fewer than 8 words are not looked
-    for. One row per row of ``docs`` and item with the best window; null ids are kept, null
+    runs of letters and digits in lower case. Items of fewer than 8 words are held where all
+    their words follow each other; those in a script without spaces, where their characters
+    do. One row per row of ``docs`` and item with the best window; null ids are kept, null
     and empty texts hold nothing, repeated items count once. Extra columns are left out.
     """
     spark = docs.sparkSession

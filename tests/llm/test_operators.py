@@ -217,6 +217,24 @@ def test_decontamination(spark, benchmark, block_bytes):
     multiset([(r["doc_id"],) for r in without_contaminated(docs, table, block_bytes=block_bytes).collect()], [(d,) for k, (d, _) in enumerate(rows) if k not in bad])
 
 
+def test_decontamination_by_items_of_few_words(spark):
+    from quire.llm.decontaminate import contaminated, without_contaminated
+
+    items = [(0, "Alpha beta gamma"), (1, "beta"), (2, "one two three four five six seven"), (3, "東京は日本の首都です"), (4, "5月の花"), (5, "..."), (6, "beta"), (7, "one two three four five six seven eight nine")]
+    rows = [
+        (0, "say alpha, BETA gamma!"), (1, "alpha beta delta gamma"), (2, "alphabeta gammas"), (3, "x one two three four five six seven y"), (4, "one two three four five other seven"),
+        (5, "昔から東京は日本の首都です。はい"), (6, "東京は日本"), (7, "15月の花"), (8, "この5月の花が"), (9, None), (10, "..."), (11, "one two three four five six seven eight nine"),
+    ]
+    want = [(0, 0), (0, 1), (0, 6), (1, 1), (1, 6), (3, 2), (5, 3), (8, 4), (11, 2), (11, 7)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (1 << 24, 30):
+        found = contaminated(docs, table, block_bytes=block_bytes).collect()
+        multiset([(r["doc_id"], r["item_id"]) for r in found], want)
+        kept = without_contaminated(docs, table, block_bytes=block_bytes).collect()
+        assert {r["doc_id"] for r in kept} == {d for d, _ in rows} - {d for d, _ in want}
+    assert [tuple(r)[2:] for r in found if r["item_id"] == 0] == [(1, 3, 3)]
+
+
 def test_masks_fit_beside_any_substitutions():
     from itertools import combinations
 
