@@ -173,9 +173,9 @@ def operand_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "form_expansion",
-    """WITH RECURSIVE uses AS (SELECT p_partkey AS form, 0 AS ord, p_partkey * 2 + 1 AS child FROM part WHERE p_partkey * 2 + 1 < 120 UNION ALL SELECT p_partkey, 1, p_partkey * 2 + 2 FROM part WHERE p_partkey * 2 + 2 < 120 UNION ALL SELECT p_partkey, 2, p_partkey // 4 FROM part WHERE p_partkey % 16 = 5 AND p_partkey < 120),
-    r AS (SELECT p_partkey AS root, p_partkey AS form, '' AS path, [p_partkey] AS above FROM part WHERE p_partkey < 6
-      UNION ALL SELECT r.root, u.child, CASE WHEN path = '' THEN '' ELSE path || '.' END || u.ord, list_append(above, u.child) FROM r JOIN uses u ON u.form = r.form WHERE NOT list_contains(above, u.child) AND len(above) <= 9)
+    """WITH RECURSIVE uses AS (SELECT p_partkey AS form, 0 AS ord, p_partkey * 2 + 1 AS child FROM part UNION ALL SELECT p_partkey, 1, p_partkey * 2 + 2 FROM part UNION ALL SELECT p_partkey, 2, p_partkey // 4 FROM part WHERE p_partkey % 16 = 5),
+    r AS (SELECT p_partkey AS root, p_partkey AS form, '' AS path, [p_partkey] AS above FROM part
+      UNION ALL SELECT r.root, u.child, CASE WHEN path = '' THEN '' ELSE path || '.' END || u.ord, list_append(above, u.child) FROM r JOIN uses u ON u.form = r.form WHERE u.child IN (SELECT p_partkey FROM part) AND NOT list_contains(above, u.child) AND len(above) <= 9)
     SELECT root, form, path FROM r""",
 )
 def form_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:

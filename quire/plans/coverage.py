@@ -13,7 +13,7 @@ from quire.plans.registry import query, table
 
 #: A triangle for each part, as corners; pixels of a 4 x 4 grid.
 CORNERS = "p_partkey AS shape, (p_partkey * 7 % 40) / 8.0::DOUBLE AS ax, (p_partkey * 11 % 40) / 8.0::DOUBLE AS ay, (p_partkey * 13 % 40) / 8.0::DOUBLE AS bx, (p_partkey * 17 % 40) / 8.0::DOUBLE AS b_y, (p_partkey * 19 % 40) / 8.0::DOUBLE AS cx, (p_partkey * 23 % 40) / 8.0::DOUBLE AS cy"
-EDGES = f"t AS (SELECT {CORNERS} FROM part WHERE p_partkey < 400), e AS (SELECT shape, ax AS x0, ay AS y0, bx AS x1, b_y AS y1 FROM t UNION ALL SELECT shape, bx, b_y, cx, cy FROM t UNION ALL SELECT shape, cx, cy, ax, ay FROM t)"
+EDGES = f"t AS (SELECT {CORNERS} FROM part), e AS (SELECT shape, ax AS x0, ay AS y0, bx AS x1, b_y AS y1 FROM t UNION ALL SELECT shape, bx, b_y, cx, cy FROM t UNION ALL SELECT shape, cx, cy, ax, ay FROM t)"
 JITTER = ", ".join(f"({x!r}::DOUBLE, {y!r}::DOUBLE)" for x, y in V.jitter())
 
 
@@ -83,7 +83,7 @@ def box_filter_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "image_nearest_blit",
-    """WITH g AS (SELECT p_partkey AS img, x.k AS x, y.k AS y, (20 + p_size)::DOUBLE AS w, (10 + p_partkey % 30)::DOUBLE AS h FROM part, generate_series(0, 9) x(k), generate_series(0, 9) y(k) WHERE p_partkey < 200),
+    """WITH g AS (SELECT p_partkey AS img, x.k AS x, y.k AS y, (20 + p_size)::DOUBLE AS w, (10 + p_partkey % 30)::DOUBLE AS h FROM part, generate_series(0, 9) x(k), generate_series(0, 9) y(k)),
     u AS (SELECT *, ((x * 5 + 0.5 - 3) * h) / (w * h) AS u, ((y * 4 + 0.5 - 2) * w) / (w * h) AS v FROM g)
     SELECT img, x, y, CAST(floor(u * 16) AS BIGINT) AS sx, CAST(floor((1 - v) * 12 - 1e-12) AS BIGINT) AS sy FROM u WHERE u >= 0 AND u < 1 AND v >= 0 AND v < 1""",
 )
@@ -111,7 +111,7 @@ def dash_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.dash_cuts(segments, ["path"], 6, 4, 3)
 
 
-CROSSINGS = "x AS (SELECT l_suppkey % 40 AS paint, l_linenumber::BIGINT AS y, row_number() OVER (PARTITION BY l_suppkey % 40, l_linenumber ORDER BY l_orderkey, l_partkey, l_quantity, l_extendedprice) AS seg, l_partkey * 13 % 200 AS lo, l_partkey * 13 % 200 + CAST(l_quantity AS BIGINT) % 4 AS hi, l_orderkey % 3 - 1 AS cnt FROM lineitem WHERE l_orderkey < 600)"
+CROSSINGS = "x AS (SELECT l_suppkey % 40 AS paint, l_linenumber::BIGINT AS y, row_number() OVER (PARTITION BY l_suppkey % 40, l_linenumber ORDER BY l_orderkey, l_partkey, l_quantity, l_extendedprice) AS seg, l_partkey * 13 % 200 AS lo, l_partkey * 13 % 200 + CAST(l_quantity AS BIGINT) % 4 AS hi, l_orderkey % 3 - 1 AS cnt FROM lineitem)"
 
 
 @query(

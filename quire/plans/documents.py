@@ -99,31 +99,31 @@ def texts_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(rows.select(F.col("p_partkey").alias("doc_id"), F.array(page).alias("pages")), "pages", font)
 
 
-@query("pdf_text_extract", "SELECT p_partkey AS doc_id, p_name || p_type AS text, length(p_name || p_type) AS n FROM part WHERE p_partkey < 500")
+@query("pdf_text_extract", "SELECT p_partkey AS doc_id, p_name || p_type AS text, length(p_name || p_type) AS n FROM part")
 def pdf_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = T.glyphs(texts_of_parts(spark, sf_dir))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "character"))), lambda g: g["character"]), "")
     return shown.groupBy("doc_id").agg(text.alias("text"), F.count(F.lit(1)).alias("n"))
 
 
-@query("pdf_text_pens", "SELECT p_partkey AS doc_id, CAST(i - 1 AS BIGINT) AS k, 5 + (i - 1) * 4.0::DOUBLE AS x, 50.0::DOUBLE AS y FROM part, LATERAL (SELECT unnest(range(1, length(p_name) + 1)) AS i) WHERE p_partkey < 500")
+@query("pdf_text_pens", "SELECT p_partkey AS doc_id, CAST(i - 1 AS BIGINT) AS k, 5 + (i - 1) * 4.0::DOUBLE AS x, 50.0::DOUBLE AS y FROM part, LATERAL (SELECT unnest(range(1, length(p_name) + 1)) AS i)")
 def pdf_text_pens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.glyphs(texts_of_parts(spark, sf_dir)).where("y = 50").select("doc_id", "k", F.round("x", 6).alias("x"), "y")
 
 
-@query("pdf_prescan", "SELECT p_partkey AS doc_id, 1 AS page_num, CAST(7 AS BIGINT) AS n_ops, false AS has_images, true AS has_vector_text, '' AS unknown_ops FROM part WHERE p_partkey < 500")
+@query("pdf_prescan", "SELECT p_partkey AS doc_id, 1 AS page_num, CAST(7 AS BIGINT) AS n_ops, false AS has_images, true AS has_vector_text, '' AS unknown_ops FROM part")
 def pdf_prescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.prescan(texts_of_parts(spark, sf_dir)).select("doc_id", "page_num", "n_ops", "has_images", "has_vector_text", "unknown_ops")
 
 
-@query("pdf_info", "SELECT o_orderkey AS doc_id, '1.4' AS version, CAST(o_custkey % 3 + 1 AS INTEGER) AS n_pages, CAST(2 + 2 * (o_custkey % 3 + 1) AS BIGINT) AS n_objects, false AS encrypted FROM orders WHERE o_orderkey < 2000")
+@query("pdf_info", "SELECT o_orderkey AS doc_id, '1.4' AS version, CAST(o_custkey % 3 + 1 AS INTEGER) AS n_pages, CAST(2 + 2 * (o_custkey % 3 + 1) AS BIGINT) AS n_objects, false AS encrypted FROM orders")
 def pdf_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.array_repeat(F.lit("q Q"), (F.col("o_custkey") % 3 + 1).cast("int")).alias("pages"))
     return T.info(built(rows, "pages")).select("doc_id", "version", "n_pages", "n_objects", "encrypted")
 
 
-@query("pdf_page_tree", "SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS root, CAST(o_custkey % 3 + 1 AS BIGINT) AS leaves, CAST(o_custkey % 3 + 1 AS INTEGER) AS declared FROM orders WHERE o_orderkey < 2000")
+@query("pdf_page_tree", "SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS root, CAST(o_custkey % 3 + 1 AS BIGINT) AS leaves, CAST(o_custkey % 3 + 1 AS INTEGER) AS declared FROM orders")
 def pdf_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.array_repeat(F.lit(""), (F.col("o_custkey") % 3 + 1).cast("int")).alias("pages"))
@@ -133,7 +133,7 @@ def pdf_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pdf_rendered_colors",
-    "SELECT p_partkey AS doc_id, CAST(floor((p_partkey % 11) / 10.0::DOUBLE * 255 + 0.5) AS INTEGER) AS r, CAST(floor((p_partkey % 7) / 10.0::DOUBLE * 255 + 0.5) AS INTEGER) AS g, CAST(floor((p_partkey % 5) / 10.0::DOUBLE * 255 + 0.5) AS INTEGER) AS b FROM part WHERE p_partkey < 300",
+    "SELECT p_partkey AS doc_id, CAST(floor((p_partkey % 11) / 10.0::DOUBLE * 255 + 0.5) AS INTEGER) AS r, CAST(floor((p_partkey % 7) / 10.0::DOUBLE * 255 + 0.5) AS INTEGER) AS g, CAST(floor((p_partkey % 5) / 10.0::DOUBLE * 255 + 0.5) AS INTEGER) AS b FROM part",
 )
 def pdf_rendered_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The middle pixel of pages filled with a colour, drawn as RGB."""

@@ -21,13 +21,13 @@ from quire.plans.registry import query, table
 
 @query(
     "code_cid_gid_chain",
-    "WITH c AS (SELECT DISTINCT l_partkey % 256 AS code FROM lineitem), m AS (SELECT p_partkey AS code, p_partkey * 3 % 100 AS cid FROM part WHERE p_partkey < 256 AND p_size % 3 <> 0), g AS (SELECT p_partkey AS cid, p_size * 2 AS gid FROM part WHERE p_partkey < 80) SELECT code, coalesce(m.cid, 0) AS cid, coalesce(gid, 0) AS gid FROM c LEFT JOIN m USING (code) LEFT JOIN g ON g.cid = coalesce(m.cid, 0)",
+    "WITH c AS (SELECT DISTINCT l_partkey % 256 AS code FROM lineitem), m AS (SELECT p_partkey AS code, p_partkey * 3 % 100 AS cid FROM part WHERE p_size % 3 <> 0), g AS (SELECT p_partkey AS cid, p_size * 2 AS gid FROM part) SELECT code, coalesce(m.cid, 0) AS cid, coalesce(gid, 0) AS gid FROM c LEFT JOIN m USING (code) LEFT JOIN g ON g.cid = coalesce(m.cid, 0)",
 )
 def code_cid_gid_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     codes = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 256).alias("code")).distinct()
-    to_cid = part.where("p_partkey < 256 AND p_size % 3 <> 0").select(F.col("p_partkey").alias("code"), (F.col("p_partkey") * 3 % 100).alias("cid"))
-    to_gid = part.where("p_partkey < 80").select(F.col("p_partkey").alias("cid"), (F.col("p_size") * 2).alias("gid"))
+    to_cid = part.where("p_size % 3 <> 0").select(F.col("p_partkey").alias("code"), (F.col("p_partkey") * 3 % 100).alias("cid"))
+    to_gid = part.select(F.col("p_partkey").alias("cid"), (F.col("p_size") * 2).alias("gid"))
     return X.glyph_ids(codes, to_cid, to_gid).select("code", "cid", "gid")
 
 
@@ -65,12 +65,12 @@ def cmap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "show_text_pens",
-    "WITH s AS (SELECT p_partkey AS str, p_name AS t FROM part), c AS (SELECT str, CAST(i - 1 AS INTEGER) AS k, CAST(ord(substr(t, CAST(i AS BIGINT), 1)) AS BIGINT) AS code FROM s, LATERAL (SELECT unnest(range(1, length(t) + 1)) AS i)), w AS (SELECT p_partkey AS code, CAST(max(p_size) * 10 AS BIGINT) AS width FROM part WHERE p_partkey < 128 GROUP BY 1) SELECT str, k, code, CAST(coalesce(sum(coalesce(width, 500) * 12 + 2000 + CASE WHEN code = 32 THEN 3000 ELSE 0 END) OVER (PARTITION BY str ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pen FROM c LEFT JOIN w USING (code)",
+    "WITH s AS (SELECT p_partkey AS str, p_name AS t FROM part), c AS (SELECT str, CAST(i - 1 AS INTEGER) AS k, CAST(ord(substr(t, CAST(i AS BIGINT), 1)) AS BIGINT) AS code FROM s, LATERAL (SELECT unnest(range(1, length(t) + 1)) AS i)), w AS (SELECT p_partkey AS code, CAST(max(p_size) * 10 AS BIGINT) AS width FROM part GROUP BY 1) SELECT str, k, code, CAST(coalesce(sum(coalesce(width, 500) * 12 + 2000 + CASE WHEN code = 32 THEN 3000 ELSE 0 END) OVER (PARTITION BY str ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pen FROM c LEFT JOIN w USING (code)",
 )
 def show_text_pens(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     codes = X.shown_codes(part.select(F.col("p_partkey").alias("str"), "p_name"), ["str"], "p_name")
-    widths = part.where("p_partkey < 128").groupBy(F.col("p_partkey").alias("code")).agg((F.max("p_size") * 10).cast("long").alias("width"))
+    widths = part.groupBy(F.col("p_partkey").alias("code")).agg((F.max("p_size") * 10).cast("long").alias("width"))
     with_width = codes.join(widths, "code", "left").withColumn("width", F.coalesce("width", long(500)))
     return X.pens(with_width, ["str"], "k", F.lit(12), F.lit(2), F.lit(3), F.lit(1)).select("str", "k", "code", F.col("pen").cast("long").alias("pen"))
 
@@ -187,7 +187,7 @@ def colorspace_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reference_chase",
-    """WITH RECURSIVE r AS (SELECT p_partkey AS obj, CASE WHEN p_size % 9 = 0 THEN NULL ELSE (p_partkey * 5 + 3) % 997 END AS next FROM part WHERE p_partkey < 997),
+    """WITH RECURSIVE r AS (SELECT p_partkey AS obj, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_partkey - p_partkey % 997 + (p_partkey % 997 * 5 + 3) % 997 END AS next FROM part),
     w AS (SELECT obj, obj AS at, 0 AS n FROM r UNION ALL SELECT w.obj, r.next, w.n + 1 FROM w JOIN r ON r.obj = w.at WHERE r.next IS NOT NULL AND w.n < 32)
     SELECT r.obj, coalesce(max(w.at), -1) AS target, coalesce(max(w.n), -1) AS hops FROM r LEFT JOIN (SELECT w.* FROM w JOIN r ON r.obj = w.at AND r.next IS NULL) w ON w.obj = r.obj GROUP BY r.obj""",
 )

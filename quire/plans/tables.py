@@ -127,7 +127,7 @@ def suggested_dpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), G.suggested_dpi(F.col("o_totalprice") / 1000, 150, 400).alias("dpi"))
 
 
-@query("page_pixel_guards", "SELECT o_orderkey AS doc, w, h, CASE WHEN w <= 0 OR h <= 0 THEN 'PageDegenerate' WHEN w > 32768 OR h > 32768 THEN 'PageTooLarge' WHEN w * h > 600000000 THEN 'PageAreaTooLarge' END AS error FROM (SELECT o_orderkey, CAST(floor((o_custkey % 12000 - 3) * 300 / 72.0::DOUBLE + 0.5) AS BIGINT) AS w, CAST(floor((o_orderkey % 7000) * 300 / 72.0::DOUBLE + 0.5) AS BIGINT) AS h FROM orders WHERE o_custkey % 12000 >= 3)")
+@query("page_pixel_guards", "SELECT o_orderkey AS doc, w, h, CASE WHEN w <= 0 OR h <= 0 THEN 'PageDegenerate' WHEN w > 32768 OR h > 32768 THEN 'PageTooLarge' WHEN w * h > 600000000 THEN 'PageAreaTooLarge' END AS error FROM (SELECT o_orderkey, CAST(floor((o_custkey % 12000 - 3) * 300 / 72.0::DOUBLE + 0.5) AS BIGINT) AS w, CAST(floor((o_orderkey % 7000) * 300 / 72.0::DOUBLE + 0.5) AS BIGINT) AS h FROM orders)")
 def page_pixel_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     w, h = G.page_pixels((F.col("o_custkey") % 12000 - 3).cast("double"), (F.col("o_orderkey") % 7000).cast("double"), F.lit(300))
