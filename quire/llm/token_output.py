@@ -9,12 +9,15 @@ and page indexes on the sorted ``doc_id`` let one document be read without its r
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 from operator import attrgetter
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,10 @@ CACHE_WORDS = 400_000
 SPACE, STOPS = "\u0120", (",", ".")
 #: How this kind of tokenizer cuts a text before its merges.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The pre-tokenizer whose cuts are known here, as a tokenizer file states it.
+KNOWN_CUTS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: Merging options of a model under which a word's ids don't depend on where it stands.
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 ID = attrgetter("id")
 PLAIN = re.compile("[\n -~\xa1-\xac\xae-\u024f]+").fullmatch
 
@@ -41,6 +48,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def worker_store() -> dict[str, PieceEncoder]:
+    """What this Python worker keeps between tasks. This package travels with each task,
+    with globals of its own, so the store is a module of the worker."""
+    return vars(sys.modules.setdefault("quire_worker_store", ModuleType("quire_worker_store"))).setdefault("encoders", {})
+
+
 class Whole(Exception):
     """The text at hand must be encoded whole."""
 
@@ -76,6 +89,9 @@ class PieceEncoder:
     into words here and merged by the tokenizer's model; other new pieces are encoded by
     the tokenizer. Texts with other white space next to a space are encoded whole, and so are
     texts with an added token, such as a special one, which the tokenizer finds before it cuts.
+
+    That holds for files with the byte-level pre-tokenizer, no normalizer, no post-processor
+    and plain merges. With any other file every text is encoded whole by the library.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -83,7 +99,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()  # whole texts, whatever the file says
+        self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not self.cuts_known(path):
+            self.encode = self.encode_whole
+            return
         self.merge = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.cache_words = cache_words
@@ -93,13 +114,22 @@ class PieceEncoder:
     @classmethod
     def of_worker(cls, path: str) -> PieceEncoder:
         """The encoder that this Python worker keeps between tasks."""
-        import tokenizers
-
-        kept = tokenizers.__dict__.setdefault("_quire_encoders", {})
+        kept = worker_store()
         if path not in kept:
             kept[path] = cls(path)
         return kept[path]
 
+    @staticmethod
+    def cuts_known(path: str) -> bool:
+        """Whether the file's tokenizer cuts texts as this class does."""
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model = file["model"]
+        return file.get("pre_tokenizer") == KNOWN_CUTS and not file.get("normalizer") and not file.get("post_processor") and all(model.get(k) == v for k, v in PLAIN_MODEL.items())
+
+    def encode_whole(self, text: str) -> bytes:
+        return self.whole(text) if text else b""
+
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -185,7 +215,8 @@ def write_token_lists(
     ``encoding`` is ``delta`` or ``dictionary``. Files follow each other by ``part``. Null ids
     come first; a null or empty text has the end id alone (or no ids). Rows that share an id
     follow each other in the order of their texts' hashes, so a run of them can span files.
-    Extra columns are left out. No rows: an empty table is written.
+    Very long texts are encoded whole, one at a time. Any file of the tokenizers library will
+    do. Extra columns are left out. No rows: an empty table is written.
     """
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"encoding {encoding!r}: delta or dictionary")

@@ -324,6 +324,57 @@ def test_piece_encoder_finds_added_tokens(text):
     assert (50256 in ids) == ("<|endoftext|>" in text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "truncated"])
+def test_other_tokenizers_encode_whole(name, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quire.llm.token_output import PieceEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json" if name == "truncated" else name)
+    plain = Tokenizer.from_file(path)
+    if name == "truncated":  # and with a space before each text
+        file = json.load(open(path))
+        file["pre_tokenizer"]["add_prefix_space"] = True
+        file["truncation"] = {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}
+        path = str(tmp_path / "t.json")
+        json.dump(file, open(path, "w"))
+        plain = Tokenizer.from_file(path)
+        plain.no_truncation()
+    for text in ("", "It's  a Test", "x <|endoftext|> y", "naïve CAFÉ 12 345", " a\n b"):
+        assert list(memoryview(PieceEncoder(path).encode(text)).cast("i")) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_token_query_against_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quire.llm.registry import queries
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    start, want = 0, []
+    for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()):
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    multiset(queries()["op6_token_ids"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect(), want)
+
+
+def test_token_starts_span_parts(spark, docs, rows, tmp_path):
+    import public_tokenizers
+
+    from quire.llm.token_output import crc_batches, with_starts, write_token_lists
+
+    schema = "doc_id long, part int, n_tokens long, ids array<int>"
+    files = spark.read.schema(schema).parquet(write_token_lists(docs, public_tokenizers.path("byte_bpe_50k.json"), path=str(tmp_path / "t"), files=4))
+    read = files.select("doc_id", "part", "ids").mapInArrow(crc_batches, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    out = sorted(with_starts(read, files.select("part", "n_tokens"), "n_tokens", "ids_crc32").collect(), key=lambda r: r["start"])
+    assert len({r["part"] for r in out}) > 1 and len(out) == len(rows) and out[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:]))
+
+
 # 7
 
 
