@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.llm.common import table
 
@@ -34,6 +35,8 @@ ANCHOR = 8
 BLOCK_BYTES = 16 << 20
 #: Words of documents aligned at once.
 CHUNK_WORDS = 1 << 19
+#: Pairs of a document's and an item's place that are compared at once.
+HITS = 1 << 17
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], "u8")
 
 
@@ -58,6 +61,20 @@ def masked_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
+def surroundings(ids: np.ndarray, at: np.ndarray, reach: int, *more: np.ndarray) -> np.ndarray:
+    """(places, words) of all windows of ``reach`` words over seeds at ``at``; -1 beyond the
+    ends. ``more`` are further columns."""
+    padded = np.concatenate([np.full(reach, -1, "i4"), ids, np.full(2 * reach, -1, "i4")])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, 3 * reach)[at]
+    return np.concatenate([rows, *(c[:, None].astype("i4") for c in more)], axis=1) if more else rows
+
+
+def distinct_places(rows: np.ndarray) -> np.ndarray:
+    """The first of each set of equal rows, ascending. Compared byte for byte."""
+    rows = np.ascontiguousarray(rows)
+    return np.sort(np.unique(rows.view(f"V{rows.shape[1] * rows.itemsize}").ravel(), return_index=True)[1])
+
+
 class Index:
     """Spaced seeds of a block of benchmark items. Items of fewer than ``least`` words are
     looked up whole: by a hash of their words, or by characters in scripts without spaces."""
@@ -80,11 +97,12 @@ class Index:
             at += len(ids) + window
         self.ids = np.concatenate(parts) if parts else np.zeros(0, "i4")
         self.item_at = np.repeat(np.arange(len(self.names)), [n + window for n in self.lengths]) if parts else np.zeros(0, "i8")
+        self.starts, self.lengths = np.array(self.starts, "i8"), np.array(self.lengths, "i8")
         self.seeds = []
         for mask in MASKS:
             pos, h = masked_hashes(self.ids, mask)
             order = np.argsort(h, kind="stable")
-            self.seeds.append((h[order], pos[order]))
+            self.seeds.append(self.without_repeats(h[order], pos[order]))
         self.anchors: dict[int, dict[str, list[tuple[int, str, int]]]] = {}
         by_length: dict[int, list[tuple[int, list[int]]]] = {}
         for item, (name, words) in enumerate(brief, len(self.names)):
@@ -103,6 +121,17 @@ class Index:
         #: Known words of the least document that can hold an item.
         self.fewest = min([4, *by_length])
 
+    def without_repeats(self, h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of places of an item that are alike as far as windows over a seed reach, one is kept:
+        an item that says the same over and over has few places that differ."""
+        keep = np.ones(len(h), bool)
+        shared = np.flatnonzero(np.append(False, h[1:] == h[:-1]) | np.append(h[1:] == h[:-1], False)) if len(h) else np.zeros(0, "i8")
+        for cut in range(0, len(shared), HITS):
+            own = shared[cut : cut + HITS]
+            keep[own] = False
+            keep[own[distinct_places(surroundings(self.ids, pos[own], self.window, self.item_at[pos[own]]))]] = True
+        return h[keep], pos[keep]
+
     def held(self, words: list[str]) -> list[tuple[int, int, int]]:
         """(item, first word, words) of brief items that the text holds by characters."""
         line, found = " ".join(words), {}
@@ -132,40 +161,61 @@ class Index:
             for i in first.tolist():
                 yield int(docs[i]), int(items[place[i]]), int(hits[i]), n, n
 
-    def diagonals(self, ids: np.ndarray) -> np.ndarray:
-        """Distinct (document position - benchmark position) pairs, as rows (diagonal, item)."""
-        found = []
+    def matches(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(documents, items, first words, window lengths, words that agree) of windows around
+        seed hits that agree in enough words, ``HITS`` hits at a time."""
+        begins = np.concatenate([[0], bounds[:-1]])
+        ends = bounds - self.window  # without the gap
         for mask, (h, pos) in zip(MASKS, self.seeds):
             at, own = masked_hashes(ids, mask)
-            lo, hi = np.searchsorted(h, own), np.searchsorted(h, own, side="right")
-            n = hi - lo
-            if n.any():
-                hits = np.repeat(np.arange(len(at)), n)
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                place = pos[lo[hits] + within]
-                found.append(np.stack([at[hits] - place, self.item_at[place]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), "i8")
+            known = np.searchsorted(h, own) < np.searchsorted(h, own, side="right")
+            at, own = at[known], own[known]
+            docs = np.searchsorted(bounds, at, side="right")
+            if len(at) > 1:
+                first = distinct_places(surroundings(ids, at, self.window, docs))
+                at, own, docs = at[first], own[first], docs[first]
+            lo = np.searchsorted(h, own)
+            n = np.searchsorted(h, own, side="right") - lo
+            total = np.concatenate([[0], np.cumsum(n)])
+            for cut in range(0, int(total[-1]), HITS):
+                k = np.arange(cut, min(cut + HITS, int(total[-1])))
+                hit = np.searchsorted(total, k, side="right") - 1
+                yield self.verified(ids, at[hit], docs[hit], pos[lo[hit] + k - total[hit]], begins, ends)
+
+    def verified(self, ids: np.ndarray, at: np.ndarray, docs: np.ndarray, place: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of document positions ``at`` and item positions ``place`` that a seed aligns: windows
+        over the seed that lie within both texts and agree in enough words."""
+        item = self.item_at[place]
+        width = np.minimum(self.window, self.lengths[item])
+        need = np.ceil(self.similarity * width - 1e-9).astype("i8")
+        a, b = surroundings(ids, at, self.window), surroundings(self.ids, place, self.window)
+        same = (a == b) & (b >= 0)
+        total = np.concatenate([np.zeros((len(at), 1), "i2"), np.cumsum(same, axis=1, dtype="i2")], axis=1)
+        out = []
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            agree = total[rows, w:] - total[rows, :-w]
+            shift = np.arange(agree.shape[1]) - self.window
+            starts, in_item = at[rows, None] + shift, place[rows, None] + shift
+            inside = (starts >= begins[docs[rows], None]) & (starts + w <= ends[docs[rows], None])
+            inside &= (in_item >= self.starts[item[rows], None]) & (in_item + w <= (self.starts + self.lengths)[item[rows], None])
+            i, j = np.nonzero(inside & (agree >= need[rows, None]))
+            r = rows[i]
+            out.append((docs[r], item[r], starts[i, j], np.full(len(r), w), agree[i, j].astype("i8")))
+        return tuple(map(np.concatenate, zip(*out)))
 
     def overlaps(self, ids: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word, words, words that agree) of verified overlaps, where
-        ``bounds`` holds the documents' ends in ``ids``. The best window per pair."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for diagonal, item in self.diagonals(ids).tolist():
-            start, length = self.starts[item], self.lengths[item]
-            a = max(0, diagonal + start)
-            b = min(len(ids), diagonal + start + length)
-            same = ids[a:b] == self.ids[a - diagonal : b - diagonal]
-            w = min(self.window, length)
-            if len(same) < w:
-                continue
-            total = np.concatenate([[0], np.cumsum(same)])
-            good = np.flatnonzero(total[w:] - total[:-w] >= int(np.ceil(self.similarity * w)))
-            for p in good.tolist():
-                doc = int(np.searchsorted(bounds, a + p, side="right"))
-                agree = int(total[p + w] - total[p])
-                if best.get((doc, item), (0, 0, 0))[2] < agree:
-                    best[doc, item] = (a + p, w, agree)
-        return [(doc, item, *v) for (doc, item), v in best.items()] + list(self.whole(ids, bounds))
+        ``bounds`` holds the documents' ends in ``ids``, a gap included. The best window per
+        pair, of equal ones the first."""
+        best = [np.zeros(0, "i8")] * 5
+        for found in self.matches(ids, bounds):
+            docs, items, at, n, agree = map(np.concatenate, zip(best, found))
+            order = np.lexsort((at, -agree, items, docs))
+            pair = np.stack([docs[order], items[order]])
+            first = order[np.concatenate([[True], (pair[:, 1:] != pair[:, :-1]).any(axis=0)])] if len(order) else order
+            best = [x[first] for x in (docs, items, at, n, agree)]
+        return list(zip(*(x.tolist() for x in best))) + list(self.whole(ids, bounds))
 
 
 def scan(index: Index, texts: Iterator[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -187,7 +237,7 @@ def scan(index: Index, texts: Iterator[str | None]) -> Iterator[tuple[int, int,
             continue
         starts.append(size)
         rows.append(row)
-        parts += [np.array(ids, "i4"), gap]  # a window over the gap agrees in too few words
+        parts += [np.array(ids, "i4"), gap]
         size += len(ids) + len(gap)
         bounds.append(size)
         if size > CHUNK_WORDS:
@@ -207,14 +257,14 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, **options):
         yield Index(sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda x: (x[0] is None, x[0], x[1])), **options)
 
 
-def overlap_batches(index):
+def overlap_batches(index, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
             found = list(scan(own, (t.as_py() for t in batch.column("text"))))
             cols = list(zip(*found)) or [()] * 5
             ids = batch.column("doc_id").take(pa.array(cols[0], pa.int32()))
-            items = pa.array([own.names[i] for i in cols[1]], pa.int64())
+            items = pa.array([own.names[i] for i in cols[1]], item_type)
             yield pa.RecordBatch.from_arrays([ids, items, *(pa.array(c, pa.int32()) for c in cols[2:])], ["doc_id", "item_id", "first_word", "n_words", "n_agree"])
 
     return run
@@ -227,14 +277,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     agree, word for word at the same places, with the item's in at least 80 %. Words are
     runs of letters and digits in lower case. Items of fewer than 8 words are held where all
     their words follow each other; those in a script without spaces, where their characters
-    do. One row per row of ``docs`` and item with the best window; null ids are kept, null
-    and empty texts hold nothing, repeated items count once. Extra columns are left out.
+    do. One row per row of ``docs`` and item with the best window, of equal ones the first; ids
+    may be of any type. Null ids are kept, null and empty texts hold nothing, repeated rows are
+    judged alike, repeated items count once. Very long texts are taken whole; places that are
+    alike are compared once, so texts that repeat themselves cost little. No documents or no
+    items: no rows. Extra columns are left out.
     """
     spark = docs.sparkSession
-    found = None
+    found, item = None, benchmark.schema["item_id"].dataType
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item.simpleString()}, first_word int, n_words int, n_agree int"
     for index in blocks(benchmark, **options):
         sent = spark.sparkContext.broadcast(index)
-        part = docs.select("doc_id", "text").mapInArrow(overlap_batches(sent), "doc_id long, item_id long, first_word int, n_words int, n_agree int")
+        part = docs.select("doc_id", "text").mapInArrow(overlap_batches(sent, to_arrow_type(item)), schema)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -235,6 +235,41 @@ def test_decontamination_by_items_of_few_words(spark):
     assert [tuple(r)[2:] for r in found if r["item_id"] == 0] == [(1, 3, 3)]
 
 
+def test_decontamination_of_texts_that_repeat_themselves(spark):
+    import time
+
+    from quire.llm.decontaminate import Index, contaminated, scan
+
+    began = time.process_time()
+    item, doc = "spam " * 100_000, "other words first " + "spam " * 100_000
+    assert [x[:3] for x in scan(Index([(1, item)]), [doc, "spam " * 12, "spam ham " * 500])] == [(0, 0, 3)]
+    rng = random.Random(1)
+    two = [" ".join(rng.choice("ab") for _ in range(n)) for n in (3000, 20_000, 30, 12)]
+    items = [(0, two[0]), (1, " ".join("abc"[i % 3] for i in range(2000)))]
+    texts = [two[1], two[2], two[3], "a b c " * 3000, "b a " * 3000, None, ""]
+    rows = list(enumerate(texts))
+    assert time.process_time() - began < 60
+    small = [(d, t and " ".join(t.split()[:200])) for d, t in rows]
+    few = [(i, " ".join(t.split()[:150])) for i, t in items]
+    docs = spark.createDataFrame([(f"d{d}", t) for d, t in small], "doc_id string, text string")
+    found = contaminated(docs, spark.createDataFrame([(f"i{i}", t) for i, t in few], "item_id string, text string"))
+    multiset([(r["doc_id"], r["item_id"]) for r in found.collect()], [(f"d{d}", f"i{i}") for _, d, i in brute_leaks(small, few)])
+    found = {(d, i): (at, agree) for d, i, at, n, agree in scan(Index(items), texts)}
+    assert found[0, 0][1] == 13 and found[3, 1] == (0, 13)
+    assert time.process_time() - began < 120
+
+
+def test_decontamination_reports_the_first_best_window():
+    from quire.llm.decontaminate import Index, scan
+
+    rng = random.Random(21)
+    item = words(15, rng).split()
+    part = list(item[:13])
+    part[6] = "changed"
+    text = [*words(3, rng).split(), *part, *words(4, rng).split(), *item, *words(2, rng).split(), *item]
+    assert list(scan(Index([("x", " ".join(item))]), [" ".join(text)])) == [(0, 0, 20, 13, 13)]
+
+
 def test_masks_fit_beside_any_substitutions():
     from itertools import combinations
 
