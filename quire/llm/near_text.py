@@ -1,12 +1,16 @@
 """Near-duplicate texts: bit-sliced SimHash comparison, then exact similarity where in doubt.
 
 Texts are sets of word shingles. Each has a 512-bit SimHash and eight keys made of two minima
-of its shingle hashes; texts that share a key are compared bit-sliced. A distance far below
-what the wanted similarity gives on average is a link, one far above is none, and what
-lies between is decided by the shingle sets themselves: only texts with a partner in doubt
+of its shingle hashes; texts that share a key are compared bit-sliced. A distance far above
+what the wanted similarity gives on average is no link, equal fingerprints are one, and
+all between is decided by the shingle sets themselves: only texts with a partner in doubt
 have their sets fetched, and once two texts are in one component they are not
 compared again. No pair is written for more than one link of a component.
 
+Fingerprints alone can't give the candidates: at a similarity of 0.8 they differ in 15 % of
+their bits on average, so a key of 16 bits would be shared by 7 % of such pairs (90 tables for
+the 0.999 that eight keys of two minima reach), and exact pigeonhole keys would have 4 bits.
+
 A key of very many texts is dealt to cells: its texts are cut into chunks and each pair of
 chunks is compared in a task of its own, so no pair is lost and no task holds the whole.
 """
@@ -40,7 +44,7 @@ LINKS = "u long, v long, key long"
 
 @dataclass(frozen=True)
 class Radii:
-    """Differing bits: a link for sure, none for sure beyond ``doubt`` (``few`` for small sets)."""
+    """Differing bits: a link up to ``sure``, none beyond ``doubt`` (``few`` for small sets)."""
 
     sure: int
     doubt: int
@@ -53,7 +57,7 @@ def radii_of(similarity: float, bits: int = 64 * WORDS) -> Radii:
     similarity (others are nearer); ties in small sets add up to a quarter to the mean."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     mean, spread = bits * p, 4 * math.sqrt(bits * p * (1 - p))
-    return Radii(max(0, math.floor(mean - spread)), math.ceil(mean + spread), math.ceil(1.25 * mean + spread), similarity)
+    return Radii(0, math.ceil(mean + spread), math.ceil(1.25 * mean + spread), similarity)
 
 
 def signed(x: int) -> int:
@@ -240,11 +244,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, cel
 
     Equal texts are one class (``least``: its smallest id). Classes are linked where the Jaccard
     similarity of their sets of ``size``-word shingles (lower case A-Z; the whole text if it has
-    fewer words) is at least ``similarity``. A pair at 0.8 shares one of the eight keys, and
+    fewer words) is at least ``similarity``, which the sets themselves decide for all pairs but
+    those with equal 512-bit fingerprints. A pair at 0.8 shares one of the eight keys, and
     so is seen, with probability 0.9997; more similar pairs with a higher one. component_id is
     the smallest id of the group, and the class that has it ``stays`` (of several, or where all
-    ids are null, the one of the smallest key). Texts without words are not returned.
-    Extra columns are left out.
+    ids are null, the one of the smallest key). Texts without words are not returned; very long
+    texts are taken whole; repeated rows are one class. No rows: no rows. Extra columns are left out.
     """
     spark = docs.sparkSession
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

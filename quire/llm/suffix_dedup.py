@@ -10,12 +10,13 @@ suffixes at all positions would take many times the input; two facts make it spa
 2. Contexts. Around an anchor, the repeats that contain it lie within a fixed stretch. Equal
    stretches are one entry with a count, so copies, however many, are sorted once.
 
-Suffixes at anchors, which start with their gram, are range-partitioned by their leading
-bytes through sampled splitters. Each bucket sorts them by multikey quicksort; equal grams
-are neighbours, and all strings around them are compared byte for byte. Splitters fall between
-different grams, so no run of equal leading bytes crosses a boundary; a gram with
-more than ``HOT`` different contexts is not sorted in one bucket but compared by hashes
-of its strings, dealt over all tasks.
+Suffixes at anchors are range-partitioned by their leading bytes through sampled splitters.
+Each bucket sorts them by multikey quicksort, and the bytes before the anchors, read
+backwards, in the same way. Common prefixes of neighbours in both orders show which strings
+around an anchor two contexts have in common, byte for byte. A splitter may fall within the
+contexts of one gram, of a frequent one many may: so the first and the last gram of every
+bucket are carried out of it, and their contexts are compared across the boundaries, by
+128-bit hashes of their strings, over all tasks.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from quire.llm.common import drop_scratch, partitions, stored, table
 GRAM = 64
 #: More than the length of a span around one anchor; a power of two.
 SPAN = 1 << 16
-HOT = 20_000
 #: Bytes whose anchors are found at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
 #: Bytes of contexts in a bucket, which one task holds.
@@ -171,44 +171,69 @@ def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
+def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each row, in this order, has in common with the row before it; the first: -1."""
+    differ = rows[order[1:]] != rows[order[:-1]]
+    found = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return np.append(-1, found)
+
+
+def big_words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as words that sort like them."""
+    pad = -rows.shape[1] % 8
+    return np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8")
+
+
 def repeats(ctx: list[bytes], left: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts of equal grams: the least and the largest offset ``a`` at which the
-    string of ``length`` bytes from ``a`` bytes before the anchor is a repeat (-1: none)."""
-    before, width = length - GRAM, 2 * length - GRAM
-    n = len(ctx)
+    """The least and the largest offset ``a`` at which the string of ``length`` bytes from
+    ``a`` bytes before the anchor is a repeat (-1: none) of contexts in these.
+
+    Suffixes from the anchors on are sorted, and so are the bytes before them, read
+    backwards; common prefixes of neighbours give, for every ``a``, runs of rows that agree in the
+    ``length - a`` bytes from the anchor and runs that agree in the ``a`` bytes before it.
+    Two rows in the same run of both have the string in common."""
+    before, n = length - GRAM, len(ctx)
     right = np.fromiter(map(len, ctx), "i8", n) - left
-    x = np.zeros((n, width), np.uint8)
-    for i, data in enumerate(ctx):
-        a = before - left[i]
-        x[i, a : a + len(data)] = np.frombuffer(data, np.uint8)
+    after, ahead = np.zeros((n, length), np.uint8), np.zeros((n, before), np.uint8)
+    for i, (data, k) in enumerate(zip(ctx, left.tolist())):
+        row = np.frombuffer(data, np.uint8)
+        after[i, : len(row) - k] = row[k:]
+        ahead[i, :k] = row[:k][::-1]
     least, most = np.full(n, 1 << 30), np.full(n, -1)
-    many = (count > 1) & (np.maximum(0, length - right) <= np.minimum(left, before))
-    least[many], most[many] = np.maximum(0, length - right)[many], np.minimum(left, before)[many]
-    if n > 1:
-        prefix = np.zeros((width + 1, n), "u8")
-        columns = np.ascontiguousarray(x.T)
-        for j in range(width):
-            prefix[j + 1] = prefix[j] * np.uint64(BASE) + LETTERS[columns[j]]
-        shift = np.uint64(pow(BASE, length, 1 << 64))
-        for a in range(before + 1):
-            rows = np.flatnonzero((left >= a) & (right >= length - a))
-            if len(rows) < 2:
-                continue
-            h = prefix[before - a + length, rows] - prefix[before - a, rows] * shift
-            by = np.argsort(h, kind="stable")
-            rows, h = rows[by], h[by]
-            p = np.flatnonzero(h[1:] == h[:-1])
-            if len(p):
-                cut = slice(before - a, before - a + length)
-                p = p[(x[rows[p], cut] == x[rows[p + 1], cut]).all(axis=1)]
-                both = np.unique(np.concatenate([rows[p], rows[p + 1]]))
-                least[both] = np.minimum(least[both], a)
-                most[both] = np.maximum(most[both], a)
+    many = (count > 1) & (np.maximum(0, length - right) <= left)
+    least[many], most[many] = np.maximum(0, length - right)[many], left[many]
+    if n < 2:
+        return least, most
+    sides = []
+    for rows, size in ((after, right), (ahead, left)):
+        order = multikey_sort(big_words(rows))[0]
+        prefix = common_prefixes(rows, order)
+        best = np.empty(n, "i8")
+        best[order] = np.minimum(np.maximum(prefix, np.append(prefix[1:], -1)), size[order])
+        sides.append((order, prefix, best))
+    (by_right, lcp, most_right), (by_left, lcs, most_left) = sides
+    # No neighbour has more in common with a row than this, on either side.
+    hopeful = most_right + most_left >= length
+    run_right, run_left = np.empty(n, "i8"), np.empty(n, "i8")
+    low, high = np.maximum(length - most_right, 0), most_left
+    for a in range(int(low[hopeful].min()), int(high[hopeful].max()) + 1) if hopeful.any() else ():
+        rows = np.flatnonzero(hopeful & (low <= a) & (a <= high))
+        if len(rows) < 2:
+            continue
+        run_right[by_right] = np.cumsum(lcp < length - a)
+        run_left[by_left] = np.cumsum(lcs < a)
+        key = run_right[rows] * (n + 1) + run_left[rows]
+        _, inverse, size = np.unique(key, return_inverse=True, return_counts=True)
+        both = rows[size[inverse] > 1]
+        least[both] = np.minimum(least[both], a)
+        most[both] = np.maximum(most[both], a)
     return least, most
 
 
 def bucket_batches(length: int):
-    """Sorts a bucket of different contexts (g, c, n, left, ctx) and compares neighbours."""
+    """(g, c, least, most) of a bucket of contexts (g, c, n, left, ctx), sorted here. Contexts
+    of the first and the last gram of the bucket, which neighbouring buckets may have
+    too, are carried on with ``least`` null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, c, n, left, ctx = [], [], [], [], []
@@ -222,12 +247,17 @@ def bucket_batches(length: int):
         grams = np.frombuffer(b"".join([d[k : k + GRAM] for d, k in zip(ctx, left.tolist())]), ">u8").reshape(-1, GRAM // 8)
         order, group = multikey_sort(grams)
         starts = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(order)).tolist()
+        inner = starts[1:-1]
+        for edge in {(0, starts[1]), (starts[-2], len(order))}:
+            rows = order[edge[0] : edge[1]]
+            none = pa.nulls(len(rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(c[rows]), none, none], ["g", "c", "least", "most"])
         i = 0
-        while i < len(starts) - 1:
+        while i < len(inner) - 1:
             j = i + 1
-            while j < len(starts) - 1 and starts[j + 1] - starts[i] <= CHUNK:
+            while j < len(inner) - 1 and inner[j + 1] - inner[i] <= CHUNK:
                 j += 1
-            rows = order[starts[i] : starts[j]]
+            rows = order[inner[i] : inner[j]]
             least, most = repeats([ctx[r] for r in rows.tolist()], left[rows].astype("i8"), n[rows], length)
             some = most >= 0
             yield pa.RecordBatch.from_arrays([pa.array(g[rows][some]), pa.array(c[rows][some]), pa.array(least[some].astype("i4")), pa.array(most[some].astype("i4"))], ["g", "c", "least", "most"])
@@ -256,7 +286,8 @@ def string_batches(length: int):
 
 
 def spelled_out(contexts: DataFrame, length: int) -> DataFrame:
-    """(g, c, least, most) for any number of contexts of one gram, by string hashes."""
+    """(g, c, least, most) of contexts that neighbouring buckets may share: comparison across
+    boundaries. Any number of contexts of one gram, dealt over all tasks by their strings."""
     strings = stored(contexts.mapInArrow(string_batches(length), "g long, c long, n long, a int, s1 long, s2 long"), "strings")
     # A string's place is known by any of its anchors, so only equal offsets are counted together.
     twice = strings.groupBy("s1", "s2", "a").agg(F.sum("n").alias("times")).where("times > 1").select("s1", "s2", "a")
@@ -271,7 +302,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", doc.alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("fp"), "text")
 
 
-def repeated_spans(rows: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 200, n_buckets: int | None = None) -> DataFrame:
     """(doc, fp, spans array<struct<start,end>>) of :func:`keyed` rows with repeats: byte ranges,
     which may overlap, whose union is what repeats cover."""
     spark = rows.sparkSession
@@ -283,19 +314,19 @@ def repeated_spans(rows: DataFrame, length: int = 200, hot: int = HOT) -> DataFr
     drop_scratch(several)
     # One place stands for all equal contexts: only its bytes are fetched.
     distinct = stored(members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("doc", "fp", "pos")]), "distinct")
-    # At most (distinct contexts / hot) grams; Spark broadcasts them only if their file is small.
-    hot_grams = stored(distinct.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("g"), "hotgrams")
-
     # Dealt as plain rows, which are smaller than the lists of a partial aggregate.
     listed = distinct.repartition(partitions(spark), "doc", "fp").groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "g", "c", "n")).alias("at"))
     fetched = rows.select("doc", "fp", "text").join(listed, ["doc", "fp"]).select("text", "at").mapInArrow(context_batches(length), "g long, c long, n long, left int, ctx binary")
     # Stored: texts are shuffled once for both ways and for the sampling of splitters.
     contexts = stored(fetched, "contexts")
-    n_buckets = max(partitions(spark), distinct.count() * (2 * length - GRAM) // BUCKET_BYTES + 1)
-    buckets = contexts.join(hot_grams, "g", "left_anti").repartitionByRange(n_buckets, F.substring("ctx", F.col("left") + 1, F.lit(GRAM)))
-    results = buckets.mapInArrow(bucket_batches(length), "g long, c long, least int, most int")
-    if not hot_grams.isEmpty():
-        results = results.unionByName(spelled_out(contexts.join(hot_grams, "g", "left_semi"), length))
+    n_buckets = n_buckets or max(partitions(spark), distinct.count() * (2 * length - GRAM) // BUCKET_BYTES + 1)
+    # Splitters fall anywhere, within a frequent gram too: its contexts are told apart by their
+    # further bytes and then by their hash.
+    sorted_ = contexts.repartitionByRange(n_buckets, F.substring("ctx", F.col("left") + 1, F.lit(length)), "c")
+    compared = stored(sorted_.mapInArrow(bucket_batches(length), "g long, c long, least int, most int"), "compared")
+    edges = stored(compared.where("least IS NULL").select("g", "c"), "edges")
+    across = spelled_out(contexts.join(edges, ["g", "c"], "left_semi"), length)
+    results = compared.where("least IS NOT NULL").unionByName(across)
     results = stored(results, "repeats")
     drop_scratch(contexts)
     start, end = F.col("pos").cast("long") - F.col("most"), F.col("pos").cast("long") - F.col("least") + length
@@ -336,16 +367,17 @@ def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, n_buckets: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary), one row per row of ``docs``.
 
     Every byte covered by a string of ``length`` bytes that starts at least at one more place
     goes, all copies of it; n_spans counts the maximal removed runs. Strings do not cross
     documents. Null texts are empty. Equal rows are copies of each other; null ids are
-    documents like others. What is kept may cut a character. Extra columns are left out.
+    documents like others; very long texts are taken in overlapping pieces. What is kept may
+    cut a character. Extra columns are left out. No rows: no rows.
     """
     rows = keyed(docs)
-    spans = repeated_spans(rows, length, hot)
+    spans = repeated_spans(rows, length, n_buckets)
     joined = rows.join(spans, ["doc", "fp"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -155,12 +155,36 @@ def brute_repeats(rows, length):
         yield d, len(t), int(covered.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~covered])).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
-def test_suffix_dedup(docs, rows, hot):
+@pytest.mark.parametrize("n_buckets", [None, 1, 60])
+def test_suffix_dedup(docs, rows, empty, n_buckets):
     from quire.llm.suffix_dedup import remove_repeats
 
-    out = remove_repeats(docs, hot=hot).withColumn("kept", F.sha2("kept", 256))
+    out = remove_repeats(docs, n_buckets=n_buckets).withColumn("kept", F.sha2("kept", 256))
     multiset(out.collect(), brute_repeats(rows, 200))
+    assert remove_repeats(empty, n_buckets=n_buckets).count() == 0
+
+
+@pytest.mark.parametrize("n_buckets", [1, 2, 400])
+def test_suffix_dedup_of_a_frequent_passage(spark, n_buckets):
+    """One passage, or the start or the end of it, between other bytes: boundaries of small
+    buckets fall within the contexts of its grams."""
+    from quire.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(14)
+    passage = words(60, rng)
+    rows = []
+    for i in range(120):
+        a, b = rng.choice([(0, len(passage)), (0, 230), (len(passage) - 215, len(passage)), (40, 200), (40, 245)])
+        rows.append((i, words(rng.randint(0, 30), rng)[: rng.randint(0, 150)] + passage[a:b] + words(rng.randint(1, 9), rng), None, None, 0))
+    out = remove_repeats(spark.createDataFrame(rows, SCHEMA), n_buckets=n_buckets).withColumn("kept", F.sha2("kept", 256))
+    multiset(out.collect(), brute_repeats(rows, 200))
+
+
+def test_suffix_query_by_brute_force(spark):
+    from quire.llm.registry import queries
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    multiset(queries()["op3_suffix_dedup"](spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), brute_repeats(rows, 200))
 
 
 def test_multikey_sort_groups_equal_rows():
