@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import scratch_path, table
+from quire.llm.common import drop_scratch, scratch_path, stored, table
 
 #: Buckets per group in the two-level prefix sum of bucket sizes.
 GROUP = 1024
+#: Rows alike in id and text beyond which they are dealt by a number of their own.
+ALIKE = 1000
 
 
 def record_size(text: Column) -> Column:
@@ -23,8 +25,24 @@ def record_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def bucket_of(df: DataFrame, seed: int, n_buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), df["doc_id"], df["text"]), F.lit(n_buckets))
+def salted(docs: DataFrame, names: list[str], alike: int) -> DataFrame:
+    """(rec, salt): all rows, with a number of its own for each row that is one of more than
+    ``alike`` of equal id and text, and 0 for others. The numbers are written down, so a task
+    that runs again deals its rows as before."""
+    spark = docs.sparkSession
+    rows = docs.select(F.struct(*names).alias("rec"), F.xxhash64("doc_id", "text").alias("own"))
+    crowds = rows.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > alike).select("own")
+    crowds = stored(crowds, "crowds")
+    if crowds.isEmpty():
+        drop_scratch(crowds)
+        return rows.select("rec", F.lit(0).cast("long").alias("salt"))
+    # Spark broadcasts the crowds only if their file is small.
+    numbered = stored(rows.join(crowds, "own", "left_semi").select("rec", F.monotonically_increasing_id().alias("salt")), "numbered")
+    return rows.join(crowds, "own", "left_anti").select("rec", F.lit(0).cast("long").alias("salt")).unionByName(numbered)
+
+
+def bucket_of(seed: int, n_buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "rec.doc_id", "rec.text", "salt"), F.lit(n_buckets)).cast("int")
 
 
 def bucket_offsets(counts: DataFrame) -> DataFrame:
@@ -39,15 +57,16 @@ def bucket_offsets(counts: DataFrame) -> DataFrame:
     return within.join(groups, "g").select("bucket", (F.col("gfirst") + F.col("wfirst")).alias("first"))
 
 
-def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 7, bucket_bytes: int = 16 << 20, path: str | None = None) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 7, bucket_bytes: int = 16 << 20, path: str | None = None, alike: int = ALIKE) -> DataFrame:
     """Writes ``docs`` as ``n_shards`` shards of Parquet files and returns the files' rows.
 
     The result has all columns of ``docs`` plus ``shard`` int and ``slot`` long (gapless
     from 0 within a shard). Needs ``doc_id`` and ``text``; other columns are carried along;
     input columns named shard or slot are replaced.
 
-    Null ids and null or empty texts are records like any other. Rows that agree in both
-    id and text share a bucket, in any order between them. No rows: no files, an empty result.
+    Null ids and null or empty texts are records like any other; a very long text is one record.
+    Rows that agree in both id and text come in any order between them; more than ``alike``
+    such rows are spread over all buckets. No rows: no files, an empty result.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
@@ -57,14 +76,13 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 7, bucket_by
     out = docs.withColumn("shard", F.lit(None).cast("int")).withColumn("slot", F.lit(None).cast("long"))
     if not n_rows:
         return out.limit(0)
-    bucketed = docs.select(F.struct(*names).alias("rec"), bucket_of(docs, seed, n_buckets).alias("bucket"))
+    bucketed = salted(docs, names, alike).select("rec", "salt", bucket_of(seed, n_buckets).alias("bucket"))
     offsets = bucket_offsets(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
     # One array per bucket of bounded size. sort_array and the order of the buckets make a
     # task that runs again after a lost executor shuffle just as before.
-    order = F.struct(F.col("rec.doc_id").alias("k0"), F.xxhash64("rec.text").alias("k1"), F.col("rec"))
+    order = F.struct(F.col("rec.doc_id").alias("k0"), F.xxhash64("rec.text").alias("k1"), F.col("salt"), F.col("rec"))
     whole = (
-        bucketed.repartition(n_buckets, "bucket")
-        .sortWithinPartitions("bucket")
+        bucketed.repartitionById(n_buckets, F.col("bucket"))  # each bucket a partition
         .groupBy("bucket")
         .agg(F.sort_array(F.collect_list(order)).alias("recs"))
         .select("bucket", F.shuffle("recs", seed).alias("recs"))
