@@ -106,10 +106,13 @@ def choose_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "stratum"
     ``stats`` has doc_id, the stratum and what the rules read; ``labels`` has doc_id and
     quality. The holdout are the good labelled documents (quality 1; null labels and ids
     don't count, a document labelled twice counts once, as good only if all its labels
-    say so) that pass the base rules. All labelled documents are used, none is sampled.
+    say so) that pass the base rules. An id counts once in a stratum, however many rows have
+    it, at its largest value of each rule: rows of one id are no independent trials. All
+    labelled documents are used, none is sampled.
     """
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = statistics(stats.where(~base_failed()), rules).join(good, "doc_id", "left_semi")
+    held = held.groupBy(stratum, "doc_id").agg(*[F.max(f"rule_{name}").alias(f"rule_{name}") for name in rules])
     tests = [F.sum((F.col(f"rule_{name}") > c).cast("long")).alias(f"{name}_{i}") for name, (_, cuts) in rules.items() for i, c in enumerate(cuts)]
     counts = held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_good"), *tests)
     flat = [F.struct(F.lit(name).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{name}_{i}").alias("n_rejected")) for name, (_, cuts) in rules.items() for i, c in enumerate(cuts)]
@@ -140,8 +143,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: Column | None = None, **o
     """One row per row of ``docs``: doc_id, stratum, the statistics, base_failed, failed_rules, kept.
 
     The stratum is ``lang`` unless given; null is a stratum of its own. Null and empty texts
-    have no words and fail the base rules. Repeated rows are judged alike. No labels: only the
-    base rules judge. Extra columns are left out.
+    have no words and fail the base rules; very long ones are read whole. Repeated rows are
+    judged alike. No labels: only the base rules judge. No rows: no rows. Extra columns are left out.
     """
     stratum = F.col("lang") if stratum is None else stratum
     rules = options.get("rules", RULES)
@@ -152,3 +155,51 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: Column | None = None, **o
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def _op8_sql(limit: float = 0.05, delta: float = 0.05) -> str:
+    """The same in DuckDB, the binomial tail term by term."""
+    n_rules = len(RULES)
+    tests = ", ".join(f"('{name}', {float(c)!r}::DOUBLE)" for name, (_, cuts) in RULES.items() for c in cuts)
+    values = ", ".join(f"({sql})::DOUBLE AS rule_{name}" for name, (sql, _) in RULES.items())
+    pick = "CASE rule " + " ".join(f"WHEN '{name}' THEN rule_{name}" for name in RULES) + " END"
+    p = limit / n_rules
+    failed = " || ".join(f"CASE WHEN rule_{name} > cut_{name} THEN ',{name}' ELSE '' END" for name in RULES)
+    cuts = ", ".join(f"max(cutoff) FILTER (rule = '{name}') AS cut_{name}" for name in RULES)
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents
+), split AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs
+), windows AS (
+  SELECT id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM split, LATERAL (SELECT unnest(range(1, len(w) - {WINDOW - 2})) AS i) WHERE len(w) >= {WINDOW}
+), twice AS (
+  SELECT id, i FROM windows WINDOW x AS (PARTITION BY id, s) QUALIFY count(*) OVER x > 1
+), repeated AS (
+  SELECT id, count(DISTINCT j) AS n FROM twice, LATERAL (SELECT unnest(range(i, i + {WINDOW})) AS j) GROUP BY id
+), stats AS (
+  SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_word_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM split LEFT JOIN repeated r USING (id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {values} FROM stats
+), good AS (
+  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), held AS (
+  SELECT stratum, doc_id, {", ".join(f"max(rule_{name}) AS rule_{name}" for name in RULES)} FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum, doc_id
+), tests(rule, cutoff) AS (VALUES {tests}
+), counts AS (
+  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({pick} > cutoff) AS k FROM held, tests GROUP BY ALL
+), tails AS (
+  SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}::DOUBLE) + (n - i) * ln(1 - {p!r}::DOUBLE)))) AS tail FROM counts
+), strata AS (SELECT count(DISTINCT stratum) AS n FROM held
+), chosen AS (
+  SELECT stratum, rule, min(cutoff) AS cutoff FROM tails WHERE tail <= {delta!r}::DOUBLE / ((SELECT n FROM strata) * {n_rules}) GROUP BY stratum, rule
+), wide AS (SELECT stratum, {cuts} FROM chosen GROUP BY stratum
+), verdicts AS (SELECT j.*, substr({failed}, 2) AS failed_rules FROM judged j LEFT JOIN wide USING (stratum))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM verdicts
+"""
+
+
+OP8_SQL = _op8_sql()

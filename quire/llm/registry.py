@@ -7,7 +7,7 @@ from quire.llm.decontaminate import op4_decontaminate
 from quire.llm.language_id import op2_language_id
 from quire.llm.line_dedup import OP1_SQL, op1_line_dedup
 from quire.llm.mixing import op9_mixing
-from quire.llm.quality import op8_quality_rules
+from quire.llm.quality import OP8_SQL, op8_quality_rules
 from quire.llm.sharding import op7_sharding
 from quire.llm.simhash import op10_simhash
 from quire.llm.suffix_dedup import op3_suffix_dedup
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_chat_format": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op8_quality_rules": OP8_SQL}

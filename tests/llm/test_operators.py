@@ -454,6 +454,33 @@ def test_shards(spark, docs, rows, empty):
     assert shuffle_into_shards(docs.limit(3), 7).count() == 3
 
 
+def test_shards_of_one_row_repeated(spark):
+    from quire.llm.sharding import shuffle_into_shards
+
+    same_row = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.col("id").alias("other"))
+    docs = same_row.unionByName(spark.range(100).select("id", F.col("id").cast("string").alias("text"), "id").toDF("doc_id", "text", "other"))
+    got = shuffle_into_shards(docs, 4, bucket_bytes=10_000, alike=50).collect()
+    assert sorted((r["doc_id"], r["other"]) for r in got) == sorted([(5, i) for i in range(3000)] + [(i, i) for i in range(100)])
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(775)) for s in slots.values()) and len(slots) == 4
+    # Not in the order they came in, and not together.
+    assert len({r["shard"] for r in got if r["other"] < 100 and r["doc_id"] == 5}) == 4
+
+
+def test_sharding_query(spark):
+    from quire.llm.registry import queries
+
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries()["op7_sharding"](spark, SF).collect()
+    multiset([(r["doc_id"], r["size"], r["text_crc32"]) for r in got], [(d, len(t) + 16, zlib.crc32(t)) for d, t in docs.items()])
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    slots = collections.Counter(r["shard"] for r in got)
+    assert set(slots) == set(range(40)) and max(slots.values()) - min(slots.values()) <= 1
+    assert {(r["shard"], r["slot"]) for r in got} == {(s, k) for s, n in slots.items() for k in range(n)}
+
+
 # 8
 
 
