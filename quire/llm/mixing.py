@@ -16,11 +16,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import stored, table
 
-#: Leaves that the budgeting, on the driver, takes at most.
-MAX_LEAVES = 1_000_000
-#: Cells of a leaf's seeded order: only the cell in which the prefix ends is sorted.
-CELLS = 4096
-LEVELS = ("domain", "language", "leaf")
+#: Leaves beyond which budgets are worked out node by node in tasks instead of on the driver.
+DRIVER_LEAVES = 100_000
 
 
 def fill(budget: int, caps: list[int], weights: list[Fraction]) -> list[int]:
@@ -79,6 +76,32 @@ def allocate(leaves: dict[tuple, int], budget: int, weights: dict[tuple, float],
     return out
 
 
+def shares(parents: list[str], name: str, weights: dict[tuple, float]):
+    """Splits the amount of one node among its children, given as rows with (path, capacity, amount)."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(name, ignore_index=True)
+        above = tuple(rows.iloc[0][p] for p in parents)
+        own = [Fraction(weights.get((*above, c), 1.0)).limit_denominator(10**9) for c in rows[name]]
+        return rows.assign(amount=fill(int(rows["amount"].iloc[0]), [int(c) for c in rows["capacity"]], own))
+
+    return run
+
+
+def allocated(leaves: DataFrame, names: list[str], budget: int, weights: dict[tuple, float], max_epochs: int) -> DataFrame:
+    """:func:`allocate` level by level in tasks: (names, n, target_tokens) from (names, n) for any
+    number of leaves. A task holds the children of one node."""
+    amounts = leaves.groupBy().agg(F.least(F.lit(budget), F.coalesce(F.sum("n"), F.lit(0)) * max_epochs).cast("long").alias("amount"))
+    for d in range(1, len(names) + 1):
+        nodes = leaves.groupBy(*names[:d]).agg((F.sum("n") * max_epochs).cast("long").alias("capacity"))
+        rows = nodes.join(amounts, names[: d - 1]) if d > 1 else nodes.join(F.broadcast(amounts))  # one row
+        schema = ", ".join(f"`{n}` string" for n in names[:d]) + ", capacity long, amount long"
+        rows = rows.select(*names[:d], "capacity", "amount").groupBy(*names[: d - 1]).applyInPandas(shares(names[: d - 1], names[d - 1], weights), schema)
+        amounts = stored(rows.select(*names[:d], "amount"), "amounts")
+    return leaves.join(amounts, names).withColumnRenamed("amount", "target_tokens")
+
+
 def token_count(text: Column) -> Column:
     """Words between white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -92,6 +115,7 @@ def mix(
     share: float = 0.5,
     max_epochs: int = 2,
     seed: int = 3,
+    driver_leaves: int = DRIVER_LEAVES,
 ) -> DataFrame:
     """Documents and how often they are used.
 
@@ -101,30 +125,38 @@ def mix(
     is in tokens, or ``share`` of all there are. A leaf's used tokens equal its target.
 
     Null path values are nodes named "". Texts without words have no tokens and are never
-    used. Rows of one id are told apart by text_key (a hash of the text); rows that
-    agree in both come in one unit, each of them used. Extra columns are left out; no rows: none.
+    used; a very long text is one document. Rows of one id are told apart by text_key (a hash
+    of the text); rows that agree in both follow each other in the order, each of them used.
+    Budgets are worked out on the driver for up to ``driver_leaves`` leaves and in tasks beyond
+    that, alike. Extra columns are left out; no rows: none.
     """
     spark = docs.sparkSession
     names = list(path)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in path.items()], token_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
     rows = stored(rows, "tokens")  # a few numbers per document, read several times below
-    totals = rows.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    leaves = {tuple(r[n] for n in names): r["n"] for r in totals}
-    whole = sum(leaves.values())
-    targets = allocate(leaves, round(whole * share) if budget is None else budget, weights, max_epochs)
-    plan = [(*leaf, t, *divmod(t, leaves[leaf])) for leaf, t in sorted(targets.items())]
-    schema = ", ".join(f"`{n}` string" for n in names) + ", target_tokens long, full_epochs long, rest long"
-    leaf_plan = F.broadcast(spark.createDataFrame(plan, schema))  # MAX_LEAVES rows at most
-    # Every leaf's next epoch has an order of its own.
+    leaves = stored(rows.groupBy(*names).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("n_docs")), "leaves")
+    size = leaves.agg(F.count(F.lit(1)).alias("leaves"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    budget = round(size["n"] * share) if budget is None else budget
+    if size["leaves"] <= driver_leaves:
+        found = {tuple(r[n] for n in names): (r["n"], r["n_docs"]) for r in leaves.collect()}  # driver_leaves at most
+        targets = allocate({leaf: n for leaf, (n, _) in found.items()}, budget, weights, max_epochs)
+        schema = ", ".join(f"`{n}` string" for n in names) + ", n long, n_docs long, target_tokens long"
+        planned = stored(spark.createDataFrame([(*leaf, *found[leaf], t) for leaf, t in sorted(targets.items())], schema), "targets")
+    else:
+        planned = stored(allocated(leaves, names, budget, weights, max_epochs), "targets")
+    # Cells of a leaf's seeded order: only the one in which the prefix ends is sorted. There are
+    # about four times the square root of its documents, so neither they nor a cell grow large.
+    bits = F.least(F.greatest(F.ceil(F.log2("n_docs") / 2) + 2, F.lit(4)), F.lit(30)).cast("int")
+    leaf_plan = planned.where("n > 0").select(*names, "target_tokens", F.expr("target_tokens div n").alias("full_epochs"), (F.col("target_tokens") % F.col("n")).alias("rest"), bits.alias("bits"))
+    # Every leaf's next epoch has an order of its own. The plan is a stored table: Spark
+    # broadcasts it if its file is small, and otherwise joins by the leaf, skewed ones split.
     ordered = rows.join(leaf_plan, names).withColumn("place", F.xxhash64(F.lit(seed), "full_epochs", *names, "doc_id", "text_key"))
-    celled = ordered.withColumn("cell", F.shiftrightunsigned("place", 64 - (CELLS.bit_length() - 1)).cast("int"))
+    celled = ordered.withColumn("cell", F.expr("shiftrightunsigned(place, 64 - bits)"))
     # Where the prefix ends: sums by cell first, then exact sums within one cell of each leaf.
-    before = Window.partitionBy(*names).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # CELLS rows a leaf at most
+    before = Window.partitionBy(*names).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = celled.where("rest > 0").groupBy(*names, "cell", "rest").agg(F.sum("n_tokens").alias("in_cell")).withColumn("ahead", F.coalesce(F.sum("in_cell").over(before), F.lit(0)))
-    ends = cells.where("ahead < rest AND ahead + in_cell >= rest").select(*names, F.col("cell").alias("end_cell"), "ahead")
-    marked = celled.join(F.broadcast(ends), names, "left")  # a row a leaf
+    ends = stored(cells.where("ahead < rest AND ahead + in_cell >= rest").select(*names, F.col("cell").alias("end_cell"), "ahead"), "ends")
+    marked = celled.join(ends, names, "left")  # a row a leaf
     inside = Window.partitionBy(*names).orderBy("place", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     last = marked.where("cell = end_cell").withColumn("done", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     zero = F.lit(0).cast("long")

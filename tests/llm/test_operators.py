@@ -570,6 +570,67 @@ def test_mixture_meets_targets(spark, docs, rows, empty, share):
     assert mix(empty, document_path(), {}).count() == 0
 
 
+def signed_hash(*values):
+    """xxhash64 as Spark's, of ints and strings."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode()
+            h = xxhash.xxh64_intdigest(data, h)
+    return h
+
+
+@pytest.mark.parametrize("driver_leaves", [100, 0])
+def test_mixing_takes_the_seeded_prefix(spark, driver_leaves):
+    """Which documents, by an order worked out apart from the operator."""
+    from quire.llm.mixing import WEIGHTS, allocate, document_path, mix
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = [tuple(r) for r in mix(docs, document_path(), WEIGHTS, driver_leaves=driver_leaves).drop("text_key").collect()]
+    leaves = collections.defaultdict(list)
+    for r in docs.collect():
+        n = len(WORD.findall(r["text"] or ""))
+        digit = int(re.search(r"(\d)$", r["source"])[1]) if re.search(r"\d$", r["source"] or "") else None
+        domain = "other" if digit is None or digit > 8 else "a" if digit <= 3 else "b" if digit <= 6 else "c"
+        if n:
+            leaves[domain, r["lang"] or "", r["source"] or ""].append((r["doc_id"], signed_hash(r["text"]), n))
+    whole = sum(n for own in leaves.values() for *_, n in own)
+    targets = allocate({k: sum(n for *_, n in own) for k, own in leaves.items()}, round(whole * 0.5), WEIGHTS, 2)
+    want = []
+    for leaf, own in leaves.items():
+        full, rest = divmod(targets[leaf], sum(n for *_, n in own))
+
+        def place(doc):
+            # Spark hashes an int literal as four bytes, and one hash is the seed of the next.
+            import xxhash
+
+            h = xxhash.xxh64_intdigest((3).to_bytes(4, "little"), 42)
+            for v in (full, *leaf, doc[0], doc[1] - (1 << 64) if doc[1] >> 63 else doc[1]):
+                h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode(), h)
+            return h
+
+        for doc in sorted(own, key=place):
+            taken = min(doc[2], rest)
+            rest -= taken
+            if full or taken:
+                want.append((doc[0], *leaf, doc[2], targets[leaf], full, taken, full * doc[2] + taken))
+    multiset(got, want)
+
+
+def test_budgets_in_tasks_equal_those_of_the_driver(spark):
+    from quire.llm.mixing import allocate, allocated
+
+    rng = random.Random(31)
+    leaves = {(rng.choice("ab"), rng.choice(["en", "de", ""]), f"s{i}"): rng.randint(0, 900) for i in range(40)}
+    weights = {("a",): 3.0, ("a", "en"): 0.0, ("b", "de"): 2.5}
+    df = spark.createDataFrame([(*k, n) for k, n in leaves.items()], "domain string, language string, leaf string, n long")
+    for budget in (0, 500, 6000, 10**9):
+        out = {(r[0], r[1], r[2]): r["target_tokens"] for r in allocated(df, ["domain", "language", "leaf"], budget, weights, 2).collect()}
+        assert out == allocate(leaves, budget, weights, 2)
+
+
 # 10
 
 
