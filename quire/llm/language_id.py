@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import drop_scratch, stored, table
 
 BUCKETS = 1 << 16
 UND = "und"
@@ -69,7 +70,8 @@ def snippet(text: str, rng: np.random.Generator) -> str:
 
 
 def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: float = 0.5, max_error: float = 0.01, max_rejected: float = 0.002, seed: int = 11) -> Model:
-    """From (text, lang) rows. Every fifth row calibrates and is not trained on."""
+    """From (text, lang) rows. A fifth of them calibrates and is not trained on, drawn by the
+    first words of the text, so that copies of a text, near ones too, are on one side."""
     rng = np.random.default_rng(seed)
     rows = [(t, lang) for t, lang in rows if t and lang is not None and LETTER.search(t)]
     languages = sorted({lang for _, lang in rows})
@@ -77,10 +79,11 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
         return Model([], np.zeros((BUCKETS, 0), "f4"), np.zeros(0))
     index = {lang: k for k, lang in enumerate(languages)}
     fit, held = [], []
-    for i, (text, lang) in enumerate(rows):
+    for text, lang in rows:
+        apart = crc32(" ".join(text.split(None, 5)[:5]).lower().encode()) % 5 == 4
         for part in (text, snippet(text, rng)):
             ids, counts = np.unique(subwords(part), return_counts=True)
-            (held if i % 5 == 4 and len(rows) >= 50 else fit).append((ids.astype("i4"), (counts / counts.sum()).astype("f4"), index[lang], part))
+            (held if apart and len(rows) >= 50 else fit).append((ids.astype("i4"), (counts / counts.sum()).astype("f4"), index[lang], part))
     held = held or fit
     fit = [x[:3] for x in fit]
     embed = rng.normal(0, 1 / dim, (BUCKETS, dim)).astype("f4")
@@ -133,19 +136,23 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def training_rows(docs: DataFrame, per_language: int = 1000, max_bytes: int = 20_000) -> list[tuple[str, str]]:
-    """About ``per_language`` rows of each language (and no more than twice that), drawn by
-    a hash of the id. Only rows outside the held-out fold, with an id, a language and a text
-    of at most ``max_bytes`` are drawn: that bounds what the driver holds."""
-    rows = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2) & (F.octet_length("text") <= max_bytes)).select("text", "lang", F.xxhash64(F.lit(11), "doc_id").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    if not counts:
+def training_rows(docs: DataFrame, per_language: int = 1000, max_bytes: int = 20_000, max_rows: int = 20_000, max_languages: int = 1000) -> list[tuple[str, str]]:
+    """About ``per_language`` rows of each language, fewer where there are so many languages
+    that this would exceed ``max_rows`` in all, drawn by a hash of the id; of more than
+    ``max_languages`` languages, those of most rows. Only rows outside the held-out fold, with
+    an id, a language and a text of at most ``max_bytes`` are drawn. So the driver holds
+    at most ``max_rows * max_bytes``, whatever the table is like."""
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2) & (F.octet_length("text") <= max_bytes)).select("text", "lang", F.xxhash64(F.lit(11), "doc_id").alias("h"))
+    counts = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages), "languages")
+    n_languages = counts.count()
+    if not n_languages:
         return []
-    drawn = F.lit(False)
-    for lang, n in counts.items():
-        cut = (1 << 63) - 1 if n <= per_language else int((per_language / n) * 2.0**64) - (1 << 63)
-        drawn = drawn | ((F.col("lang") == lang) & (F.col("h") <= F.lit(cut)))
-    sample = rows.where(drawn).orderBy("h", "text").limit(2 * per_language * len(counts)).select("text", "lang").collect()
+    each = max(1, min(per_language, max_rows // n_languages))
+    # Shares of the range of h; in doubles, so that no product overflows.
+    cut = F.when(F.col("n") <= each, F.lit((1 << 63) - 1)).otherwise((F.lit(2.0**64) * each / F.col("n") - F.lit(2.0**63)).cast("long"))
+    drawn = rows.join(counts.select("lang", cut.alias("cut")), "lang").where("h <= cut")
+    sample = drawn.orderBy("h", "text").limit(min(max_rows, 2 * each * n_languages)).select("text", "lang").collect()
+    drop_scratch(counts)
     return [(r["text"], r["lang"]) for r in sample]
 
 
@@ -169,6 +176,9 @@ def identify(docs: DataFrame, **sample) -> DataFrame:
 
     A null text, or one without letters, is ``und`` with score 0, and never accepted; so is
     every text if no labelled rows exist. Null ids are not held out and never trained on.
+    Very long texts are read whole; repeated rows are predicted alike, and each of them may be
+    drawn for training. Of equal probabilities the language that sorts first is predicted.
+    Extra columns are left out. No rows: no rows.
     """
     held_out = F.coalesce(fold(F.col("rec.doc_id")) == 2, F.lit(False)).alias("held_out")
     return with_language(docs, ["doc_id"], **sample).select("rec.doc_id", held_out, "lang_pred", "score", "accepted")
