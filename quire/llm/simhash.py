@@ -7,7 +7,8 @@ distance in it is beyond the radius. Links within a bucket are thinned to a span
 before they leave it, and components are found over distinct fingerprints only.
 
 Buckets come from keys that linked fingerprints must share (exact pigeonhole keys). Buckets
-of more than ``hot`` rows are dealt again by finer keys, not capped. Similarity search over
+of more than ``hot`` rows are dealt again by finer keys, and those that are still larger by
+pairs of chunks, not capped. Similarity search over
 texts, by the same comparison, is in :mod:`quire.llm.near_text`.
 """
 
@@ -229,13 +230,22 @@ def near_links(rows: DataFrame, words: int, radius: int, hot: int = 8192) -> Dat
     ``subs`` has finer keys for each key, or one list for all.
 
     Rows that share a key are compared. Of keys with more than ``hot`` rows the rows are
-    dealt again by the key and each of its ``subs``. Those keys are a stored table, which
-    Spark broadcasts only if its files are small enough."""
+    dealt again by the key and each of its ``subs``. Where that leaves more than ``hot`` too,
+    rows are cut into chunks of half as many and every two chunks are a bucket of their own, so
+    no task holds more. Those keys are stored tables, which Spark broadcasts only if their
+    files are small enough."""
     spark = rows.sparkSession
     flat = rows.select("vid", "fp", F.posexplode("keys").alias("k", "key"), "subs").select("vid", "fp", "key", F.get("subs", F.least(F.col("k"), F.size("subs") - 1)).alias("subs"))
     hot_keys = stored(rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "hotkeys")
     cold = flat.join(hot_keys, "key", "left_anti").select("key", "vid", "fp")
     again = flat.join(hot_keys, "key", "left_semi").select("vid", "fp", "key", F.posexplode("subs").alias("s", "sub")).select(F.xxhash64("key", "s", "sub").alias("key"), "vid", "fp")
+    half = F.lit(max(1, hot // 2))
+    crowds = stored(again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / half).cast("long").alias("chunks")), "crowds")
+    if not crowds.isEmpty():
+        chunk, other = F.pmod(F.xxhash64(F.lit(7), "vid"), F.col("chunks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
+        crowded = again.join(crowds, "key").select("key", "vid", "fp", chunk.alias("chunk"), other)
+        cells = crowded.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "vid", "fp")
+        again = again.join(crowds, "key", "left_anti").select("key", "vid", "fp").unionByName(cells)
     dealt = cold.unionByName(again).repartition(partitions(spark), "key").sortWithinPartitions("key", "vid")
     return dealt.mapInArrow(compare_batches(words, radius), "u long, v long")
 
@@ -273,8 +283,9 @@ def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
     2 or fewer differing bits.
 
     component_id is the smallest id reachable, null only if all ids there are null. Texts
-    without words (null too) have fingerprint zero and link like others. Repeated rows and
-    ids stay. Extra columns are left out.
+    without words (null too) have fingerprint zero and link like others; very long texts are
+    taken whole. Repeated rows and ids stay; ties of a bit (set in just half) are 0. No rows:
+    no rows. Extra columns are left out.
     """
     prints = stored(docs.select("doc_id", "text").mapInArrow(fingerprint_batches(size), "doc_id long, fp long"), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
