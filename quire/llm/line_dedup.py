@@ -26,8 +26,8 @@ from quire.llm.common import partitions, stored, table, text_fp
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 STRIP = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
-#: Cells of hash prefixes by which hot keys are found.
-CELL_BITS = 16
+#: Lines of a range, which one task streams.
+RANGE_LINES = 4_000_000
 LINES = "doc_id long, fp long, h1 long, h2 long, pos int"
 DROPS = "doc_id long, fp long, pos int"
 
@@ -132,14 +132,15 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, hot: i
     spark = docs.sparkSession
     keyed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_fp(F.col("text")).alias("fp"), "text")
     lines = stored(keyed.mapInArrow(hash_lines(min_chars), LINES), "lines")
-    cell = F.shiftrightunsigned("h1", 64 - CELL_BITS)
     total = lines.count()
     hot = hot or min(1_000_000, max(1000, total // 1000))
-    cells = [r["cell"] for r in lines.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).collect()]  # 1 << CELL_BITS at most
+    # Cells of hash prefixes, so many that one holds a sixteenth of ``hot`` lines on average.
+    cell = F.shiftrightunsigned("h1", 64 - min(40, max(4, (16 * total // hot).bit_length())))
+    # Sums of cells come before those of keys: a key of more than ``hot`` lines makes its cell so.
+    cells = stored(lines.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("cell"), "cells")
     cold, parts = lines, []
-    if cells:
-        marked = F.broadcast(spark.createDataFrame([(c,) for c in cells], "cell long"))
-        within = lines.join(marked, cell == F.col("cell"), "left_semi")
+    if not cells.isEmpty():
+        within = lines.join(cells, cell == F.col("cell"), "left_semi")
         # Both are small tables as a rule; Spark broadcasts them only if their files are.
         keys = stored(within.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h1", "h2"), "hotkeys")
         stats = stored(
@@ -148,7 +149,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, hot: i
         )
         cold = lines.join(stats, ["h1", "h2"], "left_anti")
         parts.append(lines.join(stats, ["h1", "h2"]).where((F.col("n_docs") >= min_docs) & (F.col("doc_id") != F.col("last"))).select("doc_id", "fp", "pos"))
-    dealt = cold.repartitionByRange(partitions(spark), "h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "fp", "pos")
+    dealt = cold.repartitionByRange(max(partitions(spark), total // RANGE_LINES), "h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "fp", "pos")
     drops = dealt.mapInArrow(stream_runs(min_docs), DROPS)
     for part in parts:
         drops = drops.unionByName(part)
@@ -174,7 +175,10 @@ def apply_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_text), one row per row of ``docs``."""
+    """(doc_id, n_lines, n_dropped, kept_text), one row per row of ``docs``, equal rows alike.
+
+    As in :func:`keep_bitmaps`; a null text has one empty line. No rows: no rows.
+    """
     bitmaps = keep_bitmaps(docs, **options)
     left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_fp(F.col("text")).alias("fp"), "text")
     joined = left.join(bitmaps, ["doc_id", "fp"], "left").select("doc_id", "text", "keep")
