@@ -13,7 +13,7 @@ strings alone and escaping is undone exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
@@ -75,56 +75,43 @@ def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assist
     Turns are ordered by (turn, role, content), null turns first, so ties and repeated rows
     come out alike each time, and repeated rows stay. Null roles and texts are empty. Null
     conv_ids are one conversation. Parts of an unknown type get a placeholder and no tokens.
-    Extra columns are left out. No rows: no conversations.
+    Very long texts are taken whole; time grows with the turns of a conversation, not with
+    their square. Extra columns are left out. No rows: no conversations.
     """
     content = F.col("content").cast(PARTS) if "content" in rows.columns else text_part(F.coalesce(F.col("text"), F.lit("")))
-    turns = rows.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce(content, F.array().cast(PARTS)).alias("parts")).alias("t"))
-    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # Placeholders before each turn, as running sums, then numbers within it.
-    media = F.transform("turns", lambda t: F.size(F.filter(t["parts"], lambda p: ~is_text(p))))
-    before = F.aggregate("media", F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    any_media = F.exists("media", lambda n: n > 0)
-    counted = convs.withColumn("media", media).withColumn("before", F.when(any_media, before)).drop("media")
-
-    def number(t: Column, i: Column, p: Column) -> Column:
-        ahead = F.size(F.filter(F.slice(t["parts"], 1, p), lambda q: ~is_text(q)))
-        return F.get("before", i) + ahead
-
-    def body(t: Column, i: Column) -> Column:
-        pieces = F.transform(t["parts"], lambda q, p: F.when(is_text(q), visit(q, F.lit(0))).otherwise(visit(q, number(t, i, p))))
-        return F.array_join(pieces, "")
-
-    def turn(t: Column, i: Column) -> Column:
-        return F.struct(F.concat(F.lit("<turn "), escape_role(t["role"]), F.lit(">\n")).alias("head"), body(t, i).alias("body"), t["role"].isin(*loss_roles).alias("loss"))
-
-    attached = F.flatten(
-        F.transform(
-            "turns",
-            lambda t, i: F.filter(
-                F.transform(t["parts"], lambda q, p: F.when(~is_text(q), F.struct(number(t, i, p).alias("number"), q["type"].alias("type"), q["ref"].alias("ref"), expanded_tokens(q, unit_tokens, fixed_tokens).alias("tokens"), i.alias("turn")))),
-                lambda x: x.isNotNull(),
-            ),
-        )
+    turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(content, F.array().cast(PARTS)).alias("parts"))
+    # Placeholders and code points before each turn are running sums over its conversation,
+    # whose rows are in one place already for the lists below: one shuffle in all.
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    n_media = F.size(F.filter("parts", lambda p: ~is_text(p)))
+    numbered = turns.select("*", (F.row_number().over(order) - 1).alias("k"), F.coalesce(F.sum(n_media).over(ahead), zero).cast("int").alias("before"))
+
+    def number(p: Column) -> Column:
+        return F.col("before") + F.size(F.filter(F.slice("parts", 1, p), lambda q: ~is_text(q)))
+
+    body = F.array_join(F.transform("parts", lambda q, p: F.when(is_text(q), visit(q, zero)).otherwise(visit(q, number(p)))), "")
+    attached = F.filter(
+        F.transform("parts", lambda q, p: F.when(~is_text(q), F.struct(number(p).alias("number"), q["type"].alias("type"), q["ref"].alias("ref"), expanded_tokens(q, unit_tokens, fixed_tokens).alias("tokens"), F.col("k").alias("turn")))),
+        lambda x: x.isNotNull(),
     )
-    # Rows without attachments must have the same type.
-    built = counted.select("conv_id", F.transform("turns", turn).alias("ts"), F.when(F.col("before").isNotNull(), attached).alias("attachments"))
-    spans = F.aggregate(
-        "ts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda a, t: F.struct(
-            (a["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END)).cast("long").alias("at"),
-            F.when(t["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(t["head"])).cast("long").alias("start"), F.length(t["body"]).cast("long").alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    attachments = F.coalesce("attachments", F.array().cast("array<struct<number:int,type:string,ref:string,tokens:bigint,turn:int>>"))
-    return built.select(
+    head = F.concat(F.lit("<turn "), escape_role(F.col("role")), F.lit(">\n"))
+    built = numbered.select("conv_id", "k", head.alias("head"), body.alias("body"), F.col("role").isin(*loss_roles).alias("loss"), attached.alias("attached"))
+    size = F.length("head") + F.length("body") + len(END)
+    by_place = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = built.withColumn("start", F.coalesce(F.sum(size).over(by_place), zero) + F.length("head"))
+    span = F.when(F.col("loss"), F.struct("start", F.length("body").cast("long").alias("length")))
+    turn = F.struct("k", F.concat("head", "body", F.lit(END)).alias("said"), span.alias("span"), "attached")
+    convs = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("ts"))
+    attachments = F.flatten(F.transform("ts", lambda t: t["attached"]))
+    return convs.select(
         "conv_id",
-        F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
+        F.array_join(F.transform("ts", lambda t: t["said"]), "").alias("formatted"),
         F.size("ts").cast("long").alias("n_turns"),
-        spans.alias("loss_spans"),
+        F.filter(F.transform("ts", lambda t: t["span"]), lambda x: x.isNotNull()).alias("loss_spans"),
         attachments.alias("attachments"),
-        F.aggregate(attachments, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("media_tokens"),
+        F.aggregate(attachments, zero, lambda a, x: a + x["tokens"]).alias("media_tokens"),
     )
 
 
