@@ -690,6 +690,47 @@ def test_near_links_lose_nothing(spark, hot):
     assert {p: roots.get(p, p) for p in signed} == {d: c for d, _, c in want}
 
 
+def test_near_links_of_one_crowd(spark):
+    """Fingerprints that agree in all but a few bits share every key and every finer key."""
+    from quire.llm.components import connected_components
+    from quire.llm.simhash import ROWS, key_batches, near_links
+
+    rng = random.Random(16)
+    prints = sorted({0x1234567800000000 | sum(1 << b for b in rng.sample(range(0, 32, 3), rng.randint(0, 5))) for _ in range(150)})
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    roots = {r["vid"]: r["root"] for r in connected_components(near_links(df.mapInArrow(key_batches, ROWS), 1, 2, hot=4)).collect()}
+    assert {p: roots.get(p, p) for p in prints} == {d: c for d, _, c in brute_components([(p, p) for p in prints])}
+
+
+def test_simhash_query_by_brute_force(spark):
+    from quire.llm.registry import queries
+
+    prints = [(r["doc_id"], brute_print(r["text"])) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = [(d, f"{p:016x}", c) for d, p, c in brute_components(prints)]
+    multiset(queries()["op10_simhash"](spark, SF).select("doc_id", "fingerprint", "component_id").collect(), want)
+
+
+def test_decontamination_query_by_brute_force(spark):
+    from quire.llm.registry import queries
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = {}
+    for item, t in items:
+        w = re.findall(r"\w+", t.lower())
+        for j in range(max(1, len(w) - 12)):
+            for k, x in enumerate(w[j : j + 13]):
+                grams.setdefault((k, x), set()).add((item, j))
+    want = set()
+    for d, text in docs:
+        w = re.findall(r"\w+", (text or "").lower())
+        for i in range(len(w)):
+            agree = collections.Counter(place for k, x in enumerate(w[i : i + 13]) for place in grams.get((k, x), ()))
+            want |= {(d, item) for (item, _), n in agree.items() if n >= 11}
+    assert all(len(re.findall(r"\w+", t)) >= 13 for _, t in items) and want
+    multiset([(r["doc_id"], r["item_id"]) for r in queries()["op4_decontaminate"](spark, SF).collect()], want)
+
+
 def test_bit_sliced_distances():
     from quire.llm.simhash import near
 
