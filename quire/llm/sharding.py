@@ -77,7 +77,8 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 7, bucket_by
     if not n_rows:
         return out.limit(0)
     bucketed = salted(docs, names, alike).select("rec", "salt", bucket_of(seed, n_buckets).alias("bucket"))
-    offsets = bucket_offsets(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    # Stored: Spark sees that one row a bucket is small and leaves the buckets where they are.
+    offsets = stored(bucket_offsets(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))), "offsets")
     # One array per bucket of bounded size. sort_array and the order of the buckets make a
     # task that runs again after a lost executor shuffle just as before.
     order = F.struct(F.col("rec.doc_id").alias("k0"), F.xxhash64("rec.text").alias("k1"), F.col("salt"), F.col("rec"))
