@@ -13,10 +13,11 @@ suffixes at all positions would take many times the input; two facts make it spa
 Suffixes at anchors are range-partitioned by their leading bytes through sampled splitters.
 Each bucket sorts them by multikey quicksort, and the bytes before the anchors, read
 backwards, in the same way. Common prefixes of neighbours in both orders show which strings
-around an anchor two contexts have in common, byte for byte. A splitter may fall within the
-contexts of one gram, of a frequent one many may: so the first and the last gram of every
-bucket are carried out of it, and their contexts are compared across the boundaries, by
-128-bit hashes of their strings, over all tasks.
+around an anchor two contexts have in common, byte for byte. Splitters fall between different
+grams, and contexts of different grams have no string around the anchor in common, so
+neighbours across such a boundary need no comparison. A gram of more than ``HOT`` contexts
+would outgrow a bucket: its contexts are dealt over all tasks and compared across those
+boundaries by 128-bit hashes of their strings.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from quire.llm.common import drop_scratch, partitions, stored, table
 GRAM = 64
 #: More than the length of a span around one anchor; a power of two.
 SPAN = 1 << 16
+#: Contexts of one gram that a bucket takes.
+HOT = 20_000
 #: Bytes whose anchors are found at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
 #: Bytes of contexts in a bucket, which one task holds.
@@ -231,9 +234,7 @@ def repeats(ctx: list[bytes], left: np.ndarray, count: np.ndarray, length: int)
 
 
 def bucket_batches(length: int):
-    """(g, c, least, most) of a bucket of contexts (g, c, n, left, ctx), sorted here. Contexts
-    of the first and the last gram of the bucket, which neighbouring buckets may have
-    too, are carried on with ``least`` null."""
+    """(g, c, least, most) of a bucket of contexts (g, c, n, left, ctx) with repeats, sorted here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, c, n, left, ctx = [], [], [], [], []
@@ -247,17 +248,12 @@ def bucket_batches(length: int):
         grams = np.frombuffer(b"".join([d[k : k + GRAM] for d, k in zip(ctx, left.tolist())]), ">u8").reshape(-1, GRAM // 8)
         order, group = multikey_sort(grams)
         starts = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(order)).tolist()
-        inner = starts[1:-1]
-        for edge in {(0, starts[1]), (starts[-2], len(order))}:
-            rows = order[edge[0] : edge[1]]
-            none = pa.nulls(len(rows), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(c[rows]), none, none], ["g", "c", "least", "most"])
         i = 0
-        while i < len(inner) - 1:
+        while i < len(starts) - 1:
             j = i + 1
-            while j < len(inner) - 1 and inner[j + 1] - inner[i] <= CHUNK:
+            while j < len(starts) - 1 and starts[j + 1] - starts[i] <= CHUNK:
                 j += 1
-            rows = order[inner[i] : inner[j]]
+            rows = order[starts[i] : starts[j]]
             least, most = repeats([ctx[r] for r in rows.tolist()], left[rows].astype("i8"), n[rows], length)
             some = most >= 0
             yield pa.RecordBatch.from_arrays([pa.array(g[rows][some]), pa.array(c[rows][some]), pa.array(least[some].astype("i4")), pa.array(most[some].astype("i4"))], ["g", "c", "least", "most"])
@@ -286,7 +282,7 @@ def string_batches(length: int):
 
 
 def spelled_out(contexts: DataFrame, length: int) -> DataFrame:
-    """(g, c, least, most) of contexts that neighbouring buckets may share: comparison across
+    """(g, c, least, most) of contexts of grams too frequent for a bucket: comparison across
     boundaries. Any number of contexts of one gram, dealt over all tasks by their strings."""
     strings = stored(contexts.mapInArrow(string_batches(length), "g long, c long, n long, a int, s1 long, s2 long"), "strings")
     # A string's place is known by any of its anchors, so only equal offsets are counted together.
@@ -302,7 +298,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", doc.alias("doc"), (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("fp"), "text")
 
 
-def repeated_spans(rows: DataFrame, length: int = 200, n_buckets: int | None = None) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 200, n_buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """(doc, fp, spans array<struct<start,end>>) of :func:`keyed` rows with repeats: byte ranges,
     which may overlap, whose union is what repeats cover."""
     spark = rows.sparkSession
@@ -314,19 +310,18 @@ def repeated_spans(rows: DataFrame, length: int = 200, n_buckets: int | None = N
     drop_scratch(several)
     # One place stands for all equal contexts: only its bytes are fetched.
     distinct = stored(members.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("doc", "fp", "pos")]), "distinct")
+    # At most (distinct contexts / hot) grams; Spark broadcasts them only if their file is small.
+    hot_grams = stored(distinct.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("g"), "hotgrams")
     # Dealt as plain rows, which are smaller than the lists of a partial aggregate.
     listed = distinct.repartition(partitions(spark), "doc", "fp").groupBy("doc", "fp").agg(F.collect_list(F.struct("pos", "g", "c", "n")).alias("at"))
     fetched = rows.select("doc", "fp", "text").join(listed, ["doc", "fp"]).select("text", "at").mapInArrow(context_batches(length), "g long, c long, n long, left int, ctx binary")
     # Stored: texts are shuffled once for both ways and for the sampling of splitters.
     contexts = stored(fetched, "contexts")
     n_buckets = n_buckets or max(partitions(spark), distinct.count() * (2 * length - GRAM) // BUCKET_BYTES + 1)
-    # Splitters fall anywhere, within a frequent gram too: its contexts are told apart by their
-    # further bytes and then by their hash.
-    sorted_ = contexts.repartitionByRange(n_buckets, F.substring("ctx", F.col("left") + 1, F.lit(length)), "c")
-    compared = stored(sorted_.mapInArrow(bucket_batches(length), "g long, c long, least int, most int"), "compared")
-    edges = stored(compared.where("least IS NULL").select("g", "c"), "edges")
-    across = spelled_out(contexts.join(edges, ["g", "c"], "left_semi"), length)
-    results = compared.where("least IS NOT NULL").unionByName(across)
+    buckets = contexts.join(hot_grams, "g", "left_anti").repartitionByRange(n_buckets, F.substring("ctx", F.col("left") + 1, F.lit(GRAM)))
+    results = buckets.mapInArrow(bucket_batches(length), "g long, c long, least int, most int")
+    if not hot_grams.isEmpty():
+        results = results.unionByName(spelled_out(contexts.join(hot_grams, "g", "left_semi"), length))
     results = stored(results, "repeats")
     drop_scratch(contexts)
     start, end = F.col("pos").cast("long") - F.col("most"), F.col("pos").cast("long") - F.col("least") + length
@@ -367,7 +362,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, n_buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, n_buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary), one row per row of ``docs``.
 
     Every byte covered by a string of ``length`` bytes that starts at least at one more place
@@ -377,7 +372,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, n_buckets: int | None = N
     cut a character. Extra columns are left out. No rows: no rows.
     """
     rows = keyed(docs)
-    spans = repeated_spans(rows, length, n_buckets)
+    spans = repeated_spans(rows, length, n_buckets, hot)
     joined = rows.join(spans, ["doc", "fp"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 

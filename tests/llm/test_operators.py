@@ -155,19 +155,19 @@ def brute_repeats(rows, length):
         yield d, len(t), int(covered.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~covered])).hexdigest()
 
 
-@pytest.mark.parametrize("n_buckets", [None, 1, 60])
-def test_suffix_dedup(docs, rows, empty, n_buckets):
+@pytest.mark.parametrize("hot, n_buckets", [(20_000, None), (20_000, 1), (0, 60)])
+def test_suffix_dedup(docs, rows, empty, hot, n_buckets):
     from quire.llm.suffix_dedup import remove_repeats
 
-    out = remove_repeats(docs, n_buckets=n_buckets).withColumn("kept", F.sha2("kept", 256))
+    out = remove_repeats(docs, n_buckets=n_buckets, hot=hot).withColumn("kept", F.sha2("kept", 256))
     multiset(out.collect(), brute_repeats(rows, 200))
-    assert remove_repeats(empty, n_buckets=n_buckets).count() == 0
+    assert remove_repeats(empty, n_buckets=n_buckets, hot=hot).count() == 0
 
 
-@pytest.mark.parametrize("n_buckets", [1, 2, 400])
-def test_suffix_dedup_of_a_frequent_passage(spark, n_buckets):
-    """One passage, or the start or the end of it, between other bytes: boundaries of small
-    buckets fall within the contexts of its grams."""
+@pytest.mark.parametrize("hot, n_buckets", [(20_000, 1), (20_000, 400), (20, 3)])
+def test_suffix_dedup_of_a_frequent_passage(spark, hot, n_buckets):
+    """One passage, or the start or the end of it, between other bytes: buckets are
+    small, and frequent grams are compared across them."""
     from quire.llm.suffix_dedup import remove_repeats
 
     rng = random.Random(14)
@@ -176,7 +176,7 @@ def test_suffix_dedup_of_a_frequent_passage(spark, n_buckets):
     for i in range(120):
         a, b = rng.choice([(0, len(passage)), (0, 230), (len(passage) - 215, len(passage)), (40, 200), (40, 245)])
         rows.append((i, words(rng.randint(0, 30), rng)[: rng.randint(0, 150)] + passage[a:b] + words(rng.randint(1, 9), rng), None, None, 0))
-    out = remove_repeats(spark.createDataFrame(rows, SCHEMA), n_buckets=n_buckets).withColumn("kept", F.sha2("kept", 256))
+    out = remove_repeats(spark.createDataFrame(rows, SCHEMA), n_buckets=n_buckets, hot=hot).withColumn("kept", F.sha2("kept", 256))
     multiset(out.collect(), brute_repeats(rows, 200))
 
 
