@@ -1,7 +1,8 @@
 """The corpus pipeline: stages that each take and return documents.
 
 Each function takes (spark, docs, sf_dir). All but the last return the columns of
-``documents``; the last adds shard and slot.
+``documents``; the last adds shard and slot. Further columns, whatever their names, are
+carried along. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,30 +24,52 @@ SHARDS = 40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; ``lang`` becomes that language."""
+    """Documents whose language is recognised; ``lang`` becomes that language.
+
+    Null and empty texts, and those without letters, have none and go, as do all where no row
+    has both an id and a language to learn from. Null ids and languages are no reason to go.
+    Very long texts are read whole; repeated rows are judged alike.
+    """
     rows = with_language(docs, docs.columns).where("accepted")
     return rows.select(*[(F.col("lang_pred") if c == "lang" else F.col("rec")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8).
+
+    The one with the smallest id stays; of several texts under it, or where all ids are null, the
+    text of the smallest hash. Rows that repeat a kept id and text stay; so do null and empty
+    texts and those without words. Very long texts are compared whole.
+    """
     return one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage.
+
+    Null and empty texts hold none and stay; very long ones are searched whole. Repeated rows
+    are judged alike; ids play no part.
+    """
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the weighted mix, each at most once."""
+    """Documents of the weighted mix, each at most once.
+
+    A document of which the mix takes some tokens stays whole. Null and empty texts have no
+    tokens and go. Null languages and sources are groups of their own. Rows alike in id and
+    text stay or go together. Ties of the seeded order go by id and text.
+    """
     used = mix(docs, document_path(), WEIGHTS, share=SHARE, max_epochs=1).select("doc_id", "text_key").distinct()
     left = docs.select(F.struct(*docs.columns).alias("rec"), F.xxhash64("text").alias("own"))
     return left.join(used, left["rec.doc_id"].eqNullSafe(used["doc_id"]) & (left["own"] == used["text_key"]), "left_semi").select("rec.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with shard and slot in a random order, and the shard files behind them."""
+    """All documents with shard and slot in a random order, and the shard files behind them.
+
+    Null ids, null and empty texts and repeated rows are records like any others.
+    """
     return shuffle_into_shards(docs, SHARDS)
 
 

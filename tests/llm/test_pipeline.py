@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SF
 from tests.oracle import same
 
@@ -30,6 +32,32 @@ def test_stages_of_an_empty_table(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_stages_of_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = docs.count()
+    sample = docs.orderBy("doc_id").limit(3)
+    long_ = docs.orderBy("doc_id").limit(1).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 400)).withColumn("doc_id", F.lit(-5).cast("long"))
+    odd = sample.unionByName(sample).unionByName(long_)
+    for name in docs.columns:
+        odd = odd.unionByName(sample.withColumn(name, F.lit(None).cast(docs.schema[name].dataType)))
+    odd = odd.unionByName(sample.withColumn("text", F.lit(""))).unionByName(sample.withColumn("text", F.lit(" \n\t")))
+    extras = "rec lang_pred accepted score t1 t2 stays least own text_key place cell salt bucket n domain language leaf".split()
+    rows = docs.unionByName(odd).withColumns({x: F.lit(f"clash {x}") for x in extras})
+    before = None
+    for k, (_, stage) in enumerate(p.STAGES):
+        out = stage(spark, rows, SF)
+        out.write.parquet(str(tmp_path / str(k)))
+        rows = spark.read.parquet(str(tmp_path / str(k)))
+        assert set(rows.columns) == {*docs.columns, *extras, *(["shard", "slot"] if k == 4 else [])}
+        assert rows.where(" OR ".join(f"{x} <> 'clash {x}'" for x in extras)).isEmpty()
+        now = rows.count()
+        assert 0 < now <= (before or n + odd.count())
+        before = now
+    assert rows.where("text IS NULL OR trim(text) = ''").isEmpty()
+
+
 def test_decontamination_stage_drops_leaks_alone(spark):
     import corpus_pipeline as p
 
