@@ -570,53 +570,56 @@ def test_mixture_meets_targets(spark, docs, rows, empty, share):
     assert mix(empty, document_path(), {}).count() == 0
 
 
-def signed_hash(*values):
-    """xxhash64 as Spark's, of ints and strings."""
+def spark_hash(*values, seed=42):
+    """xxhash64 as Spark's, of longs and strings: one hash is the seed of the next."""
     import xxhash
 
-    h = 42
+    h = seed
     for v in values:
-        if v is not None:
-            data = v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode()
-            h = xxhash.xxh64_intdigest(data, h)
+        h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode(), h)
     return h
 
 
-@pytest.mark.parametrize("driver_leaves", [100, 0])
-def test_mixing_takes_the_seeded_prefix(spark, driver_leaves):
-    """Which documents, by an order worked out apart from the operator."""
-    from quire.llm.mixing import WEIGHTS, allocate, document_path, mix
+def brute_mix(rows, share, max_epochs, seed=3):
+    """(doc_id, domain, language, leaf, n_tokens, target_tokens, full_epochs, prefix_tokens, used_tokens) of documents in use."""
+    from quire.llm.mixing import WEIGHTS, allocate
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = [tuple(r) for r in mix(docs, document_path(), WEIGHTS, driver_leaves=driver_leaves).drop("text_key").collect()]
     leaves = collections.defaultdict(list)
-    for r in docs.collect():
-        n = len(WORD.findall(r["text"] or ""))
-        digit = int(re.search(r"(\d)$", r["source"])[1]) if re.search(r"\d$", r["source"] or "") else None
+    for d, text, lang, source in rows:
+        n = len(WORD.findall(text or ""))
+        digit = int(source[-1]) if re.search(r"\d$", source or "") else None
         domain = "other" if digit is None or digit > 8 else "a" if digit <= 3 else "b" if digit <= 6 else "c"
         if n:
-            leaves[domain, r["lang"] or "", r["source"] or ""].append((r["doc_id"], signed_hash(r["text"]), n))
-    whole = sum(n for own in leaves.values() for *_, n in own)
-    targets = allocate({k: sum(n for *_, n in own) for k, own in leaves.items()}, round(whole * 0.5), WEIGHTS, 2)
-    want = []
+            key = spark_hash(text)
+            leaves[domain, lang or "", source or ""].append((d, key - (1 << 64) if key >> 63 else key, n))
+    sizes = {k: sum(n for *_, n in own) for k, own in leaves.items()}
+    targets = allocate(sizes, round(sum(sizes.values()) * share), WEIGHTS, max_epochs)
+    first = spark_hash(seed.to_bytes(4, "little").decode())  # an int literal is hashed as four bytes
     for leaf, own in leaves.items():
-        full, rest = divmod(targets[leaf], sum(n for *_, n in own))
+        full, rest = divmod(targets[leaf], sizes[leaf])
+        for d, _, n in sorted(own, key=lambda x: spark_hash(full, *leaf, x[0], x[1], seed=first)):
+            taken = min(n, rest)
+            rest -= taken
+            if full or taken:
+                yield d, *leaf, n, targets[leaf], full, taken, full * n + taken
 
-        def place(doc):
-            # Spark hashes an int literal as four bytes, and one hash is the seed of the next.
-            import xxhash
 
-            h = xxhash.xxh64_intdigest((3).to_bytes(4, "little"), 42)
-            for v in (full, *leaf, doc[0], doc[1] - (1 << 64) if doc[1] >> 63 else doc[1]):
-                h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode(), h)
-            return h
+@pytest.mark.parametrize("driver_leaves", [100, 0])
+def test_mixing_takes_the_seeded_prefix(spark, driver_leaves):
+    """Which documents, by an order worked out apart from the operator."""
+    from quire.llm.mixing import WEIGHTS, document_path, mix
 
-        for doc in sorted(own, key=place):
-            taken = min(doc[2], rest)
-            rest -= taken
-            if full or taken:
-                want.append((doc[0], *leaf, doc[2], targets[leaf], full, taken, full * doc[2] + taken))
-    multiset(got, want)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = mix(docs, document_path(), WEIGHTS, driver_leaves=driver_leaves).drop("text_key").collect()
+    multiset(got, brute_mix(docs.select("doc_id", "text", "lang", "source").collect(), 0.5, 2))
+
+
+def test_mixing_query_by_brute_force(spark):
+    from quire.llm.registry import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = "doc_id domain language source n_tokens target_tokens full_epochs prefix_tokens used_tokens".split()
+    multiset(queries()["op9_mixing"](spark, SF).select(*names).collect(), brute_mix(docs.select("doc_id", "text", "lang", "source").collect(), 0.5, 2))
 
 
 def test_budgets_in_tasks_equal_those_of_the_driver(spark):
@@ -710,23 +713,28 @@ def test_simhash_query_by_brute_force(spark):
     multiset(queries()["op10_simhash"](spark, SF).select("doc_id", "fingerprint", "component_id").collect(), want)
 
 
-def test_decontamination_query_by_brute_force(spark):
-    from quire.llm.registry import queries
-
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    grams = {}
+def leaks_by_words(docs, items):
+    """(doc_id, item_id) where 13 words in a row agree in 11 with those of an item of 13 or more."""
+    grams, found = {}, set()
     for item, t in items:
         w = re.findall(r"\w+", t.lower())
-        for j in range(max(1, len(w) - 12)):
+        for j in range(len(w) - 12):
             for k, x in enumerate(w[j : j + 13]):
                 grams.setdefault((k, x), set()).add((item, j))
-    want = set()
     for d, text in docs:
         w = re.findall(r"\w+", (text or "").lower())
         for i in range(len(w)):
             agree = collections.Counter(place for k, x in enumerate(w[i : i + 13]) for place in grams.get((k, x), ()))
-            want |= {(d, item) for (item, _), n in agree.items() if n >= 11}
+            found |= {(d, item) for (item, _), n in agree.items() if n >= 11}
+    return found
+
+
+def test_decontamination_query_by_brute_force(spark):
+    from quire.llm.registry import queries
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = leaks_by_words(docs, items)
     assert all(len(re.findall(r"\w+", t)) >= 13 for _, t in items) and want
     multiset([(r["doc_id"], r["item_id"]) for r in queries()["op4_decontaminate"](spark, SF).collect()], want)
 

@@ -58,6 +58,29 @@ def test_stages_of_awkward_rows(spark, tmp_path):
     assert rows.where("text IS NULL OR trim(text) = ''").isEmpty()
 
 
+def test_pipeline_by_brute_force(spark):
+    """Every stage after the classifier, worked out apart from the operators."""
+    import corpus_pipeline as p
+    from tests.llm.test_operators import brute_groups, brute_mix, leaks_by_words
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = p.language_id(spark, docs, SF).collect()
+    right = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert sum(r["lang"] == right[r["doc_id"]] for r in rows if right[r["doc_id"]]) > 0.98 * len(rows)
+    groups = brute_groups([(r["doc_id"], r["text"]) for r in rows])
+    rows = [r for r in rows if groups.get(r["doc_id"], r["doc_id"]) == r["doc_id"]]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = {d for d, _ in leaks_by_words([(r["doc_id"], r["text"]) for r in rows], items)}
+    rows = [r for r in rows if r["doc_id"] not in bad]
+    used = {x[0] for x in brute_mix([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in rows], p.SHARE, 1)}
+    want = {(r["doc_id"], r["text"], r["lang"], r["source"]) for r in rows if r["doc_id"] in used}
+    got = p.run(spark, SF).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["text"], r["lang"], r["source"]) for r in got} == want
+    slots = {(r["shard"], r["slot"]) for r in got}
+    least, extra = divmod(len(got), p.SHARDS)
+    assert slots == {(s, k) for s in range(p.SHARDS) for k in range(least + (s < extra))}
+
+
 def test_decontamination_stage_drops_leaks_alone(spark):
     import corpus_pipeline as p
 
