@@ -38,6 +38,7 @@ KNOWN_CUTS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": Tr
 #: Merging options of a model under which a word's ids don't depend on where it stands.
 PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 ID = attrgetter("id")
+LINES = re.compile(r"(\n+)").split
 PLAIN = re.compile("[\n -~\xa1-\xac\xae-\u024f]+").fullmatch
 
 
@@ -59,19 +60,23 @@ class Whole(Exception):
 
 
 class Pieces(dict):
-    """Ids by piece, the space before it left out. Two generations: a full one becomes
-    the old one, and pieces that are still met move out of it."""
+    """Ids by piece, a word with what stands by it, the space before it left out. Two generations:
+    a full one becomes the old one, and pieces that are still met move out of it."""
 
-    def __init__(self, encoder: PieceEncoder):
-        self.encoder, self.merge = encoder, encoder.merge
+    def __init__(self, encoder: PieceEncoder, lead: str):
+        self.encoder, self.merge, self.lead = encoder, encoder.merge, lead
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            # Plain words, by far the most, without a further call.
-            plain = piece.isascii() and piece.isalpha()
-            ids = array("i", list(map(ID, self.merge(SPACE + piece)))).tobytes() if plain else self.encoder.new_piece(piece)
+            # Plain words and words before a stop, by far the most, without a further call.
+            if piece.isalpha():
+                ids = array("i", list(map(ID, self.merge(self.lead + piece)))).tobytes() if piece.isascii() else self.encoder.new_piece(piece, self.lead)
+            elif (stop := self.encoder.stops.get(piece[-1:])) and (word := piece[:-1]).isalpha():
+                ids = self[word] + stop
+            else:
+                ids = self.encoder.new_piece(piece, self.lead)
         self[piece] = ids
         return ids
 
@@ -85,7 +90,8 @@ class PieceEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, word by word.
 
     The tokenizer cuts before a lone space between two visible characters, so the ids of a
-    text are those of its pieces, each with its space. New pieces of Latin letters are cut
+    text are those of its pieces, each with its space, and in the same way around newlines
+    between two visible characters. New pieces of Latin letters are cut
     into words here and merged by the tokenizer's model; other new pieces are encoded by
     the tokenizer. Texts with other white space next to a space are encoded whole, and so are
     texts with an added token, such as a special one, which the tokenizer finds before it cuts.
@@ -108,8 +114,9 @@ class PieceEncoder:
         self.merge = self.tokenizer.model.tokenize
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.cache_words = cache_words
-        self.known = Pieces(self)
         self.stops = {c: self.merged(c) for c in STOPS}
+        #: Pieces after a space and those at the start of a line.
+        self.known, self.leading = Pieces(self, SPACE), Pieces(self, "")
 
     @classmethod
     def of_worker(cls, path: str) -> PieceEncoder:
@@ -140,21 +147,23 @@ class PieceEncoder:
     def spelled(self, word: str) -> str:
         return word.encode().decode("latin-1").translate(self.letters)
 
-    def new_piece(self, piece: str) -> bytes:
-        if piece.isalpha():
-            if PLAIN(piece):
-                return self.merged(SPACE + self.spelled(piece))
-        elif piece[-1:] in STOPS and piece[:-1].isalpha():
-            return self.known[piece[:-1]] + self.stops[piece[-1]]
+    def new_piece(self, piece: str, lead: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise Whole  # its white space could merge with the space before or after it
-        return self.cut(" " + piece)
+        if piece.isalpha() and PLAIN(piece):
+            return self.merged(lead + self.spelled(piece))
+        return self.cut((" " if lead else "") + piece)
 
     def cut(self, text: str) -> bytes:
         if not PLAIN(text):
             return self.whole(text)
         return b"".join([self.known[w[1:]] if w[0] == " " and w[1:].isalpha() else self.merged(self.spelled(w)) for w in CUT.findall(text)])
 
+    def newlines(self, n: int, at_end: bool) -> bytes:
+        """Of newlines between visible characters, where the last is cut off, or at the end."""
+        letter = self.spelled("\n")
+        return self.merged(letter * n) if at_end or n == 1 else self.merged(letter * (n - 1)) + self.merged(letter)
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if not text:
@@ -162,12 +171,19 @@ class PieceEncoder:
         for content in self.added:
             if content in text:
                 return self.whole(text)
-        first, *rest = text.split(" ")
         self.known.turn(self.cache_words)
+        self.leading.turn(self.cache_words // 4)
+        get, leading, out = self.known.__getitem__, self.leading, []
+        lines = LINES(text)
         try:
-            if not first or first[0].isspace() or first[-1].isspace():
-                raise Whole
-            return self.cut(first) + b"".join(map(self.known.__getitem__, rest))
+            for k, line in enumerate(lines):
+                if k % 2:
+                    out.append(self.newlines(len(line), k == len(lines) - 2 and not lines[-1]))
+                elif line or 0 < k < len(lines) - 1:
+                    first, *rest = line.split(" ")
+                    out.append(leading[first])
+                    out += map(get, rest)
+            return b"".join(out)
         except Whole:
             return self.whole(text)
 
