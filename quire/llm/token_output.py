@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from operator import attrgetter
+from struct import Struct
 from types import ModuleType
 
 import numpy as np
@@ -38,6 +39,9 @@ KNOWN_CUTS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": Tr
 #: Merging options of a model under which a word's ids don't depend on where it stands.
 PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 ID = attrgetter("id")
+#: Packs up to so many ids at once.
+MOST = 24
+PACKS = [Struct(f"<{n}i").pack for n in range(MOST + 1)]
 LINES = re.compile(r"(\n+)").split
 PLAIN = re.compile("[\n -~\xa1-\xac\xae-\u024f]+").fullmatch
 
@@ -72,8 +76,14 @@ class Pieces(dict):
         if ids is None:
             # Plain words and words before a stop, by far the most, without a further call.
             if piece.isalpha():
-                ids = array("i", list(map(ID, self.merge(self.lead + piece)))).tobytes() if piece.isascii() else self.encoder.new_piece(piece, self.lead)
+                if piece.isascii() and len(piece) < MOST:
+                    found = [t.id for t in self.merge(self.lead + piece)]
+                    ids = PACKS[len(found)](*found)
+                else:
+                    ids = self.encoder.new_piece(piece, self.lead)
             elif (stop := self.encoder.stops.get(piece[-1:])) and (word := piece[:-1]).isalpha():
+                if word not in self:
+                    return self[word] + stop  # of a word met for the first time, only the word is kept
                 ids = self[word] + stop
             else:
                 ids = self.encoder.new_piece(piece, self.lead)
@@ -112,6 +122,8 @@ class PieceEncoder:
             self.encode = self.encode_whole
             return
         self.merge = self.tokenizer.model.tokenize
+        if resize := getattr(self.tokenizer.model, "_resize_cache", None):
+            resize(0)  # words are remembered here
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.cache_words = cache_words
         self.stops = {c: self.merged(c) for c in STOPS}
