@@ -39,9 +39,8 @@ KNOWN_CUTS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": Tr
 #: Merging options of a model under which a word's ids don't depend on where it stands.
 PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 ID = attrgetter("id")
-#: Packs up to so many ids at once.
+#: Letters of a plain word, and so its ids, are fewer.
 MOST = 24
-PACKS = [Struct(f"<{n}i").pack for n in range(MOST + 1)]
 LINES = re.compile(r"(\n+)").split
 PLAIN = re.compile("[\n -~\xa1-\xac\xae-\u024f]+").fullmatch
 
@@ -69,6 +68,7 @@ class Pieces(dict):
 
     def __init__(self, encoder: PieceEncoder, lead: str):
         self.encoder, self.merge, self.lead = encoder, encoder.merge, lead
+        self.packs = [Struct(f"<{n}i").pack for n in range(MOST + 1)]
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -78,7 +78,7 @@ class Pieces(dict):
             if piece.isalpha():
                 if piece.isascii() and len(piece) < MOST:
                     found = [t.id for t in self.merge(self.lead + piece)]
-                    ids = PACKS[len(found)](*found)
+                    ids = self.packs[len(found)](*found)
                 else:
                     ids = self.encoder.new_piece(piece, self.lead)
             elif (stop := self.encoder.stops.get(piece[-1:])) and (word := piece[:-1]).isalpha():
