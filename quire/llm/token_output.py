@@ -42,6 +42,8 @@ ID = attrgetter("id")
 #: Letters of a plain word, and so its ids, are fewer.
 MOST = 24
 LINES = re.compile(r"(\n+)").split
+#: Characters that are cut or encoded at once, and where a longer text may be cut for that.
+STRETCH, SAFE = 1 << 17, re.compile("(?<=[!-~]) (?=[!-~])").search
 PLAIN = re.compile("[\n -~\xa1-\xac\xae-\u024f]+").fullmatch
 
 
@@ -118,6 +120,7 @@ class PieceEncoder:
         self.tokenizer.no_truncation()  # whole texts, whatever the file says
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaceless = not any(" " in content for content in self.added)
         if not self.cuts_known(path):
             self.encode = self.encode_whole
             return
@@ -152,6 +155,14 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def in_stretches(self, text: str) -> bytes:
+        """As ``whole``; a long text by stretches that the tokenizer cuts apart anyway."""
+        out, at = [], 0
+        while len(text) - at > STRETCH and self.spaceless and (cut := SAFE(text, at + STRETCH)):
+            out.append(self.whole(text[at : cut.start()]))
+            at = cut.start()
+        return b"".join([*out, self.whole(text[at:])])
+
     def merged(self, letters: str) -> bytes:
         """Of one word in the vocabulary's letters."""
         return array("i", list(map(ID, self.merge(letters)))).tobytes()
@@ -182,7 +193,7 @@ class PieceEncoder:
             return b""
         for content in self.added:
             if content in text:
-                return self.whole(text)
+                return self.in_stretches(text)
         self.known.turn(self.cache_words)
         self.leading.turn(self.cache_words // 4)
         get, leading, out = self.known.__getitem__, self.leading, []
@@ -192,12 +203,14 @@ class PieceEncoder:
                 if k % 2:
                     out.append(self.newlines(len(line), k == len(lines) - 2 and not lines[-1]))
                 elif line or 0 < k < len(lines) - 1:
-                    first, *rest = line.split(" ")
-                    out.append(leading[first])
-                    out += map(get, rest)
+                    cut = line.find(" ")
+                    out.append(leading[line if cut < 0 else line[:cut]])
+                    while cut >= 0:  # a stretch of pieces at a time
+                        at, cut = cut + 1, line.find(" ", cut + 1 + STRETCH)
+                        out.append(b"".join(map(get, (line[at:] if cut < 0 else line[at:cut]).split(" "))))
             return b"".join(out)
         except Whole:
-            return self.whole(text)
+            return self.in_stretches(text)
 
 
 def encode_batches(tokenizer_path: str, end_id: int | None):
@@ -243,7 +256,7 @@ def write_token_lists(
     ``encoding`` is ``delta`` or ``dictionary``. Files follow each other by ``part``. Null ids
     come first; a null or empty text has the end id alone (or no ids). Rows that share an id
     follow each other in the order of their texts' hashes, so a run of them can span files.
-    Very long texts are encoded whole, one at a time. Any file of the tokenizers library will
+    Very long texts are encoded one at a time. Any file of the tokenizers library will
     do. Extra columns are left out. No rows: an empty table is written.
     """
     if encoding not in ("delta", "dictionary"):

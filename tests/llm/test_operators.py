@@ -383,6 +383,20 @@ def test_piece_encoder_finds_added_tokens(text):
     assert (50256 in ids) == ("<|endoftext|>" in text)
 
 
+def test_long_texts_by_stretches(monkeypatch):
+    import public_tokenizers
+
+    import quire.llm.token_output as m
+
+    monkeypatch.setattr(m, "STRETCH", 7)
+    e = m.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), cache_words=30)
+    rng = random.Random(17)
+    bits = ["a", "word", "The", ".", ",", " ", " ", "  ", "\n", "\n\n", "\t", "é", "日本", "12", "'s", "(", "\r\n", "\xa0", "<|endoftext|>", "..."]
+    for _ in range(5000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 30)))
+        assert e.encode(text) == e.whole(text), text
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "truncated"])
 def test_other_tokenizers_encode_whole(name, tmp_path):
     import json
