@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -86,6 +87,10 @@ class Diagnostics:
         return max(self.filters, key=lambda f: (self.filters[f], FILTERS.index(f)), default=None)
 
 
+class OutOfTime(Exception):
+    """A page took longer than it may."""
+
+
 class Page:
     """Draws content operators; y runs down from the page's top. Without ``paints`` nothing is
     drawn and only the diagnostics are gathered."""
@@ -94,6 +99,7 @@ class Page:
         self.doc, self.width, self.height, self.base, self.most_ops, self.antialias, self.paints = doc, width, height, base, most_ops, antialias, paints
         self.pixels = np.full((height, width, 3), 255, np.uint8) if paints else np.zeros((0, 0, 3), np.uint8)
         self.alpha: np.ndarray | None = None
+        self.deadline: float | None = None  # of the clock
         self.state, self.stack = State(ctm=base), []
         self.paths: list[list] = []
         self.closed: list[bool] = []
@@ -193,6 +199,7 @@ class Page:
         out = Page(self.doc, self.width if width is None else width, self.height if height is None else height, base or self.base, self.most_ops, self.antialias, self.paints)
         out.pixels = np.zeros((out.height, out.width, 3), np.uint8)
         out.alpha = np.zeros((out.height, out.width), np.uint8)
+        out.deadline = self.deadline
         out.fonts, out.unknown, out.seen, out.patterns, out.glyphs = self.fonts, self.unknown, self.seen, self.patterns, self.glyphs
         return out
 
@@ -302,6 +309,8 @@ class Page:
     def run(self, data: bytes, resources, depth: int = 0) -> None:
         base, open_marks = len(self.stack), len(self.marks)
         for op in content_ops(data, self.most_ops):
+            if self.deadline is not None and time.monotonic() > self.deadline:
+                raise OutOfTime
             try:
                 if op.keyword == "Q" and len(self.stack) <= base:
                     continue
@@ -661,10 +670,11 @@ def base_matrix(geometry: dict, dpi: float) -> tuple:
     }.get(turn, (scale, 0.0, 0.0, -scale, -x * scale, (y + h) * scale))
 
 
-def draw(doc: Document, page: dict, own: dict, geometry: dict, dpi: float, antialias: bool = False, annotations: bool = True, paints: bool = True) -> Page:
-    """The page at a resolution, with its diagnostics."""
+def draw(doc: Document, page: dict, own: dict, geometry: dict, dpi: float, antialias: bool = False, annotations: bool = True, paints: bool = True, seconds: float | None = None) -> Page:
+    """The page at a resolution, with its diagnostics. Raises OutOfTime after ``seconds``."""
     wide, high = round_half(geometry["width_pts"] * dpi / 72), round_half(geometry["height_pts"] * dpi / 72)
     out = Page(doc, wide, high, base_matrix(geometry, dpi), antialias=antialias, paints=paints)
+    out.deadline = None if seconds is None else time.monotonic() + seconds
     out.run(doc.content(page), own.get("Resources"))
     if annotations:
         out.annotations(page)

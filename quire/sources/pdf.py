@@ -213,6 +213,8 @@ class Document:
             if isinstance(first, Op):
                 break
             count = lexer.read()
+            if not isinstance(first, int) or isinstance(first, bool):
+                raise PdfError("BadXref", "no number of an object")
             for k in range(as_int(count)):
                 offset, gen, kind = lexer.read(), lexer.read(), lexer.read()
                 if isinstance(kind, Op) and kind.keyword == "n" and as_int(offset):

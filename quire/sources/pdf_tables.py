@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.drawing import images as I
 from quire.drawing.deskew import straightened
-from quire.drawing.page import FILTERS, draw, luma, round_half
+from quire.drawing.page import FILTERS, OutOfTime, draw, luma, round_half
 from quire.drawing.text import resolve as resolve_font
 from quire.functions.geometry import DPI_STEPS, MAX_AREA, MAX_SIDE
 from quire.sources.pdf import Document, Name, PdfError, Ref, Stream, as_int, content_ops
@@ -42,6 +42,11 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.col("path").alias("doc_id"), "content")
 
 
+def named(e: Exception) -> tuple[str, str]:
+    """(kind, message) of an error in a file."""
+    return (e.kind, e.message) if hasattr(e, "kind") and hasattr(e, "message") else ("BadDocument", f"{type(e).__name__}: {e}"[:200])
+
+
 def per_document(docs: DataFrame, schema: str, rows: Callable[[Document], Iterator[tuple]], failed: Callable[[str, str], tuple]) -> DataFrame:
     """``rows(document)`` for every file, or one row ``failed(kind, message)``."""
     spark = docs.sparkSession
@@ -65,10 +70,8 @@ def per_document(docs: DataFrame, schema: str, rows: Callable[[Document], Iterat
                         if len(out) >= 5000:
                             yield arrow(out, types)
                             out = []
-                except PdfError as e:
-                    out.append((doc_id, *failed(e.kind, e.message)))
-                except (ValueError, EOFError, RecursionError, KeyError, AttributeError, TypeError) as e:
-                    out.append((doc_id, *failed("BadDocument", str(e)[:200])))
+                except Exception as e:  # whatever a damaged file leads to, it is a row
+                    out.append((doc_id, *failed(*named(e))))
                 if out:
                     yield arrow(out, types)
 
@@ -236,18 +239,25 @@ def fonts(docs: DataFrame) -> DataFrame:
     return per_document(docs, FONTS, rows, lambda kind, _: (None,) * 6 + (kind,))
 
 
-def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str, antialias: bool, deskew: bool, annotations: bool) -> tuple:
-    """A row of RENDERED."""
-    g = doc.geometry(own)
+def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str, antialias: bool, deskew: bool, annotations: bool, seconds: float | None = None) -> tuple:
+    """A row of RENDERED; ``seconds`` is the time that drawing may take."""
+    try:
+        g = doc.geometry(own)
+    except Exception as e:
+        return n, *(None,) * 15, *named(e)
+    if not all(map(np.isfinite, (g["width_pts"], g["height_pts"]))):
+        return n, *(None,) * 15, "PageDegenerate", "no finite size"
     w, h = round_half(g["width_pts"] * dpi / 72), round_half(g["height_pts"] * dpi / 72)
     failed = lambda kind, message: (n, w, h, *(None,) * 4, dpi, *(None,) * 8, kind, message)
     error = "PageDegenerate" if w <= 0 or h <= 0 else "PageTooLarge" if max(w, h) > MAX_SIDE else "PageAreaTooLarge" if w * h > MAX_AREA else None
     if error:
         return failed(error, f"{w} x {h} pixels")
     try:
-        p = draw(doc, page, own, g, dpi, antialias, annotations)
-    except (ValueError, RecursionError, MemoryError) as e:
-        return failed("RenderFailed", str(e)[:200])
+        p = draw(doc, page, own, g, dpi, antialias, annotations, seconds=seconds)
+    except OutOfTime:
+        return failed("PageTimeout", f"over {seconds} seconds")
+    except Exception as e:  # one page does not stop the others
+        return failed("RenderFailed", f"{type(e).__name__}: {e}"[:200])
     skew, s, gray = None, p.seen, luma(p.pixels)
     if deskew:
         gray, skew = straightened(gray)
@@ -266,14 +276,15 @@ def check_options(dpi: float, first: int, last: int | None, parity: str | None,
         raise ValueError("deskew needs gray or mono pages")
 
 
-def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None = None, parity: str | None = None, mode: str = "gray", antialias: bool = False, deskew: bool = False, annotations: bool = True) -> DataFrame:
+def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None = None, parity: str | None = None, mode: str = "gray", antialias: bool = False, deskew: bool = False, annotations: bool = True, seconds: float | None = None) -> DataFrame:
     """Pages of a range as ``gray``, ``mono`` (0 or 255) or ``rgb`` bytes, with the number of pixels darker
-    than the middle and the sum of all grays. A page that can't be drawn has an error and no pixels."""
+    than the middle and the sum of all grays. A page that can't be drawn, or not within ``seconds``,
+    has an error and no pixels."""
     check_options(dpi, first, last, parity, mode, deskew)
 
     def rows(doc: Document):
         for n, (_, page, own) in enumerate(doc.pages(), 1):
             if n >= first and (last is None or n <= last) and (parity is None or n % 2 == (parity == "odd")):
-                yield page_row(doc, n, page, own, dpi, mode, antialias, deskew, annotations)
+                yield page_row(doc, n, page, own, dpi, mode, antialias, deskew, annotations, seconds)
 
     return per_document(docs, RENDERED, rows, lambda kind, message: (None,) * 16 + (kind, message))
