@@ -60,6 +60,8 @@ class PdfReader(DataSourceReader):
             if doc.encrypted:
                 raise PdfError("EncryptedDocument", "not opened")
             pages = doc.pages()
+            if not pages:
+                raise PdfError("NoPages", "no page in the tree")
         except Exception as e:  # whatever a damaged file leads to, it is a row
             if partition.k == 0:
                 yield (partition.path, *(None,) * 16, *named(e))

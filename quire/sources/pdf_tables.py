@@ -47,6 +47,20 @@ def named(e: Exception) -> tuple[str, str]:
     return (e.kind, e.message) if hasattr(e, "kind") and hasattr(e, "message") else ("BadDocument", f"{type(e).__name__}: {e}"[:200])
 
 
+def fitting(values: tuple, kind: pa.DataType) -> pa.Array:
+    """A column; a value that a damaged file makes too large for its type is null."""
+    try:
+        return pa.array(values, kind)
+    except (pa.ArrowException, ValueError, OverflowError, TypeError):
+        out = []
+        for v in values:
+            try:
+                out.append(pa.scalar(v, kind))
+            except (pa.ArrowException, ValueError, OverflowError, TypeError):
+                out.append(None)
+        return pa.array([None if v is None else v.as_py() for v in out], kind)
+
+
 def per_document(docs: DataFrame, schema: str, rows: Callable[[Document], Iterator[tuple]], failed: Callable[[str, str], tuple]) -> DataFrame:
     """``rows(document)`` for every file, or one row ``failed(kind, message)``."""
     spark = docs.sparkSession
@@ -76,7 +90,7 @@ def per_document(docs: DataFrame, schema: str, rows: Callable[[Document], Iterat
                     yield arrow(out, types)
 
     def arrow(out: list[tuple], types: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], names)
+        return pa.RecordBatch.from_arrays([fitting(c, f.type) for c, f in zip(zip(*out), types)], names)
 
     read = docs.select("doc_id", "content")
     parsed = spark.createDataFrame([], full).schema
@@ -248,7 +262,7 @@ def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str
     if not all(map(np.isfinite, (g["width_pts"], g["height_pts"]))):
         return n, *(None,) * 15, "PageDegenerate", "no finite size"
     w, h = round_half(g["width_pts"] * dpi / 72), round_half(g["height_pts"] * dpi / 72)
-    failed = lambda kind, message: (n, w, h, *(None,) * 4, dpi, *(None,) * 8, kind, message)
+    failed = lambda kind, message: (n, *(x if x < 1 << 31 else None for x in (w, h)), *(None,) * 4, dpi, *(None,) * 8, kind, message)
     error = "PageDegenerate" if w <= 0 or h <= 0 else "PageTooLarge" if max(w, h) > MAX_SIDE else "PageAreaTooLarge" if w * h > MAX_AREA else None
     if error:
         return failed(error, f"{w} x {h} pixels")
@@ -283,7 +297,10 @@ def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None
     check_options(dpi, first, last, parity, mode, deskew)
 
     def rows(doc: Document):
-        for n, (_, page, own) in enumerate(doc.pages(), 1):
+        found = doc.pages()
+        if not found:
+            raise PdfError("NoPages", "no page in the tree")
+        for n, (_, page, own) in enumerate(found, 1):
             if n >= first and (last is None or n <= last) and (parity is None or n % 2 == (parity == "odd")):
                 yield page_row(doc, n, page, own, dpi, mode, antialias, deskew, annotations, seconds)
 
