@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import content, coverage, documents, pixels, resources, shadings, tables  # noqa: F401  (they register their queries)
+from quire.plans import codecs, content, coverage, documents, pixels, resources, shadings, tables  # noqa: F401  (they register their queries)
 from quire.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -170,7 +170,8 @@ def info(docs: DataFrame) -> DataFrame:
     def rows(doc: Document):
         first = next((doc.get(Ref(n, 0)) for n in sorted(doc.xref) if isinstance(doc.get(Ref(n, 0)), dict) and "Linearized" in doc.get(Ref(n, 0))), {})
         used = sum(kind != "free" for kind, *_ in doc.xref.values())
-        yield doc.data[5:8].decode("latin-1"), len(doc.pages()), used, as_int(first.get("N")) if first else None, False, ",".join(doc.javascript()), None
+        at = doc.data.find(b"%PDF-") + 5  # other bytes may come before
+        yield doc.data[at : at + 3].decode("latin-1"), len(doc.pages()), used, as_int(first.get("N")) if first else None, False, ",".join(doc.javascript()), None
 
     return per_document(docs, INFO, rows, lambda kind, _: (None,) * 4 + (kind == "EncryptedDocument", None, kind))
 
