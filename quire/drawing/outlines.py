@@ -41,6 +41,10 @@ def open_face(data: bytes) -> Face:
         return Cff(tables["CFF "])
     if data[:1] == b"\1":
         return Cff(data)
+    if data[:2] in (b"%!", b"\x80\1"):
+        from quire.drawing.type1 import Type1
+
+        return Type1(data)
     raise FontError("unknown font program")
 
 

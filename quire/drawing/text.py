@@ -27,9 +27,9 @@ OTHER_NAMES = {
 }
 #: What StandardEncoding has at these codes.
 STANDARD_HIGH = dict(zip(
-    [*range(0xA1, 0xB0), *range(0xB1, 0xB5), *range(0xB6, 0xBE), 0xBF, 0xD0, 0xE1, 0xE3, *range(0xE8, 0xEC), 0xF1, 0xF5, *range(0xF8, 0xFC)],
+    [*range(0xA1, 0xB0), *range(0xB1, 0xB5), *range(0xB6, 0xBE), 0xBF, *range(0xC1, 0xC9), 0xCA, 0xCB, *range(0xCD, 0xD1), 0xE1, 0xE3, *range(0xE8, 0xEC), 0xF1, 0xF5, *range(0xF8, 0xFC)],
     """exclamdown cent sterling fraction yen florin section currency quotesingle quotedblleft guillemotleft guilsinglleft guilsinglright fi fl
-    endash dagger daggerdbl periodcentered paragraph bullet quotesinglbase quotedblbase quotedblright guillemotright ellipsis perthousand questiondown emdash AE ordfeminine Lslash Oslash OE ordmasculine ae dotlessi lslash oslash oe germandbls""".split(),
+    endash dagger daggerdbl periodcentered paragraph bullet quotesinglbase quotedblbase quotedblright guillemotright ellipsis perthousand questiondown grave acute circumflex tilde macron breve dotaccent dieresis ring cedilla hungarumlaut ogonek caron emdash AE ordfeminine Lslash Oslash OE ordmasculine ae dotlessi lslash oslash oe germandbls""".split(),
 ))
 
 
@@ -145,7 +145,7 @@ class Font:
 
 
 def program(doc: Document, descriptor: dict) -> Face | None:
-    for key in ("FontFile2", "FontFile3"):
+    for key in ("FontFile", "FontFile2", "FontFile3"):
         found = doc.get(descriptor.get(key))
         if isinstance(found, Stream) and len(found.raw) <= MAX_PROGRAM:
             try:

@@ -384,3 +384,50 @@ def page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strokes with caps and scaled widths, clips, opacity, Type 3 glyphs, forms, compatibility sections."""
     shown = T.render(made(samples(spark, sf_dir, len(MARKS)), mark), dpi=72.0)
     return shown.select("doc_id", F.col("ink_pixels").alias("dark"))
+
+
+# Glyphs of a Type 1 font program, which is made here.
+
+
+def type1_number(n: int) -> bytes:
+    return bytes([n + 139]) if -107 <= n <= 107 else bytes([255]) + n.to_bytes(4, "big", signed=True)
+
+
+def type1_program(size: int) -> bytes:
+    """Glyphs of ``size`` x ``size`` units: a box, one by a subroutine, one of curves and a flex, one put together."""
+    from quire.drawing.type1 import CHARSTRING_KEY, EEXEC_KEY, encrypted
+
+    op = lambda *words: b"".join(type1_number(w) if isinstance(w, int) else w for w in words)
+    hsbw, hline, vline, hmove, rmove, close, call, back, end = (bytes([b]) for b in (13, 6, 7, 22, 21, 9, 10, 11, 14))
+    other, pop, set_point, seac, div = (bytes([12, b]) for b in (16, 17, 33, 6, 12))
+    box = op(size, hline, size, vline, -size, hline, close)
+    flex = op(size // 2, hmove, 0, 2, other) + op(0, 0, rmove, 0, 2, other) * 2
+    glyphs = {
+        ".notdef": op(0, 500, hsbw, end),
+        "a": op(0, 1000, hsbw, 100, hmove) + box + end,
+        "b": op(0, 2000, 2, div, hsbw, 100, hmove, 4, call, end),
+        "acute": op(0, 500, hsbw, 0, hmove) + box + end,
+        "aacute": op(0, 1000, hsbw, 0, 0, 400, 97, 194, seac),
+        "c": op(0, 1000, hsbw, 100, hmove, 0, 1, other) + flex + op(size // 2, hmove, 0, 2, other) + op(0, 0, rmove, 0, 2, other) * 3 + op(50, size + 100, 0, 3, 0, other, pop, pop, set_point, size, vline, -size, hline, close, end),
+    }
+    rd = lambda code: encrypted(code, CHARSTRING_KEY)
+    entry = lambda head, code, tail: head + b" %d RD " % len(rd(code)) + rd(code) + tail
+    private = b"dup /Private 8 dict dup begin /lenIV 4 def /Subrs 5 array\n" + entry(b"dup 4", box + back, b" NP\n") + b"ND\n2 index /CharStrings %d dict dup begin\n" % len(glyphs)
+    private += b"".join(entry(b"/" + name.encode(), code, b" ND\n") for name, code in glyphs.items()) + b"end end\nmark currentfile closefile\n"
+    return b"%!FontType1\n/FontMatrix [0.001 0 0 0.001 0 0] def\n/Encoding 256 array\ndup 97 /a put\nreadonly def\ncurrentfile eexec\n" + encrypted(private, EEXEC_KEY)
+
+
+@query("type1_glyphs", "SELECT p_partkey AS doc_id, CAST(CASE p_partkey % 4 WHEN 3 THEN 2 ELSE 1 END * (n + 1) * (n - 1) AS BIGINT) AS dark, true AS embedded FROM (SELECT p_partkey, 5 + p_partkey * 37 % 256 % 20 AS n FROM part)")
+def type1_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes drawn by lines, by a subroutine, by a flex and by a composed glyph."""
+
+    def make(k: int, v: int) -> bytes:
+        font = b"<< /Type /Font /Subtype /Type1 /BaseFont /Boxes /FirstChar 97 /LastChar 100 /Widths [1000 1000 1000 1000] /FontDescriptor 6 0 R /Encoding << /Differences [97 /a /b /c /aacute] >> >>"
+        descriptor = b"<< /Type /FontDescriptor /FontName /Boxes /Flags 4 /FontFile 7 0 R >>"
+        page = b"BT /F 100 Tf 10.25 20.25 Td (%c) Tj ET" % (97 + k)
+        return build_pdf([page], 200, 100, [font, descriptor, stream(b"", type1_program(10 * (5 + v % 20)))], b"/Resources << /Font << /F 5 0 R >> >> ")
+
+    made_ = made(samples(spark, sf_dir, 4), make)
+    fonts = T.fonts(made_).select(F.col("doc_id").alias("d"), "embedded")
+    shown = T.render(made_, dpi=72.0)
+    return shown.join(fonts, F.col("doc_id") == F.col("d")).select("doc_id", F.col("ink_pixels").alias("dark"), "embedded")
