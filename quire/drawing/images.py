@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from quire.drawing import ccitt
+from quire.drawing import ccitt, jbig2
 from quire.drawing.numbers import function
 from quire.sources.filters import FilterError
 from quire.sources.jpeg import JpegError
@@ -16,13 +16,14 @@ from quire.sources.pdf import Document, Name, Stream, as_int
 
 MAX_SIDE, MAX_SPACE_DEPTH = 65_536, 8
 #: Codecs that this engine has no decoder for: their images fail by name.
-UNSUPPORTED = ("JPXDecode", "JBIG2Decode")
+UNSUPPORTED = ("JPXDecode",)
 #: codec -> (bytes, image's dictionary, parameters) -> (h, w, n) bytes, or (h, w) bits. More can be registered.
 CODECS: dict[str, Callable] = {
     "DCTDecode": lambda data, info, parms: decode_jpeg(data),
     "CCITTFaxDecode": lambda data, info, parms: ccitt.decode(
         data, as_int(parms.get("Columns"), 1728), as_int(parms.get("Rows")) or as_int(info.get("Height")), as_int(parms.get("K")), bool(parms.get("BlackIs1")), bool(parms.get("EncodedByteAlign"))
     ),
+    "JBIG2Decode": lambda data, info, parms: jbig2.decode(data, parms.get("JBIG2Globals") or b"", as_int(info.get("Width")), as_int(info.get("Height"))),
 }
 
 
@@ -161,9 +162,10 @@ def decode_samples(doc: Document, stream: Stream, info: dict, n: int, bits: int)
             raise ImageError("Unsupported", codec)
         parms = doc.get(info.get("DecodeParms"))
         parms = doc.get(parms[-1]) if isinstance(parms, list) and parms else parms
-        out = CODECS[codec](data, info, {k: doc.get(v) for k, v in (parms or {}).items()})
+        found = {k: doc.get(v) for k, v in (parms or {}).items()}
+        out = CODECS[codec](data, info, {k: doc.decoded(v) if isinstance(v, Stream) else v for k, v in found.items()})
         return (out[:, :, None], 1, codec) if out.ndim == 2 else (out, 8, codec)
-    except (FilterError, JpegError, IndexError) as e:
+    except (FilterError, JpegError, jbig2.Jbig2Error, IndexError) as e:
         raise ImageError("DecodeFailed", str(e)) from None
 
 

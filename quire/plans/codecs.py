@@ -431,3 +431,18 @@ def type1_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     fonts = T.fonts(made_).select(F.col("doc_id").alias("d"), "embedded")
     shown = T.render(made_, dpi=72.0)
     return shown.join(fonts, F.col("doc_id") == F.col("d")).select("doc_id", F.col("ink_pixels").alias("dark"), "embedded")
+
+
+@query("jbig2_images", "SELECT p_partkey AS doc_id, CAST(count(*) FILTER ((x.k * 3 + y.k * 5 + p_partkey * 37 % 256) % 4 = 0) AS BIGINT) AS dark, true AS has_images FROM part, generate_series(0, 19) x(k), generate_series(0, 19) y(k) GROUP BY p_partkey")
+def jbig2_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are one bilevel image in arithmetic code, in all four templates."""
+
+    def make(k: int, v: int) -> bytes:
+        from quire.sources.fixtures import jbig2_region
+
+        rows = [[int((x * 3 + y * 5 + v) % 4 == 0) for x in range(20)] for y in range(20)]
+        entries = b"/Type /XObject /Subtype /Image /Width 20 /Height 20 /BitsPerComponent 1 /ColorSpace /DeviceGray /Filter /JBIG2Decode"
+        return build_pdf([b"20 0 0 20 0 0 cm /I Do"], 20, 20, [stream(entries, jbig2_region(rows, k, like_above=v % 2 == 1))], b"/Resources << /XObject << /I 5 0 R >> >> ")
+
+    shown = T.render(made(samples(spark, sf_dir, 4), make), dpi=72.0)
+    return shown.select("doc_id", F.col("ink_pixels").alias("dark"), "has_images")

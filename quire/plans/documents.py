@@ -25,8 +25,7 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
 
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content): a PDF per order, whose page shows its lineitems."""
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("quire_lineitem")
-    rects = dealt(spark.sql(RECTS.replace("FROM lineitem", "FROM quire_lineitem")), "doc")
+    rects = dealt(spark.sql(RECTS.replace("FROM lineitem", "FROM {lines}"), lines=table(spark, sf_dir, "lineitem")), "doc")
     mark = F.concat(F.concat_ws(" ", (F.col("tone") / 10).cast("decimal(2,1)").cast("string"), F.lit("g"), "x", "y", "w", "h", F.lit("re f")), F.lit("\n"))
     order = F.struct("tone", "x", "y", "w", "h", mark.alias("mark"))
     texts = rects.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_set(order)), lambda s: s["mark"]), "").alias("text"))

@@ -82,10 +82,10 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_tree_recursive", f"WITH RECURSIVE {_TREE}, walk AS (SELECT node, 1 AS depth FROM nodes WHERE parent = 'root' UNION ALL SELECT n.node, w.depth + 1 FROM walk w JOIN nodes n ON n.parent = w.node WHERE w.depth < 64) SELECT node, CAST(depth AS INTEGER) AS depth FROM walk")
 def page_tree_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _tree(spark, sf_dir).createOrReplaceTempView("quire_nodes")
     return spark.sql(
-        "WITH RECURSIVE walk(node, depth) AS (SELECT node, 1 FROM quire_nodes WHERE parent = 'root' UNION ALL "
-        "SELECT n.node, w.depth + 1 FROM walk w JOIN quire_nodes n ON n.parent = w.node WHERE w.depth < 64) SELECT node, depth FROM walk"
+        "WITH RECURSIVE walk(node, depth) AS (SELECT node, 1 FROM {nodes} WHERE parent = 'root' UNION ALL "
+        "SELECT n.node, w.depth + 1 FROM walk w JOIN {nodes} n ON n.parent = w.node WHERE w.depth < 64) SELECT node, depth FROM walk",
+        nodes=_tree(spark, sf_dir),
     )
 
 

@@ -155,3 +155,101 @@ def test_mutants_of_all_kinds_of_files(spark, tmp_path):
     register(spark)
     found = spark.read.format("pdf").option("dpi", "72").option("bytes_per_partition", "500").option("page_seconds", "5").load(str(tmp_path / "*.pdf"))
     assert found.select("doc_id").distinct().count() == 300
+
+
+def test_arithmetic_decoder_of_the_standard():
+    """The test sequence of the JBIG2 standard: one context, 256 bits."""
+    from quire.drawing.jbig2 import Decoder
+
+    coded = bytes.fromhex("84C73BFCE1A1430402200000410DBB86F4317FFF88FF37471ADB6ADFFFAC")
+    plain = bytes.fromhex("00020051000000C0035287 2AAAAAAAAA82C02000FCD79EF6BF7FED904F46A3BF".replace(" ", ""))
+    decoder, contexts = Decoder(coded), [0]
+    bits = [decoder.bit(contexts, 0) for _ in range(256)]
+    assert bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, 256, 8)) == plain
+
+
+@pytest.mark.parametrize("template, places", [(0, None), (1, None), (2, None), (3, None), (0, [(5, -1), (-4, -2), (2, -2), (-2, -2)]), (1, [(-3, 0)])])
+@pytest.mark.parametrize("like_above", [False, True])
+def test_jbig2_generic_regions(template, places, like_above):
+    import random
+
+    from quire.drawing.jbig2 import decode
+    from quire.sources.fixtures import jbig2_region
+
+    rng = random.Random(template)
+    for width, height in ((1, 1), (3, 2), (37, 23), (64, 40)):
+        rows = [[int(rng.random() < 0.5 if (x // 8 + y // 5) % 2 else (x + y) % 7 == 0) for x in range(width)] for y in range(height)]
+        rows[1:2] = [list(rows[0])] * (height > 1)
+        got = decode(jbig2_region(rows, template, places, like_above), b"", width, height)
+        assert (1 - got).tolist() == rows
+
+
+def test_jbig2_symbols_and_text():
+    """Two letters from a dictionary, set twice, one of them refined; the dictionary is shared."""
+    import numpy as np
+
+    from quire.drawing import jbig2 as J
+    from quire.sources.fixtures import ArithmeticWriter, jbig2_segment
+
+    letters = [[[1, 0, 1], [1, 1, 1]], [[0, 1, 1, 0], [1, 0, 0, 1]]]
+    w = ArithmeticWriter()
+    numbers, shapes = J.Numbers(w), [0] * (1 << 16)
+
+    def put(kind, value):
+        w.integer(value, J.RANGES)
+        assert numbers.read(kind) == value
+
+    put("DH", 2)
+    for step, letter in ((3, letters[0]), (1, letters[1])):
+        put("DW", step)
+        w.put([v for row in letter for v in row])
+        J.generic(w, shapes, len(letter[0]), 2, 1, [(3, -1)])
+    put("DW", None)
+    put("EX", 0)
+    put("EX", 2)
+    dictionary = jbig2_segment(0, 0, (1 << 10).to_bytes(2, "big") + bytes([3, 255]) + (2).to_bytes(4, "big") * 2 + w.finish())
+    assert J.symbols(dictionary[11:], []) == letters
+
+    w = ArithmeticWriter()
+    numbers, shades = J.Numbers(w), [0] * (1 << 13)
+    put("DT", 0)
+    put("DT", 3)
+    put("FS", 2)
+    better = [[1, 1, 1], [1, 0, 1]]
+    for k, (symbol, step) in enumerate(((0, 5), (1, 200), (0, None))):
+        w.put([symbol])
+        assert numbers.symbol(1) == symbol
+        put("RI", int(k == 2))
+        if k == 2:
+            for kind in ("RDW", "RDH", "RDX", "RDY"):
+                put(kind, 0)
+            w.put([v for row in better for v in row])
+            J.refined(w, shades, 3, 2, 1, letters[0], 0, 0, [])
+        put("DS", step)
+    flags = 1 << 15 | 1 << 4 | 2  # refined by the small template, placed by the top left corner
+    head = (240).to_bytes(4, "big") + (9).to_bytes(4, "big") + (4).to_bytes(4, "big") + (1).to_bytes(4, "big") + b"\0"
+    page = jbig2_segment(1, 6, head + flags.to_bytes(2, "big") + (3).to_bytes(4, "big") + w.finish(), b"\0")
+    got = 1 - J.decode(page, dictionary, 260, 12)
+    want = np.zeros((12, 260), np.uint8)
+    x = 4 + 2
+    for shape, gap in ((letters[0], 5), (letters[1], 200), (better, 0)):
+        want[1 + 3 : 1 + 5, x : x + len(shape[0])] |= np.array(shape, np.uint8)
+        x += len(shape[0]) - 1 + gap
+    assert (got == want).all()
+
+
+def test_damaged_jbig2_fails_by_name():
+    import random
+
+    from quire.drawing.jbig2 import Jbig2Error, decode
+    from quire.sources.fixtures import jbig2_region
+
+    seed, rng = jbig2_region([[int((x * y) % 3 == 0) for x in range(30)] for y in range(20)]), random.Random(8)
+    for _ in range(400):
+        b = bytearray(seed)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        try:
+            assert decode(bytes(b[: rng.randint(1, len(b))]), b"", 30, 20).shape == (20, 30)
+        except Jbig2Error:
+            pass
