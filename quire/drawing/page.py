@@ -122,6 +122,13 @@ class Page:
         if not self.paints or any(self.marks):
             return
         s, shape, place = self.state, patch.shape, patch.place
+        if alpha == 255 and isinstance(color, tuple) and s.clip is None and s.soft_mask is None and s.blend == "Normal" and self.alpha is None and not self.antialias:
+            pixels = self.pixels[place]  # a plain paint: all or nothing of each pixel
+            if shape.all():
+                pixels[:] = color
+            else:
+                pixels[shape > 0] = color
+            return
         for other in (s.clip, s.soft_mask):
             if other is not None:
                 shape = div255(shape.astype("i4") * other[place])
@@ -637,6 +644,10 @@ def div255(x: np.ndarray) -> np.ndarray:
 def rgb_of(space: I.Space, values: list[float]) -> tuple[int, int, int]:
     if not values:
         return 0, 0, 0
+    if space is I.GRAY:
+        return (to_byte(values[0]),) * 3
+    if space is I.RGB and len(values) >= 3:
+        return tuple(map(to_byte, values[:3]))
     return tuple(int(c) for c in np.clip(space.rgb(np.array([values], "f8"))[0], 0, 255))
 
 

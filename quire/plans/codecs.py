@@ -382,7 +382,7 @@ def mark(kind: int, v: int) -> bytes:
 @query("page_marks", f"SELECT p_partkey AS doc_id, CAST(CASE p_partkey % {len(MARKS)} " + " ".join(f"WHEN {k} THEN {sql}" for k, (_, sql) in enumerate(MARKS)) + " END AS BIGINT) AS dark FROM (SELECT p_partkey, p_partkey * 37 % 256 AS v FROM part)")
 def page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strokes with caps and scaled widths, clips, opacity, Type 3 glyphs, forms, compatibility sections."""
-    shown = T.render(made(samples(spark, sf_dir, len(MARKS)), mark), dpi=72.0)
+    shown = T.render(made(samples(spark, sf_dir, len(MARKS)), mark), dpi=72.0, pixels=False)
     return shown.select("doc_id", F.col("ink_pixels").alias("dark"))
 
 
@@ -429,7 +429,7 @@ def type1_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made_ = made(samples(spark, sf_dir, 4), make)
     fonts = T.fonts(made_).select(F.col("doc_id").alias("d"), "embedded")
-    shown = T.render(made_, dpi=72.0)
+    shown = T.render(made_, dpi=72.0, pixels=False)
     return shown.join(fonts, F.col("doc_id") == F.col("d")).select("doc_id", F.col("ink_pixels").alias("dark"), "embedded")
 
 
@@ -444,5 +444,5 @@ def jbig2_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         entries = b"/Type /XObject /Subtype /Image /Width 20 /Height 20 /BitsPerComponent 1 /ColorSpace /DeviceGray /Filter /JBIG2Decode"
         return build_pdf([b"20 0 0 20 0 0 cm /I Do"], 20, 20, [stream(entries, jbig2_region(rows, k, like_above=v % 2 == 1))], b"/Resources << /XObject << /I 5 0 R >> >> ")
 
-    shown = T.render(made(samples(spark, sf_dir, 4), make), dpi=72.0)
+    shown = T.render(made(samples(spark, sf_dir, 4), make), dpi=72.0, pixels=False)
     return shown.select("doc_id", F.col("ink_pixels").alias("dark"), "has_images")

@@ -68,7 +68,7 @@ _PIXELS = f"""WITH r AS (SELECT DISTINCT * FROM ({RECTS})),
 @query("pdf_fill_dark_pixels", _PIXELS + " SELECT doc AS doc_id, 1 AS page_num, 200 AS width, 100 AS height, CAST(count(*) FILTER (tone = 0) AS BIGINT) AS dark, CAST(255 * 20000 - 255 * count(*) FILTER (tone = 0) - 127 * count(*) FILTER (tone = 5) AS BIGINT) AS gray_sum, false AS has_images, false AS has_vector_text FROM top GROUP BY doc")
 def pdf_fill_dark_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered pages: how many pixels are ink, and what the pages hold."""
-    shown = T.render(drawings(spark, sf_dir), dpi=72.0)
+    shown = T.render(drawings(spark, sf_dir), dpi=72.0, pixels=False)
     return shown.select("doc_id", "page_num", "width", "height", F.col("ink_pixels").alias("dark"), "gray_sum", "has_images", "has_vector_text")
 
 

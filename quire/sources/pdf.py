@@ -51,6 +51,10 @@ class Op:
     operands: list = field(default_factory=list)
 
 
+#: A line of a cross-reference table.
+ENTRY = re.compile(rb"[\0\t\n\f\r ]*(\d{10}) (\d{5}) ([nf])(?=[\0\t\n\f\r ])").match
+
+
 class Lexer:
     """Reads objects of ``data`` from ``pos`` on. ``keyword`` results are :class:`Op`."""
 
@@ -215,7 +219,15 @@ class Document:
             count = lexer.read()
             if not isinstance(first, int) or isinstance(first, bool):
                 raise PdfError("BadXref", "no number of an object")
-            for k in range(as_int(count)):
+            k = 0
+            while k < as_int(count) and (m := ENTRY(self.data, lexer.pos)):  # as they should be
+                if m[3] == b"n" and int(m[1]):
+                    self.xref.setdefault(first + k, ("direct", int(m[1]), int(m[2]), section))
+                elif m[3] == b"f":
+                    self.xref.setdefault(first + k, ("free", 0, int(m[2]), section))
+                lexer.pos = m.end()
+                k += 1
+            for k in range(k, as_int(count)):
                 offset, gen, kind = lexer.read(), lexer.read(), lexer.read()
                 if isinstance(kind, Op) and kind.keyword == "n" and as_int(offset):
                     self.xref.setdefault(first + k, ("direct", as_int(offset), as_int(gen), section))

@@ -34,6 +34,8 @@ TREE = "node long, parent long, ord int, declared int, kind string, error_kind s
 GLYPHS = "page_num int, k long, character string, x double, y double, size double, error_kind string"
 IMAGES = "obj_num long, width int, height int, filter string, status string, has_alpha boolean, digest string, error_kind string"
 FONTS = "obj_num long, subtype string, base_font string, two_bytes boolean, embedded boolean, n_widths int, error_kind string"
+#: Bytes of rows that wait for others before they leave a task.
+HELD = 16 << 20
 MODES = {"gray": 1, "mono": 1, "rgb": 3}
 
 
@@ -73,21 +75,22 @@ def per_document(docs: DataFrame, schema: str, rows: Callable[[Document], Iterat
 
         types = to_arrow_schema(parsed)
         for batch in batches:
+            out, held = [], 0
             for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
-                out = []
                 try:
                     doc = Document(content.as_py() or b"")
                     if doc.encrypted:
                         raise PdfError("EncryptedDocument", "not opened")
                     for row in rows(doc):
                         out.append((doc_id, *row))
-                        if len(out) >= 5000:
+                        held += sum(len(v) for v in row if isinstance(v, bytes))
+                        if len(out) >= 5000 or held >= HELD:
                             yield arrow(out, types)
-                            out = []
+                            out, held = [], 0
                 except Exception as e:  # whatever a damaged file leads to, it is a row
                     out.append((doc_id, *failed(*named(e))))
-                if out:
-                    yield arrow(out, types)
+            if out:
+                yield arrow(out, types)
 
     def arrow(out: list[tuple], types: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([fitting(c, f.type) for c, f in zip(zip(*out), types)], names)
@@ -291,10 +294,10 @@ def check_options(dpi: float, first: int, last: int | None, parity: str | None,
         raise ValueError("deskew needs gray or mono pages")
 
 
-def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None = None, parity: str | None = None, mode: str = "gray", antialias: bool = False, deskew: bool = False, annotations: bool = True, seconds: float | None = None) -> DataFrame:
+def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None = None, parity: str | None = None, mode: str = "gray", antialias: bool = False, deskew: bool = False, annotations: bool = True, seconds: float | None = None, pixels: bool = True) -> DataFrame:
     """Pages of a range as ``gray``, ``mono`` (0 or 255) or ``rgb`` bytes, with the number of pixels darker
     than the middle and the sum of all grays. A page that can't be drawn, or not within ``seconds``,
-    has an error and no pixels."""
+    has an error and no pixels. ``pixels`` false leaves them out, where their measures are enough."""
     check_options(dpi, first, last, parity, mode, deskew)
 
     def rows(doc: Document):
@@ -303,6 +306,7 @@ def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None
             raise PdfError("NoPages", "no page in the tree")
         for n, (_, page, own) in enumerate(found, 1):
             if n >= first and (last is None or n <= last) and (parity is None or n % 2 == (parity == "odd")):
-                yield page_row(doc, n, page, own, dpi, mode, antialias, deskew, annotations, seconds)
+                row = page_row(doc, n, page, own, dpi, mode, antialias, deskew, annotations, seconds)
+                yield row if pixels else (*row[:3], None, *row[4:])
 
     return per_document(docs, RENDERED, rows, lambda kind, message: (None,) * 16 + (kind, message))
