@@ -100,6 +100,7 @@ class Page:
         self.pixels = np.full((height, width, 3), 255, np.uint8) if paints else np.zeros((0, 0, 3), np.uint8)
         self.alpha: np.ndarray | None = None
         self.deadline: float | None = None  # of the clock
+        self.colored = False  # whether other than plain grays may have been laid
         self.state, self.stack = State(ctm=base), []
         self.paths: list[list] = []
         self.closed: list[bool] = []
@@ -122,6 +123,7 @@ class Page:
         if not self.paints or any(self.marks):
             return
         s, shape, place = self.state, patch.shape, patch.place
+        self.colored = self.colored or s.blend != "Normal" or isinstance(color, np.ndarray) or not color[0] == color[1] == color[2]
         if alpha == 255 and isinstance(color, tuple) and s.clip is None and s.soft_mask is None and s.blend == "Normal" and self.alpha is None and not self.antialias:
             pixels = self.pixels[place]  # a plain paint: all or nothing of each pixel
             if shape.all():

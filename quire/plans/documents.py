@@ -144,3 +144,20 @@ def pdf_rendered_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = 3 * (50 * 200 + 100)
     channel = lambda i: F.conv(F.hex(F.substring("pixels", at + i + 1, 1)), 16, 10).cast("int")
     return shown.select("doc_id", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))
+
+
+@query("letter_pages", "SELECT s_suppkey AS doc_id, 1275 AS width, 1650 AS height, CAST((1 + s_suppkey % 60) * 76 * 74 AS BIGINT) AS dark, true AS has_vector_text FROM supplier")
+def letter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter pages at 150 dpi: squares of half an inch, and text without ink."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = []
+            for n in b.column("n").to_pylist():
+                squares = b"".join(b"%d %d 36 36 re f\n" % (36 + 72 * (i % 6), 36 + 72 * (i // 6)) for i in range(n))
+                files.append(build_pdf([squares + b"BT 3 Tr /F 9 Tf 40 700 Td (words) Tj ET"], 612, 792))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+    rows = dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("doc_id"), (F.col("s_suppkey") % 60 + 1).alias("n"))
+    shown = T.render(rows.mapInArrow(build, "doc_id long, content binary"), dpi=150.0, pixels=False)
+    return shown.select("doc_id", "width", "height", F.col("ink_pixels").alias("dark"), "has_vector_text")

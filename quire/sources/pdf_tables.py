@@ -276,7 +276,7 @@ def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str
         return failed("PageTimeout", f"over {seconds} seconds")
     except Exception as e:  # one page does not stop the others
         return failed("RenderFailed", f"{type(e).__name__}: {e}"[:200])
-    skew, s, gray = None, p.seen, luma(p.pixels)
+    skew, s, gray = None, p.seen, luma(p.pixels) if p.colored else p.pixels[..., 0].copy()  # of a gray its luma is itself
     if deskew:
         gray, skew = straightened(gray)
     ink = gray < 128
