@@ -22,6 +22,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,12 @@ LINES = re.compile(r"(\n+)").split
 #: Characters that are cut or encoded at once, and where a longer text may be cut for that.
 STRETCH, SAFE = 1 << 17, re.compile("(?<=[!-~]) (?=[!-~])").search
 PLAIN = re.compile("[\n -~\xa1-\xac\xae-\u024f]+").fullmatch
+#: Bytes of texts that are encoded together.
+SLICE = 8 << 20
+#: Kinds of bytes. Letters of two bytes are those whose first byte leads to hardly anything else
+#: (Latin, Cyrillic); what is odd, apostrophes too, is left to the library.
+NEWLINE, BLANK, LETTER, DIGIT, MARK, ODD = range(6)
+KINDS = np.array([NEWLINE if b == 10 else BLANK if b == 32 else LETTER if chr(b).isalpha() and b < 128 or 0xC3 <= b <= 0xC9 or 0xD0 <= b <= 0xD1 else DIGIT if 48 <= b < 58 else MARK if 32 < b < 127 and b != 39 else ODD for b in range(256)], "u1")
 
 
 def byte_letters() -> list[str]:
@@ -98,6 +105,99 @@ class Pieces(dict):
             self.clear()
 
 
+class Merges:
+    """The merges of a byte-level model, for many words at once.
+
+    Each word is a column of tokens, with an edge above and below. In every round each word makes
+    its merge of the lowest rank, the leftmost of equals, as the library does word by word; only the
+    pairs to the left and right of it change.
+    """
+
+    #: Bytes of a word, at most, words of one column table, and a rank beyond all.
+    MOST, WIDTH, NONE = 28, 4096, 1 << 24
+
+    def __init__(self, model: dict):
+        vocab, edge = model["vocab"], max(model["vocab"].values()) + 1
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ranks = {(vocab[a], vocab[b]): k for k, (a, b) in enumerate(merges)}
+        self.letters, self.edge, self.size = np.array([vocab[c] for c in byte_letters()], "i4"), edge, edge + 1
+        self.into = np.array([vocab[a + b] for a, b in merges], "i4")
+        self.bits = max(18, len(ranks).bit_length() + 2)
+        self.keys, self.ranks = np.full(1 << self.bits, -1, "i8"), np.full(1 << self.bits, self.NONE, "i4")
+        keys, values = np.array([a * self.size + b for a, b in ranks], "i8"), np.array(list(ranks.values()), "i4")
+        slots = self.slots(keys)
+        while len(keys):
+            free = self.keys[slots] < 0
+            taken, at = np.unique(slots[free], return_index=True)
+            self.keys[taken], self.ranks[taken] = keys[free][at], values[free][at]
+            left = self.keys[slots] != keys
+            keys, values, slots = keys[left], values[left], (slots[left] + 1) % len(self.keys)
+        self.of_bytes = self.rank(np.repeat(self.letters, 256), np.tile(self.letters, 256)).reshape(256, 256)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view("i8")
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of pairs of tokens."""
+        keys = left.astype("i8") * self.size + right
+        slots = self.slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.ranks[slots], self.NONE)
+        more = np.flatnonzero((there != keys) & (there >= 0))
+        while len(more):
+            slots[more] = (slots[more] + 1) % len(self.keys)
+            there = self.keys[slots[more]]
+            hit = there == keys[more]
+            out[more[hit]] = self.ranks[slots[more[hit]]]
+            more = more[~hit & (there >= 0)]
+        return out
+
+    def encode(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of words of ``data`` of at most ``MOST`` bytes: where the ids of each start, how many it has, and all ids."""
+        at, many, ids, used = np.zeros(len(starts), "i8"), np.zeros(len(starts), "i8"), [], 0
+        order = np.argsort(sizes, kind="stable")
+        bounds = np.searchsorted(sizes[order], np.arange(self.MOST + 2))
+        for n in range(1, self.MOST + 1):
+            for k in range(bounds[n], bounds[n + 1], self.WIDTH):
+                own = order[k : min(k + self.WIDTH, bounds[n + 1])]
+                tokens = self.columns(data[starts[own] + np.arange(n)[:, None]]).T
+                kept = tokens >= 0
+                ids.append(tokens[kept])
+                many[own] = kept.sum(1)
+                at[own] = used + np.cumsum(many[own]) - many[own]
+                used += len(ids[-1])
+        return at, many, ids
+
+    def columns(self, letters: np.ndarray) -> np.ndarray:
+        """Tokens of words, a column each; -1 where a token went into the one before."""
+        n, width = letters.shape
+        tokens = np.full((n + 2, width), self.edge, "i4")
+        tokens[1:-1] = self.letters[letters]
+        rows = np.arange(n + 2, dtype="i4")[:, None]
+        after, before = np.repeat(rows + 1, width, 1).ravel(), np.repeat(rows - 1, width, 1).ravel()
+        ranks = np.full((n + 2, width), self.NONE, "i4")
+        ranks[1:-2] = self.of_bytes[letters[:-1], letters[1:]]
+        ranks = (ranks << 5) + rows  # the least of a column tells the place as well
+        flat, flat_ranks = tokens.ravel(), ranks.ravel()
+        while True:
+            best = ranks.min(0)
+            live = np.flatnonzero(best < self.NONE << 5)
+            if not len(live):
+                return tokens[1:-1]
+            best = best[live]
+            row = best & 31
+            here = row * width + live
+            gone = after[here] * width + live
+            next_row, last_row = after[gone], before[here]
+            right, left = next_row * width + live, last_row * width + live
+            merged = self.into[best >> 5]
+            flat[here], flat[gone], flat_ranks[gone] = merged, -1, self.NONE << 5
+            after[here], before[right] = next_row, row
+            found = self.rank(np.concatenate([flat[left], merged]), np.concatenate([merged, flat[right]]))
+            flat_ranks[left] = (found[: len(live)] << 5) + last_row
+            flat_ranks[here] = (found[len(live) :] << 5) + row
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, word by word.
 
@@ -110,6 +210,7 @@ class PieceEncoder:
 
     That holds for files with the byte-level pre-tokenizer, no normalizer, no post-processor
     and plain merges. With any other file every text is encoded whole by the library.
+    Many texts at once are cut by their bytes, and their plain words merged together by ``Merges``.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -122,8 +223,10 @@ class PieceEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaceless = not any(" " in content for content in self.added)
         if not self.cuts_known(path):
-            self.encode = self.encode_whole
+            self.encode, self.encode_many = self.encode_whole, self.encode_each
             return
+        with open(path, encoding="utf-8") as f:
+            self.merges = Merges(json.load(f)["model"])
         self.merge = self.tokenizer.model.tokenize
         if resize := getattr(self.tokenizer.model, "_resize_cache", None):
             resize(0)  # words are remembered here
@@ -147,7 +250,7 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
-        return file.get("pre_tokenizer") == KNOWN_CUTS and not file.get("normalizer") and not file.get("post_processor") and all(model.get(k) == v for k, v in PLAIN_MODEL.items())
+        return file.get("pre_tokenizer") == KNOWN_CUTS and model["vocab"].keys() >= set(byte_letters()) and not file.get("normalizer") and not file.get("post_processor") and all(model.get(k) == v for k, v in PLAIN_MODEL.items())
 
     def encode_whole(self, text: str) -> bytes:
         return self.whole(text) if text else b""
@@ -212,6 +315,108 @@ class PieceEncoder:
         except Whole:
             return self.in_stretches(text)
 
+    def encode_each(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_many``, text by text."""
+        data = [self.encode(text or "") + end for text in texts.to_pylist()]
+        return np.array([len(x) // 4 for x in data], "i8"), np.frombuffer(b"".join(data), "<i4")
+
+    def word(self, word: str) -> bytes:
+        """Of a word with odd bytes; nothing where its text must be encoded alone."""
+        try:
+            return self.known[word[1:]] if word[0] == " " else self.leading[word]
+        except Whole:
+            return b""
+
+    def encode_many(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Of many texts, how many ids each has, ``end`` included, and all their ids.
+
+        The bytes of all texts, with a newline before each, are cut into words where the tokenizer
+        does. Each different word is encoded once, and the ids are gathered by its number. What
+        stands between white space and holds odd bytes counts as one word.
+        """
+        if len(texts) < 2:
+            return self.encode_each(texts, end)
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        alone = pa.array(np.zeros(len(texts), bool))
+        for content in self.added:
+            alone = pc.or_(alone, pc.match_substring(texts, content))
+        lines = pc.binary_join_element_wise("\n", pc.if_else(alone, "", texts), "")
+        alone = alone.to_numpy(zero_copy_only=False).copy()
+        bounds = np.frombuffer(lines.buffers()[1], "i4")[lines.offset : lines.offset + len(lines) + 1].astype("i8")
+        data = np.frombuffer(lines.buffers()[2], "u1")[bounds[0] : bounds[-1]]
+        bounds -= bounds[0]
+        starts, odd = self.starts(data, bounds[:-1])
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype("i4")), pa.py_buffer(data)]).dictionary_encode()
+        at, different = words.indices.to_numpy(), words.dictionary
+        stops = np.frombuffer(different.buffers()[1], "i4")[different.offset : different.offset + len(different) + 1].astype("i8")
+        sizes, strange = np.diff(stops), np.unique(at[odd])
+        plain = sizes <= Merges.MOST
+        plain[strange] = False
+        start, many = np.zeros((2, len(different)), "i8")
+        start[plain], many[plain], ids = self.merges.encode(np.frombuffer(different.buffers()[2], "u1"), stops[:-1][plain], sizes[plain])
+        used = int(many.sum())
+        plain[strange] = True
+        self.known.turn(self.cache_words)
+        self.leading.turn(self.cache_words // 4)
+        rest = np.concatenate([strange, np.flatnonzero(~plain)])
+        found = list(map(self.word, self.lines(different.take(strange)))) + [self.merged(self.spelled(different[k].as_py().decode())) for k in rest[len(strange) :].tolist()]
+        many[rest] = np.fromiter(map(len, found), "i8", len(found)) // 4
+        start[rest] = used + np.cumsum(many[rest]) - many[rest]
+        ids.append(np.frombuffer(b"".join(found), "i4"))
+        used += len(ids[-1])
+        first = np.searchsorted(starts, bounds[:-1])
+        stop = np.append(first[1:], len(starts))
+        start, many, none = start[at], many[at], many == 0
+        if none.any():
+            alone[np.searchsorted(first, np.flatnonzero(none[at]), "right") - 1] = True
+        many[first] = 0  # the newline before the text
+        for k in np.flatnonzero(alone).tolist():
+            ids.append(np.frombuffer(self.encode(texts[k].as_py()), "i4"))
+            many[first[k] : stop[k]] = 0
+            start[first[k]], many[first[k]] = used, len(ids[-1])
+            used += len(ids[-1])
+        if end:
+            ids.append(np.frombuffer(end, "i4"))
+            start, many = np.insert(start, stop, used), np.insert(many, stop, len(ids[-1]))
+            first = first + np.arange(len(first))
+        places = np.repeat((start + many - np.cumsum(many)).astype("i4"), many)
+        places += np.arange(len(places), dtype="i4")
+        return np.add.reduceat(many, first), np.concatenate(ids)[places]
+
+    @staticmethod
+    def lines(words: pa.Array) -> list[str]:
+        """Words without newlines, far faster than ``to_pylist``."""
+        return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), "\n")[0].as_py().split("\n") if len(words) else []
+
+    @staticmethod
+    def starts(data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of texts, each after a newline, start, and the numbers of those with odd bytes."""
+        kinds = KINDS[data]
+        wide = np.flatnonzero(data >= 0x80)
+        if len(wide):
+            before = data[wide - 1]
+            kinds[wide[(data[wide] < 0xC0) & (before >= 0xC0) & (KINDS[before] == LETTER)]] = LETTER
+            times = wide[(before == 0xC3) & ((data[wide] == 0x97) | (data[wide] == 0xB7))]
+            kinds[times], kinds[times - 1] = ODD, ODD
+        white = kinds <= BLANK
+        begins = kinds != np.roll(kinds, 1)
+        begins[1:] &= kinds[:-1] != BLANK  # a space goes with the word after it
+        if (double := white[1:] & white[:-1]).any():
+            # Of white space in a row, the last before a word stands by itself or goes with it.
+            rows = np.flatnonzero(double) + 1
+            begins[rows] = ~np.append(white, True)[rows + 1]
+        begins[texts] = True
+        begins[texts[texts < len(data) - 1] + 1] = True
+        odd = kinds == ODD
+        if odd.any():
+            edges = np.flatnonzero(white)
+            number = np.flatnonzero(np.logical_or.reduceat(odd, edges))
+            low, high = edges[number] + 2, np.append(edges, len(data))[number + 1]
+            sizes = np.maximum(high - low, 0)
+            begins[np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = False
+        starts = np.flatnonzero(begins)
+        return starts, np.flatnonzero(np.logical_or.reduceat(odd, starts))
+
 
 def encode_batches(tokenizer_path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,18 +427,17 @@ def encode_batches(tokenizer_path: str, end_id: int | None):
         end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         for batch in batches:
             ids, docs = batch.column("doc_id"), batch.column("text")
+            sizes = pc.fill_null(pc.binary_length(docs), 0).to_pylist()
             start = 0
-            while start < len(docs):  # slices of about 4 MB of text
-                data, stop, used = [], start, 0
-                while stop < len(docs) and used < 4 << 20:
-                    text = docs[stop].as_py() or ""
-                    data.append(encoder.encode(text) + end)
-                    used += len(text)
+            while start < len(docs):
+                stop, used = start + 1, sizes[start]
+                while stop < len(docs) and used + sizes[stop] <= SLICE:
+                    used += sizes[stop]
                     stop += 1
-                lengths = np.array([len(x) // 4 for x in data], "i8")
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("i4")
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
                 n = stop - start
+                lengths, values = encoder.encode_many(docs.slice(start, n), end)
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("i4")
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([ids.slice(start, n), pa.array(np.full(n, part, "i4")), pa.array(lengths), lists], ["doc_id", "part", "n_tokens", "ids"])
                 start = stop
 

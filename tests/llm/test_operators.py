@@ -397,6 +397,77 @@ def test_long_texts_by_stretches(monkeypatch):
         assert e.encode(text) == e.whole(text), text
 
 
+def test_texts_encoded_together():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    import quire.llm.token_output as m
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, e, end = Tokenizer.from_file(path), m.PieceEncoder(path, cache_words=30), np.array([0], "<i4").tobytes()
+    rng = random.Random(18)
+    bits = ["a", "word", "The", ".", ",", " ", " ", " ", " ", "  ", "\n", "\n\n", "\n", "\t", "é", "É", "×", "÷", "ɐ", "ʰ", "¿", "日本", "ªº", "12", "½", "'s", "'", "’", "(", "\r\n", "\xa0", "\x85", "\x1c", "\x7f", "\u3000", "😀", "<|endoftext|>", "...", " " * 40, "x" * 30, "é" * 20, "7" * 33, "-" * 29]
+    for k in range(800):
+        some = bits if k % 2 else rng.sample(bits, 6)
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(some) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(3, 40))]
+        want = [[*plain.encode(x or "", add_special_tokens=False).ids, 0] for x in texts[2:]]
+        lengths, ids = e.encode_many(pa.array(texts, pa.string()).slice(2), end)
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x], texts
+
+
+def test_letters_of_two_bytes():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    import quire.llm.token_output as m
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, e = Tokenizer.from_file(path), m.PieceEncoder(path)
+    texts = [f"a{c}b 1{c}2 .{c}. {c}\n{c}" for c in map(chr, range(0x80, 0x800))]
+    lengths, ids = e.encode_many(pa.array(texts))
+    at = 0
+    for text, n in zip(texts, lengths):
+        assert ids[at : at + n].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+        at += n
+
+
+def test_words_merged_together(monkeypatch):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import quire.llm.token_output as m
+
+    monkeypatch.setattr(m.Merges, "WIDTH", 7)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    merges, model, letters = m.Merges(json.load(open(path))["model"]), Tokenizer.from_file(path).model, m.byte_letters()
+    rng = random.Random(19)
+    words = [bytes(rng.choice(b" aeionrstth\n\xc3\xa9") if rng.random() < 0.95 else rng.randrange(256) for _ in range(rng.randint(1, 28))) for _ in range(3000)]
+    sizes = np.array([len(w) for w in words])
+    at, many, ids = merges.encode(np.frombuffer(b"".join(words), "u1"), np.cumsum(sizes) - sizes, sizes)
+    ids = np.concatenate(ids)
+    for w, a, n in zip(words, at, many):
+        assert ids[a : a + n].tolist() == [t.id for t in model.tokenize("".join(letters[b] for b in w))], w
+
+
+def test_different_words_are_encoded_once():
+    import public_tokenizers
+    import pyarrow as pa
+
+    import quire.llm.token_output as m
+
+    e, asked = m.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    encode = e.merges.encode
+    e.merges.encode = lambda data, starts, sizes: asked.extend(data[a : a + n].tobytes() for a, n in zip(starts, sizes)) or encode(data, starts, sizes)
+    texts = ["a word and, a word", "word and word\nword and"]
+    lengths, ids = e.encode_many(pa.array(texts * 50))
+    assert ids.tobytes() == b"".join(map(e.whole, texts)) * 50 and lengths.tolist() == [6, 6] * 50
+    assert sorted(asked) == [b"\n", b" a", b" and", b" word", b",", b"a", b"word"]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "truncated"])
 def test_other_tokenizers_encode_whole(name, tmp_path):
     import json
