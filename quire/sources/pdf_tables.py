@@ -1,15 +1,17 @@
 """PDF bytes in a column -> tables of cross-references, objects, pages, operators and pixels.
 
-Every function takes a DataFrame with ``doc_id`` and ``content`` (binary) and reads files
-inside ``mapInArrow``: one file never leaves its task, and a damaged one gives an error
-row, not a failed job.
+Every function takes a DataFrame with ``doc_id`` and ``content`` (binary), or Files, and reads
+files inside ``mapInArrow``: one file never leaves its task, and a damaged one gives an error
+row, not a failed job. ``columns`` names those that are wanted; others are not sent to Spark.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from quire.drawing.page import FILTERS, OutOfTime, draw, luma, round_half
 from quire.drawing.text import resolve as resolve_font
 from quire.functions.geometry import DPI_STEPS, MAX_AREA, MAX_SIDE
 from quire.sources.pdf import Document, Name, PdfError, Ref, Stream, as_int, content_ops
+from quire.sources.sinks import encode_page
 
 PAGES = "page_num int, page_obj long, width_pts double, height_pts double, rotate_cw int, user_unit double, origin_x double, origin_y double, js_locations string, error_kind string"
 XREF = "obj_num long, kind string, place long, gen long, section int, error_kind string"
@@ -63,59 +66,73 @@ def fitting(values: tuple, kind: pa.DataType) -> pa.Array:
         return pa.array([None if v is None else v.as_py() for v in out], kind)
 
 
-def per_document(docs: DataFrame, schema: str, rows: Callable[[Document], Iterator[tuple]], failed: Callable[[str, str], tuple]) -> DataFrame:
-    """``rows(document)`` for every file, or one row ``failed(kind, message)``."""
-    spark = docs.sparkSession
-    key = docs.schema["doc_id"].dataType.simpleString()
-    full = f"doc_id {key}, {schema}"
-    names = [f.split()[0] for f in full.split(", ")]
+class Files(NamedTuple):
+    """Files that are made where they are read: rows with a ``doc_id``, and the contents of a batch of them in order."""
+
+    rows: DataFrame
+    make: Callable[[pa.RecordBatch], Iterable[bytes]]
+
+
+def per_document(docs: DataFrame | Files, schema: str, rows: Callable[[Document], Iterator[tuple]], failed: Callable[[str, str], tuple], columns: Sequence[str] | None = None) -> DataFrame:
+    """``rows(document)`` for every file, or one row ``failed(kind, message)``; of its columns those named."""
+    read, make = docs if isinstance(docs, Files) else (docs.select("doc_id", "content"), lambda batch: (c.as_py() for c in batch.column("content")))
+    spark = read.sparkSession
+    key = read.schema["doc_id"].dataType.simpleString()
+    fields = [f.split() for f in schema.split(", ")]
+    places = [i for i, (name, _) in enumerate(fields) if columns is None or name in columns]
+    full = ", ".join(f"{name} {kind}" for name, kind in [("doc_id", key), *(fields[i] for i in places)])
+    names = ["doc_id", *(fields[i][0] for i in places)]
+    long = [i for i in places if fields[i][1] == "binary"]
+    parsed = spark.createDataFrame([], full).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         types = to_arrow_schema(parsed)
         for batch in batches:
-            out, held = [], 0
-            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
+            ids, out, held = [], [], 0
+            for doc_id, content in zip(batch.column("doc_id").to_pylist(), make(batch)):
                 try:
-                    doc = Document(content.as_py() or b"")
+                    doc = Document(content or b"")
                     if doc.encrypted:
                         raise PdfError("EncryptedDocument", "not opened")
                     for row in rows(doc):
-                        out.append((doc_id, *row))
-                        held += sum(len(v) for v in row if isinstance(v, bytes))
+                        ids.append(doc_id)
+                        out.append(row)
+                        for i in long:
+                            held += len(row[i] or b"")
                         if len(out) >= 5000 or held >= HELD:
-                            yield arrow(out, types)
-                            out, held = [], 0
+                            yield arrow(ids, out, types)
+                            ids, out, held = [], [], 0
                 except Exception as e:  # whatever a damaged file leads to, it is a row
-                    out.append((doc_id, *failed(*named(e))))
+                    ids.append(doc_id)
+                    out.append(failed(*named(e)))
             if out:
-                yield arrow(out, types)
+                yield arrow(ids, out, types)
 
-    def arrow(out: list[tuple], types: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([fitting(c, f.type) for c, f in zip(zip(*out), types)], names)
+    def arrow(ids: list, out: list[tuple], types: pa.Schema) -> pa.RecordBatch:
+        values = list(zip(*out))
+        return pa.RecordBatch.from_arrays([fitting(c, f.type) for c, f in zip([ids, *(values[i] for i in places)], types)], names)
 
-    read = docs.select("doc_id", "content")
-    parsed = spark.createDataFrame([], full).schema
     return read.mapInArrow(run, full)
 
 
-def pages(docs: DataFrame) -> DataFrame:
+def pages(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     def rows(doc: Document):
         scripts = ",".join(doc.javascript())
         for n, (num, _, own) in enumerate(doc.pages(), 1):
             g = doc.geometry(own)
             yield (n, num, g["width_pts"], g["height_pts"], g["rotate_cw"], g["user_unit"], g["origin_x"], g["origin_y"], scripts, None)
 
-    return per_document(docs, PAGES, rows, lambda kind, _: (None,) * 9 + (kind,))
+    return per_document(docs, PAGES, rows, lambda kind, _: (None,) * 9 + (kind,), columns)
 
 
-def xref(docs: DataFrame) -> DataFrame:
+def xref(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     def rows(doc: Document):
         for num, (kind, place, gen, section) in sorted(doc.xref.items()):
             yield num, kind, place, gen, section, None
 
-    return per_document(docs, XREF, rows, lambda kind, _: (None,) * 5 + (kind,))
+    return per_document(docs, XREF, rows, lambda kind, _: (None,) * 5 + (kind,), columns)
 
 
 def plain(x):
@@ -142,7 +159,7 @@ def kind_of(x) -> str:
     return "null"
 
 
-def objects(docs: DataFrame) -> DataFrame:
+def objects(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     """``value`` is JSON, for ``parse_json`` or ``get_json_object``."""
 
     def rows(doc: Document):
@@ -151,10 +168,10 @@ def objects(docs: DataFrame) -> DataFrame:
                 found = doc.get(Ref(num, 0))
                 yield num, kind_of(found), json.dumps(plain(found), sort_keys=True), None
 
-    return per_document(docs, OBJECTS, rows, lambda kind, _: (None,) * 3 + (kind,))
+    return per_document(docs, OBJECTS, rows, lambda kind, _: (None,) * 3 + (kind,), columns)
 
 
-def operators(docs: DataFrame) -> DataFrame:
+def operators(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     def rows(doc: Document):
         for n, (_, page, _) in enumerate(doc.pages(), 1):
             for k, op in enumerate(content_ops(doc.content(page))):
@@ -164,22 +181,25 @@ def operators(docs: DataFrame) -> DataFrame:
                 text = b"".join(x for x in flat if isinstance(x, bytes))
                 yield n, k, op.keyword, nums, name, text or None, None
 
-    return per_document(docs, OPS, rows, lambda kind, _: (None,) * 6 + (kind,))
+    return per_document(docs, OPS, rows, lambda kind, _: (None,) * 6 + (kind,), columns)
 
 
-def info(docs: DataFrame) -> DataFrame:
+def info(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     """One row a file; encrypted files are named as such, not opened."""
 
     def rows(doc: Document):
-        first = next((doc.get(Ref(n, 0)) for n in sorted(doc.xref) if isinstance(doc.get(Ref(n, 0)), dict) and "Linearized" in doc.get(Ref(n, 0))), {})
+        # The key stands in the file as it is, unless it is escaped or packed.
+        hidden = b"Linearized" in doc.data or b"#" in doc.data or any(kind == "packed" for kind, *_ in doc.xref.values())
+        found = (doc.get(Ref(n, 0)) for n in sorted(doc.xref)) if hidden else ()
+        first = next((x for x in found if isinstance(x, dict) and "Linearized" in x), {})
         used = sum(kind != "free" for kind, *_ in doc.xref.values())
         at = doc.data.find(b"%PDF-") + 5  # other bytes may come before
         yield doc.data[at : at + 3].decode("latin-1"), len(doc.pages()), used, as_int(first.get("N")) if first else None, False, ",".join(doc.javascript()), None
 
-    return per_document(docs, INFO, rows, lambda kind, _: (None,) * 4 + (kind == "EncryptedDocument", None, kind))
+    return per_document(docs, INFO, rows, lambda kind, _: (None,) * 4 + (kind == "EncryptedDocument", None, kind), columns)
 
 
-def page_tree(docs: DataFrame) -> DataFrame:
+def page_tree(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     """Nodes of the page tree with their parents and places, for recursion by joins."""
 
     def rows(doc: Document):
@@ -196,7 +216,7 @@ def page_tree(docs: DataFrame) -> DataFrame:
             yield ref.num, parent, ord_, None if leaf else as_int(doc.get(node.get("Count"))), "page" if leaf else "node", None
             stack += [] if leaf else [(k, ref.num, i) for i, k in enumerate(kids)]
 
-    return per_document(docs, TREE, rows, lambda kind, _: (None,) * 5 + (kind,))
+    return per_document(docs, TREE, rows, lambda kind, _: (None,) * 5 + (kind,), columns)
 
 
 def suggested(ppi: float | None) -> float | None:
@@ -204,7 +224,7 @@ def suggested(ppi: float | None) -> float | None:
     return None if not ppi else float(next((s for s in DPI_STEPS if s >= ppi), DPI_STEPS[-1]))
 
 
-def prescan(docs: DataFrame) -> DataFrame:
+def prescan(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     """What pages hold, found without drawing them."""
 
     def rows(doc: Document):
@@ -213,10 +233,10 @@ def prescan(docs: DataFrame) -> DataFrame:
             s, ppi = p.seen, p.seen.max_ppi * 72 or None
             yield n, sum(1 for _ in content_ops(doc.content(page))), s.has_images, s.has_vector_text, s.dominant(), ppi, suggested(ppi), ",".join(sorted(p.unknown)), None
 
-    return per_document(docs, PRESCAN, rows, lambda kind, _: (None,) * 8 + (kind,))
+    return per_document(docs, PRESCAN, rows, lambda kind, _: (None,) * 8 + (kind,), columns)
 
 
-def glyphs(docs: DataFrame, dpi: float = 72.0) -> DataFrame:
+def glyphs(docs: DataFrame | Files, dpi: float = 72.0, columns: Sequence[str] | None = None) -> DataFrame:
     """Shown characters in order, with their pens in pixels (y from the top)."""
 
     def rows(doc: Document):
@@ -224,10 +244,10 @@ def glyphs(docs: DataFrame, dpi: float = 72.0) -> DataFrame:
             for k, (c, x, y, size) in enumerate(draw(doc, page, own, doc.geometry(own), dpi, paints=False).glyphs):
                 yield n, k, c, x, y, size, None
 
-    return per_document(docs, GLYPHS, rows, lambda kind, _: (None,) * 6 + (kind,))
+    return per_document(docs, GLYPHS, rows, lambda kind, _: (None,) * 6 + (kind,), columns)
 
 
-def images(docs: DataFrame) -> DataFrame:
+def images(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     """Image objects with the outcome of decoding each; the digest is of the decoded pixels."""
 
     def rows(doc: Document):
@@ -243,10 +263,10 @@ def images(docs: DataFrame) -> DataFrame:
             except I.ImageError as e:
                 yield num, w, h, name, e.kind, None, None, None
 
-    return per_document(docs, IMAGES, rows, lambda kind, _: (None,) * 7 + (kind,))
+    return per_document(docs, IMAGES, rows, lambda kind, _: (None,) * 7 + (kind,), columns)
 
 
-def fonts(docs: DataFrame) -> DataFrame:
+def fonts(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     def rows(doc: Document):
         for num, (kind, *_) in sorted(doc.xref.items()):
             found = doc.get(Ref(num, 0)) if kind != "free" else None
@@ -254,16 +274,16 @@ def fonts(docs: DataFrame) -> DataFrame:
                 font = resolve_font(doc, found)
                 yield num, str(found.get("Subtype")), str(doc.get(found.get("BaseFont")) or "") or None, font.two_bytes, font.embedded, len(font.widths), None
 
-    return per_document(docs, FONTS, rows, lambda kind, _: (None,) * 6 + (kind,))
+    return per_document(docs, FONTS, rows, lambda kind, _: (None,) * 6 + (kind,), columns)
 
 
-def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str, antialias: bool, deskew: bool, annotations: bool, seconds: float | None = None) -> tuple:
-    """A row of RENDERED; ``seconds`` is the time that drawing may take."""
+def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str, antialias: bool, deskew: bool, annotations: bool, seconds: float | None = None, keep: bool = True) -> tuple:
+    """A row of RENDERED, without pixels unless ``keep``; ``seconds`` is the time that drawing may take."""
     try:
         g = doc.geometry(own)
     except Exception as e:
         return n, *(None,) * 15, *named(e)
-    if not all(map(np.isfinite, (g["width_pts"], g["height_pts"]))):
+    if not (math.isfinite(g["width_pts"]) and math.isfinite(g["height_pts"])):
         return n, *(None,) * 15, "PageDegenerate", "no finite size"
     w, h = round_half(g["width_pts"] * dpi / 72), round_half(g["height_pts"] * dpi / 72)
     failed = lambda kind, message: (n, *(x if x < 1 << 31 else None for x in (w, h)), *(None,) * 4, dpi, *(None,) * 8, kind, message)
@@ -280,9 +300,10 @@ def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str
     if deskew:
         gray, skew = straightened(gray)
     ink = gray < 128
-    pixels = p.pixels if mode == "rgb" else gray if mode == "gray" else np.where(ink, 0, 255).astype(np.uint8)
+    total = gray.sum(dtype="u4" if gray.size < 1 << 24 else "i8")
+    pixels = p.pixels if mode == "rgb" or not keep else gray if mode == "gray" else np.where(ink, 0, 255).astype(np.uint8)
     ppi = s.max_ppi * dpi or None
-    return n, w, h, pixels.tobytes(), MODES[mode], int(ink.sum()), int(gray.sum(dtype="i8")), dpi, skew, s.has_images, s.has_vector_text, s.dominant(), ppi, suggested(ppi), ",".join(sorted(p.unknown)), ",".join(s.failed), None, None
+    return n, w, h, pixels.tobytes() if keep else None, MODES[mode], int(np.count_nonzero(ink)), int(total), dpi, skew, s.has_images, s.has_vector_text, s.dominant(), ppi, suggested(ppi), ",".join(sorted(p.unknown)), ",".join(s.failed), None, None
 
 
 def check_options(dpi: float, first: int, last: int | None, parity: str | None, mode: str, deskew: bool) -> None:
@@ -294,19 +315,40 @@ def check_options(dpi: float, first: int, last: int | None, parity: str | None,
         raise ValueError("deskew needs gray or mono pages")
 
 
-def render(docs: DataFrame, dpi: float = 150.0, first: int = 1, last: int | None = None, parity: str | None = None, mode: str = "gray", antialias: bool = False, deskew: bool = False, annotations: bool = True, seconds: float | None = None, pixels: bool = True) -> DataFrame:
+def render(docs: DataFrame | Files, dpi: float = 150.0, first: int = 1, last: int | None = None, parity: str | None = None, mode: str = "gray", antialias: bool = False, deskew: bool = False, annotations: bool = True, seconds: float | None = None, pixels: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
     """Pages of a range as ``gray``, ``mono`` (0 or 255) or ``rgb`` bytes, with the number of pixels darker
     than the middle and the sum of all grays. A page that can't be drawn, or not within ``seconds``,
     has an error and no pixels. ``pixels`` false leaves them out, where their measures are enough."""
     check_options(dpi, first, last, parity, mode, deskew)
+    rows = drawn(lambda n: n >= first and (last is None or n <= last) and (parity is None or n % 2 == (parity == "odd")), (dpi, mode, antialias, deskew, annotations, seconds, pixels))
+    return per_document(docs, RENDERED, rows, lambda kind, message: (None,) * 16 + (kind, message), columns)
+
+
+def drawn(wanted: Callable[[int], bool], options: tuple) -> Callable[[Document], Iterator[tuple]]:
+    """Rows of RENDERED."""
 
     def rows(doc: Document):
         found = doc.pages()
         if not found:
             raise PdfError("NoPages", "no page in the tree")
         for n, (_, page, own) in enumerate(found, 1):
-            if n >= first and (last is None or n <= last) and (parity is None or n % 2 == (parity == "odd")):
-                row = page_row(doc, n, page, own, dpi, mode, antialias, deskew, annotations, seconds)
-                yield row if pixels else (*row[:3], None, *row[4:])
+            if wanted(n):
+                yield page_row(doc, n, page, own, *options)
+
+    return rows
+
+
+def page_files(docs: DataFrame | Files, kind: str, measured: str, measure: Callable[[bytes], tuple], dpi: float = 150.0, mode: str = "gray") -> DataFrame:
+    """``measure(file)`` for the image file of every page, in columns ``measured``. Files stay in the task that
+    draws their pages; one that can't be drawn gives nulls."""
+    check_options(dpi, 1, None, None, mode, False)
+    at = [f.split()[0] for f in RENDERED.split(", ")].index("pixels")
+    pages_of = drawn(lambda n: True, (dpi, mode, False, False, True, None, True))
+    nothing = (None,) * len(measured.split(", "))
+
+    def rows(doc: Document):
+        for row in pages_of(doc):
+            _, width, height, pixels, channels = row[: at + 2]
+            yield nothing if pixels is None else measure(encode_page(pixels, width, height, channels, kind))
 
-    return per_document(docs, RENDERED, rows, lambda kind, message: (None,) * 16 + (kind, message))
+    return per_document(docs, measured, rows, lambda *_: nothing)
