@@ -201,7 +201,7 @@ def pdf_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = F.col("o_orderkey")
     rows = dealt(table(spark, sf_dir, "orders"), "o_orderkey").select(key.alias("doc_id"), (key % 9).alias("k"), (F.col("o_custkey") % 4 + 1).alias("n"))
-    return T.info(T.Files(rows, make), ["version", "n_pages", "js_locations", "error_kind"]).select("doc_id", "error_kind", "version", F.coalesce("n_pages", F.lit(-1)).alias("n_pages"), "js_locations")
+    return T.info(T.Files(rows, T.of_each(make)), ["version", "n_pages", "js_locations", "error_kind"]).select("doc_id", "error_kind", "version", F.coalesce("n_pages", F.lit(-1)).alias("n_pages"), "js_locations")
 
 
 @query("page_content_parts", "SELECT p_partkey AS doc_id, CAST(3 * (1 + p_size % 3) AS BIGINT) AS ops, CAST((1 + p_size % 3) * 7 AS DOUBLE) AS width FROM part")
@@ -216,7 +216,7 @@ def page_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield build_pdf([b""], extra=parts, page_extra=b"/Contents [" + b" ".join(b"%d 0 R" % (5 + k) for k in range(2 * n)) + b"] ")
 
     rows = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), "p_size")
-    ops = T.operators(T.Files(rows, make), ["op", "nums"])
+    ops = T.operators(T.Files(rows, T.of_each(make)), ["op", "nums"])
     return ops.groupBy("doc_id").agg(F.count(F.lit(1)).alias("ops"), F.sum(F.when(F.col("op") == "w", F.get("nums", 0))).alias("width"))
 
 
@@ -292,7 +292,7 @@ def one_sample(kind: int, v: int) -> bytes:
 
 def made(rows: DataFrame, make: Callable[[int, int], bytes]) -> T.Files:
     """A PDF for each row of (doc_id, k, v)."""
-    return T.Files(dealt(rows.select("doc_id", "k", "v"), "doc_id"), lambda b: map(make, b.column("k").to_pylist(), b.column("v").to_pylist()))
+    return T.Files(dealt(rows.select("doc_id", "k", "v"), "doc_id"), T.of_each(lambda b: map(make, b.column("k").to_pylist(), b.column("v").to_pylist())))
 
 
 def samples(spark: SparkSession, sf_dir: str, kinds: int) -> DataFrame:

@@ -37,6 +37,7 @@ TREE = "node long, parent long, ord int, declared int, kind string, error_kind s
 GLYPHS = "page_num int, k long, character string, x double, y double, size double, error_kind string"
 IMAGES = "obj_num long, width int, height int, filter string, status string, has_alpha boolean, digest string, error_kind string"
 FONTS = "obj_num long, subtype string, base_font string, two_bytes boolean, embedded boolean, n_widths int, error_kind string"
+NUMBERS = frozenset((int, float))
 #: Bytes of rows that wait for others before they leave a task.
 HELD = 16 << 20
 MODES = {"gray": 1, "mono": 1, "rgb": 3}
@@ -67,15 +68,20 @@ def fitting(values: tuple, kind: pa.DataType) -> pa.Array:
 
 
 class Files(NamedTuple):
-    """Files that are made where they are read: rows with a ``doc_id``, and the contents of a batch of them in order."""
+    """Files that are made where they are read: rows with a ``doc_id``, and what makes (doc_id, content) of batches of them."""
 
     rows: DataFrame
-    make: Callable[[pa.RecordBatch], Iterable[bytes]]
+    make: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]]
+
+
+def of_each(make: Callable[[pa.RecordBatch], Iterable[bytes]]) -> Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]]:
+    """For Files of which each is one row: ``make`` gives the contents of a batch, in order."""
+    return lambda batches: (pair for b in batches for pair in zip(b.column("doc_id").to_pylist(), make(b)))
 
 
 def per_document(docs: DataFrame | Files, schema: str, rows: Callable[[Document], Iterator[tuple]], failed: Callable[[str, str], tuple], columns: Sequence[str] | None = None) -> DataFrame:
     """``rows(document)`` for every file, or one row ``failed(kind, message)``; of its columns those named."""
-    read, make = docs if isinstance(docs, Files) else (docs.select("doc_id", "content"), lambda batch: (c.as_py() for c in batch.column("content")))
+    read, make = docs if isinstance(docs, Files) else (docs.select("doc_id", "content"), of_each(lambda b: (c.as_py() for c in b.column("content"))))
     spark = read.sparkSession
     key = read.schema["doc_id"].dataType.simpleString()
     fields = [f.split() for f in schema.split(", ")]
@@ -89,26 +95,25 @@ def per_document(docs: DataFrame | Files, schema: str, rows: Callable[[Document]
         from pyspark.sql.pandas.types import to_arrow_schema
 
         types = to_arrow_schema(parsed)
-        for batch in batches:
-            ids, out, held = [], [], 0
-            for doc_id, content in zip(batch.column("doc_id").to_pylist(), make(batch)):
-                try:
-                    doc = Document(content or b"")
-                    if doc.encrypted:
-                        raise PdfError("EncryptedDocument", "not opened")
-                    for row in rows(doc):
-                        ids.append(doc_id)
-                        out.append(row)
-                        for i in long:
-                            held += len(row[i] or b"")
-                        if len(out) >= 5000 or held >= HELD:
-                            yield arrow(ids, out, types)
-                            ids, out, held = [], [], 0
-                except Exception as e:  # whatever a damaged file leads to, it is a row
+        ids, out, held = [], [], 0
+        for doc_id, content in make(batches):
+            try:
+                doc = Document(content or b"")
+                if doc.encrypted:
+                    raise PdfError("EncryptedDocument", "not opened")
+                for row in rows(doc):
                     ids.append(doc_id)
-                    out.append(failed(*named(e)))
-            if out:
-                yield arrow(ids, out, types)
+                    out.append(row)
+                    for i in long:
+                        held += len(row[i] or b"")
+                    if len(out) >= 5000 or held >= HELD:
+                        yield arrow(ids, out, types)
+                        ids, out, held = [], [], 0
+            except Exception as e:  # whatever a damaged file leads to, it is a row
+                ids.append(doc_id)
+                out.append(failed(*named(e)))
+        if out:
+            yield arrow(ids, out, types)
 
     def arrow(ids: list, out: list[tuple], types: pa.Schema) -> pa.RecordBatch:
         values = list(zip(*out))
@@ -152,21 +157,22 @@ def plain(x):
     return x
 
 
+KINDS = {Stream: "stream", Ref: "reference", Name: "name", bytes: "string", list: "array", dict: "dictionary", bool: "boolean", int: "integer", float: "real"}
+
+
 def kind_of(x) -> str:
-    for t, name in ((Stream, "stream"), (Ref, "reference"), (Name, "name"), (bytes, "string"), (list, "array"), (dict, "dictionary"), (bool, "boolean"), (int, "integer"), (float, "real")):
-        if isinstance(x, t):
-            return name
-    return "null"
+    return KINDS.get(type(x), "null")
 
 
 def objects(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
     """``value`` is JSON, for ``parse_json`` or ``get_json_object``."""
+    valued = columns is None or "value" in columns
 
     def rows(doc: Document):
         for num, (kind, *_) in sorted(doc.xref.items()):
             if kind != "free":
                 found = doc.get(Ref(num, 0))
-                yield num, kind_of(found), json.dumps(plain(found), sort_keys=True), None
+                yield num, kind_of(found), json.dumps(plain(found), sort_keys=True) if valued else None, None
 
     return per_document(docs, OBJECTS, rows, lambda kind, _: (None,) * 3 + (kind,), columns)
 
@@ -175,6 +181,9 @@ def operators(docs: DataFrame | Files, columns: Sequence[str] | None = None) ->
     def rows(doc: Document):
         for n, (_, page, _) in enumerate(doc.pages(), 1):
             for k, op in enumerate(content_ops(doc.content(page))):
+                if NUMBERS.issuperset(map(type, op.operands)):  # as most are
+                    yield n, k, op.keyword, list(map(float, op.operands)), None, None, None
+                    continue
                 flat = [y for x in op.operands for y in (x if isinstance(x, list) else [x])]
                 nums = [float(x) for x in flat if isinstance(x, (int, float)) and not isinstance(x, bool)]
                 name = next((str(x) for x in flat if isinstance(x, Name)), None)

@@ -51,7 +51,7 @@ def test_image_files_do_not_leave_their_task(spark):
 def test_files_made_or_stored_give_the_same(spark):
     rows = [(1, b"q 0.5 g 1 2 30 40 re f Q"), (2, b"")]
     stored = spark.createDataFrame([(k, bytearray(build_pdf([c]))) for k, c in rows], "doc_id long, content binary")
-    made = T.Files(spark.createDataFrame([(k, bytearray(c)) for k, c in rows], "doc_id long, c binary"), lambda b: (build_pdf([c.as_py()]) for c in b.column("c")))
+    made = T.Files(spark.createDataFrame([(k, bytearray(c)) for k, c in rows], "doc_id long, c binary"), T.of_each(lambda b: (build_pdf([c.as_py()]) for c in b.column("c"))))
     assert sorted(T.render(stored, 72.0).collect()) == sorted(T.render(made, 72.0).collect())
     assert T.info(made, ["n_pages"]).columns == ["doc_id", "n_pages"]
 
@@ -79,3 +79,20 @@ def test_paeth_rows_by_runs():
         file = png(page, 2)
         assert Z.flate(file[file.index(b"IDAT") + 4 : -16])[0] == 4 and Z.predicted(Z.flate(file[file.index(b"IDAT") + 4 : -16]), 15, 3, 8, 7) == page.tobytes()
     assert tried > 1000
+
+
+def test_drawings_go_on_over_batches_and_hold_equal_marks_once(spark, tmp_path):
+    import duckdb
+
+    from quire.plans import library
+
+    path, con = str(tmp_path), duckdb.connect()
+    con.execute(f"COPY (SELECT l_orderkey // 40 AS l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_returnflag FROM '/root/testdata/sf0.001/lineitem.parquet', range(2)) TO '{path}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet'")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for name in ("ops_decode", "pdf_fill_dark_pixels"):
+            got = sorted(map(tuple, library.queries()[name](spark, path).collect()))
+            assert got == sorted(con.sql(library.oracle_sql()[name]).fetchall()) and len(got) == 38
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
