@@ -281,7 +281,7 @@ def winding_spans_eo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("covered_pixels", _span_sql("was <> 0").replace(" SELECT paint, y, min(lo)", ", s AS (SELECT paint, y, min(lo)") + ") SELECT paint, count(DISTINCT y * 100000 + x) AS pixels FROM (SELECT paint, y, unnest(range(x0, x1 + 1)) AS x FROM s) GROUP BY paint")
 def covered_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.covered_pixels(R.spans(R.intersections(R.oriented(_edges(spark, sf_dir))), ["paint"]), ["paint"])
+    return R.wound_pixels(R.intersections(R.oriented(_edges(spark, sf_dir))), ["paint"])
 
 
 @query("coverage_popcount_gamma", "SELECT DISTINCT m, CAST([0,4,11,21,32,45,59,74,90,108,126,145,166,187,209,231,255][bit_count(m) + 1] AS BIGINT) AS shape FROM (SELECT (l_partkey * 7919 + l_suppkey) % 65536 AS m FROM lineitem)")
