@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,42 @@ def jittered_coverage(edges: Column, px: Column, py: Column, even_odd: bool = Fa
     return F.shiftright(hits * 255 + 32, 6).cast("long")
 
 
+def jittered_pixels(shapes: DataFrame, width: int, height: int, even_odd: bool = False) -> DataFrame:
+    """(shape, px, py, coverage) for all pixels of a width x height grid: :func:`jittered_coverage` for the shapes
+    (shape, edges) of a batch together, by the same sums in the same order."""
+    kind = shapes.schema["shape"].dataType.simpleString()
+    sx, sy = (np.array(v) for v in zip(*jitter()))
+    across, down = np.arange(width)[:, None] + sx, np.arange(height)[:, None] + sy
+    few = max(1, (1 << 17) // (width * height * SAMPLES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, few):
+                part = batch.slice(at, few)
+                yield pixels(part.column("shape"), part.column("edges"))
+
+    def pixels(names: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        flat = lists.flatten()
+        x0, y0, x1, y1 = (flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1"))
+        wound = np.zeros((len(names), width, height, SAMPLES), "i4")
+        for k in range(int(np.diff(ends).max(initial=0))):  # the k-th edge of each shape that has one
+            own = np.flatnonzero(np.diff(ends) > k)
+            e = ends[own] + k
+            a, b, c, d = (v[e][:, None, None] for v in (x0, y0, x1, y1))
+            with np.errstate(all="ignore"):
+                x = a + (down - b) / np.where(d == b, 1.0, d - b) * (c - a)
+            sign = ((b <= down) & (down < d)).astype("i1") - ((d <= down) & (down < b)).astype("i1")
+            wound[own] += (x[:, None] >= across[None, :, None]) * sign[:, None]
+        hits = np.count_nonzero(wound & 1 if even_odd else wound, axis=3)
+        values = (hits.astype("i8") * 255 + 32 >> 6).ravel()
+        px, py = np.meshgrid(np.arange(width, dtype="i4"), np.arange(height, dtype="i4"), indexing="ij")
+        own = names.take(pa.array(np.repeat(np.arange(len(names)), width * height)))
+        return pa.RecordBatch.from_arrays([own, *(pa.array(np.tile(v.ravel(), len(names))) for v in (px, py)), pa.array(values)], ["shape", "px", "py", "coverage"])
+
+    return shapes.select("shape", "edges").mapInArrow(run, f"shape {kind}, px int, py int, coverage long")
+
+
 def edge_area(e: Column, px: Column, py: Column) -> Column:
     """Signed area of a pixel to the left of an edge (with y0 < y1 and ``sign``): the length of its y span
     within the row at which it lies at or right of the pixel's left side, the part over the pixel in proportion."""
@@ -204,23 +241,34 @@ def screened(pixels: DataFrame, screen: DataFrame, size: int, value: str = "v")
 def mesh_triangles(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, t, a, b, c): triangles of a free-form mesh of vertices (keys, seq, flag), as the seq of their
     corners. Flag 0 begins a triangle with the two vertices after it; 1 goes on from the last two corners, 2 from
-    the first and last; other flags, and 1 and 2 without a triangle before, are skipped."""
-    items = vertices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("flag").cast("int").alias("flag")))).alias("_v"))
-    triangle = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
-    kind = "struct<a:bigint,b:bigint,c:bigint>"
-    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast(f"array<{kind}>").alias("done"))
-
-    def step(s: Column, v: Column) -> Column:
-        # ``open`` holds the corners of a triangle that flag 0 has begun.
-        opening, last = F.size(s["open"]) > 0, F.try_element_at(s["done"], F.lit(-1))
-        more = F.concat(s["open"], F.array(v["seq"]))
-        full = F.size(more) == 3
-        closed = F.struct(F.array().cast("array<bigint>").alias("open"), F.concat(s["done"], F.array(triangle(F.get(more, 0), F.get(more, 1), F.get(more, 2)))).alias("done"))
-        growing = F.struct(more.alias("open"), s["done"].alias("done"))
-        grown = F.struct(s["open"].alias("open"), F.concat(s["done"], F.array(F.when(v["flag"] == 1, triangle(last["b"], last["c"], v["seq"])).otherwise(triangle(last["c"], last["a"], v["seq"])))).alias("done"))
-        return F.when(opening & full, closed).when(opening | (v["flag"] == 0), growing).when(v["flag"].isin(1, 2) & last.isNotNull(), grown).otherwise(s)
-
-    return items.select(*keys, F.posexplode(F.aggregate("_v", start, step, lambda s: s["done"])).alias("t", "c")).select(*keys, "t", "c.*")
+    the first and last; other flags, and 1 and 2 without a triangle before, are skipped.
+    Meshes are dealt by their keys and streamed in order; only the last triangle of one is held."""
+    kinds = ", ".join(f"`{k}` {vertices.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mesh, opened, last, t = None, [], None, 0
+        for batch in batches:
+            out = []
+            for *own, v, flag in zip(*[batch.column(c).to_pylist() for c in (*keys, "seq", "flag")]):
+                if own != mesh:
+                    mesh, opened, last, t = own, [], None, 0
+                if opened or flag == 0:  # the corners of a triangle that flag 0 has begun
+                    opened.append(v)
+                    if len(opened) < 3:
+                        continue
+                    last, opened = tuple(opened), []
+                elif last and flag in (1, 2):
+                    last = (last[1], last[2], v) if flag == 1 else (last[2], last[0], v)
+                else:
+                    continue
+                out.append((*own, t, *last))
+                t += 1
+            if out:
+                types = [*(batch.schema.field(k).type for k in keys), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), types)], [*keys, "t", "a", "b", "c"])
+
+    dealt = vertices.select(*keys, F.col("seq").cast("long").alias("seq"), F.col("flag").cast("int").alias("flag")).repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, "seq", "flag").mapInArrow(run, f"{kinds}, t int, a long, b long, c long")
 
 
 def least_recent(entries: DataFrame, keys: list[str], used: str, size: str, budget: Column) -> DataFrame:

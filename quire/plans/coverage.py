@@ -17,14 +17,18 @@ EDGES = f"t AS (SELECT {CORNERS} FROM part), e AS (SELECT shape, ax AS x0, ay AS
 JITTER = ", ".join(f"({x!r}::DOUBLE, {y!r}::DOUBLE)" for x, y in V.jitter())
 
 
-def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(shape, px, py, edges) of the parts' triangles over their pixels."""
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shape, edges) of the parts' triangles."""
     k = F.col("p_partkey")
     c = [(k * m % 40) / F.lit(8.0) for m in (7, 11, 13, 17, 19, 23)]
     ring = [(c[0], c[1]), (c[2], c[3]), (c[4], c[5])]
     edges = F.array(*[F.struct(a[0].alias("x0"), a[1].alias("y0"), b[0].alias("x1"), b[1].alias("y1")) for a, b in zip(ring, ring[1:] + ring[:1])])
-    shapes = dealt(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("shape"), edges.alias("edges"))
-    return shapes.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("shape"), edges.alias("edges"))
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shape, px, py, edges) of the parts' triangles over their pixels."""
+    return shapes(spark, sf_dir).withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(3))))
 
 
 def _jittered(rule: str) -> str:
@@ -36,12 +40,12 @@ def _jittered(rule: str) -> str:
 
 @query("jitter_coverage_64", _jittered("n <> 0"))
 def jitter_coverage_64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triangles(spark, sf_dir).select("shape", "px", "py", V.jittered_coverage(F.col("edges"), F.col("px"), F.col("py")).alias("coverage"))
+    return V.jittered_pixels(shapes(spark, sf_dir), 4, 4)
 
 
 @query("jitter_coverage_eo", _jittered("n % 2 <> 0"))
 def jitter_coverage_eo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triangles(spark, sf_dir).select("shape", "px", "py", V.jittered_coverage(F.col("edges"), F.col("px"), F.col("py"), True).alias("coverage"))
+    return V.jittered_pixels(shapes(spark, sf_dir), 4, 4, True)
 
 
 @query(

@@ -96,3 +96,62 @@ def test_drawings_go_on_over_batches_and_hold_equal_marks_once(spark, tmp_path):
             assert got == sorted(con.sql(library.oracle_sql()[name]).fetchall()) and len(got) == 38
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_jittered_pixels_are_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators import coverage as V
+
+    rng = np.random.default_rng(4)
+    rows = [(k, [tuple(map(float, e)) for e in rng.integers(-8, 40, (int(rng.integers(0, 6)), 4)) / 8]) for k in range(60)]
+    shapes = spark.createDataFrame(rows, "shape long, edges array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    grid = shapes.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    for rule in (False, True):
+        want = grid.select("shape", "px", "py", V.jittered_coverage(F.col("edges"), F.col("px"), F.col("py"), rule).alias("coverage"))
+        got = V.jittered_pixels(shapes, 3, 4, rule)
+        assert got.schema == want.schema or [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_wound_pixels_are_those_of_spans(spark):
+    from quire.operators import raster as R
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(700):
+        lo = int(rng.integers(-20, 40))
+        rows.append((None if k % 9 == 0 else int(rng.integers(0, 4)), int(rng.integers(-2, 3)), lo, lo + int(rng.integers(0, 6)), int(rng.integers(-1, 2)), k))
+    crossings = spark.createDataFrame(rows, "paint long, y long, lo long, hi long, cnt long, seg long").repartition(3)
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for rule in (False, True):
+            want = R.covered_pixels(R.spans(crossings.fillna({"paint": -1}), ["paint"], rule), ["paint"]).collect()
+            got = R.wound_pixels(crossings, ["paint"], rule).collect()
+            assert sorted((-1 if p is None else p, n) for p, n in got) == sorted(map(tuple, want)) and len(got) == 5
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_large_mesh_is_streamed(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quire.operators import coverage as V
+
+    n = 60_000  # copied for each triangle this would take minutes
+    vertices = spark.range(n).select(F.lit("m").alias("mesh"), F.col("id").alias("seq"), F.when(F.col("id") < 3, 0).otherwise(F.col("id") % 4).cast("int").alias("flag"))
+    began = time.time()
+    got = V.mesh_triangles(vertices, ["mesh"]).orderBy("t").collect()
+    assert time.time() - began < 30
+    flags, opened, last, want = [0 if k < 3 else k % 4 for k in range(n)], [], None, []
+    for k, flag in enumerate(flags):
+        if opened or flag == 0:
+            opened.append(k)
+            if len(opened) == 3:
+                last, opened = tuple(opened), []
+                want.append(last)
+        elif last and flag in (1, 2):
+            last = (last[1], last[2], k) if flag == 1 else (last[2], last[0], k)
+            want.append(last)
+    assert [(r["a"], r["b"], r["c"]) for r in got] == want and [r["t"] for r in got] == list(range(len(want)))
