@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quire.drawing import images as I
 from quire.drawing.deskew import straightened
 from quire.drawing.page import FILTERS, OutOfTime, draw, luma, round_half
-from quire.drawing.text import resolve as resolve_font
+from quire.drawing.text import resolve_once
 from quire.functions.geometry import DPI_STEPS, MAX_AREA, MAX_SIDE
 from quire.sources.pdf import Document, Name, PdfError, Ref, Stream, as_int, content_ops
 from quire.sources.sinks import encode_page
@@ -276,14 +276,15 @@ def images(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> Dat
 
 
 def fonts(docs: DataFrame | Files, columns: Sequence[str] | None = None) -> DataFrame:
-    def rows(doc: Document):
-        for num, (kind, *_) in sorted(doc.xref.items()):
-            found = doc.get(Ref(num, 0)) if kind != "free" else None
-            if isinstance(found, dict) and found.get("Type") == "Font" and not str(found.get("Subtype")).startswith("CIDFont"):
-                font = resolve_font(doc, found)
-                yield num, str(found.get("Subtype")), str(doc.get(found.get("BaseFont")) or "") or None, font.two_bytes, font.embedded, len(font.widths), None
+    return per_document(docs, FONTS, font_rows, lambda kind, _: (None,) * 6 + (kind,), columns)
 
-    return per_document(docs, FONTS, rows, lambda kind, _: (None,) * 6 + (kind,), columns)
+
+def font_rows(doc: Document) -> Iterator[tuple]:
+    for num, (kind, *_) in sorted(doc.xref.items()):
+        found = doc.get(Ref(num, 0)) if kind != "free" else None
+        if isinstance(found, dict) and found.get("Type") == "Font" and not str(found.get("Subtype")).startswith("CIDFont"):
+            font = resolve_once(doc, found)
+            yield num, str(found.get("Subtype")), str(doc.get(found.get("BaseFont")) or "") or None, font.two_bytes, font.embedded, len(font.widths), None
 
 
 def page_row(doc: Document, n: int, page: dict, own: dict, dpi: float, mode: str, antialias: bool, deskew: bool, annotations: bool, seconds: float | None = None, keep: bool = True) -> tuple:
@@ -347,6 +348,19 @@ def drawn(wanted: Callable[[int], bool], options: tuple) -> Callable[[Document],
     return rows
 
 
+def drawn_fonts(docs: DataFrame | Files, dpi: float = 150.0) -> DataFrame:
+    """(ink_pixels, embedded) of each page with each font of its document, which is read once for both."""
+    at = [f.split()[0] for f in RENDERED.split(", ")].index("ink_pixels")
+    pages_of = drawn(lambda n: True, (dpi, "gray", False, False, True, None, False))
+
+    def rows(doc: Document):
+        found = list(font_rows(doc))
+        for page in pages_of(doc) if found else ():
+            yield from ((page[at], font[4]) for font in found)
+
+    return per_document(docs, "ink_pixels long, embedded boolean", rows, lambda *_: (None, None))
+
+
 def page_files(docs: DataFrame | Files, kind: str, measured: str, measure: Callable[[bytes], tuple], dpi: float = 150.0, mode: str = "gray") -> DataFrame:
     """``measure(file)`` for the image file of every page, in columns ``measured``. Files stay in the task that
     draws their pages; one that can't be drawn gives nulls."""
