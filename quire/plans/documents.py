@@ -144,10 +144,8 @@ def pdf_rendered_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenth = lambda m: F.format_string("%.1f", (k % m) / F.lit(10.0))
     page = F.concat_ws(" ", tenth(11), tenth(7), tenth(5), F.lit("rg 0 0 200 100 re f"))
     rows = table(spark, sf_dir, "part").select(k.alias("doc_id"), F.array(page).alias("pages"))
-    shown = T.render(built(rows, "pages"), dpi=72.0, mode="rgb", columns=["pixels"])
-    at = 3 * (50 * 200 + 100)
-    channel = lambda i: F.conv(F.hex(F.substring("pixels", at + i + 1, 1)), 16, 10).cast("int")
-    return shown.select("doc_id", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))
+    at = 15 + 3 * (50 * 200 + 100)
+    return T.page_files(built(rows, "pages"), "ppm", "r int, g int, b int", lambda file: tuple(file[at : at + 3]), dpi=72.0, mode="rgb")
 
 
 @query("letter_pages", "SELECT s_suppkey AS doc_id, 1275 AS width, 1650 AS height, CAST((1 + s_suppkey % 60) * 76 * 74 AS BIGINT) AS dark, true AS has_vector_text FROM supplier")
