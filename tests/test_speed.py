@@ -155,3 +155,41 @@ def test_one_large_mesh_is_streamed(spark):
             last = (last[1], last[2], k) if flag == 1 else (last[2], last[0], k)
             want.append(last)
     assert [(r["a"], r["b"], r["c"]) for r in got] == want and [r["t"] for r in got] == list(range(len(want)))
+
+
+def test_type1_bytes_are_decrypted_together():
+    from quire.drawing.type1 import CHARSTRING_KEY, EEXEC_KEY, decrypted, encrypted
+
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 1020, 1030, 40_000):
+        data = rng.integers(0, 256, n).astype(np.uint8).tobytes()
+        assert all(decrypted(encrypted(data, key), key, 4) == data for key in (EEXEC_KEY, CHARSTRING_KEY))
+
+
+def test_likelier_bits_decoded_in_place():
+    from quire.drawing.jbig2 import TEMPLATES, Decoder, generic
+
+    class Plain(Decoder):  # goes bit by bit
+        pass
+
+    rng = np.random.default_rng(7)
+    for k in range(40):
+        data, places = rng.integers(0, 256, 300).astype(np.uint8).tobytes(), [(dx, dy) for _, dx, dy in TEMPLATES[k % 4][5]]
+        ends, found = [], []
+        for kind in (Decoder, Plain):
+            decoder, contexts = kind(data), bytearray(1 << 16)
+            found.append(generic(decoder, contexts, 30, 25, k % 4, places, k % 8 > 3))
+            ends.append((decoder.a, decoder.c, decoder.at, decoder.left, contexts))
+        assert found[0] == found[1] and ends[0] == ends[1]
+
+
+def test_fonts_are_read_once_a_document(spark, monkeypatch):
+    from quire.drawing import text
+
+    page = b"/Resources << /Font << /F 9 0 R >> >> "
+    data = build_pdf([b"BT /F 8 Tf 5 50 Td (ab) Tj ET"] * 3, extra=[b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /FirstChar 97 /Widths [500 600.5] >>"], page_extra=page)
+    calls, resolve = [], text.resolve
+    monkeypatch.setattr(text, "resolve", lambda doc, info: calls.append(1) or resolve(doc, info))
+    doc = Document(data)
+    pens = [draw(doc, page, own, doc.geometry(own), 72.0, paints=False).glyphs for _, page, own in doc.pages()]
+    assert len(calls) == 1 and pens[0] == pens[1] == pens[2] and [g[0] for g in pens[0]] == ["a", "b"] and [r[5] for r in T.font_rows(doc)] == [2]
